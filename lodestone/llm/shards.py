@@ -69,14 +69,16 @@ def permuted(x: Column, n: int, key: int = KEY) -> Column:
     a, b = halves(n)
     keys = round_keys(key)
 
+    def step(i: int, k: int):
+        if i % 2 == 0:
+            return lambda s: F.struct(((s.hi + mix(s.lo, k)) % F.lit(a)).alias("hi"), s.lo.alias("lo"))
+        return lambda s: F.struct(s.hi.alias("hi"), ((s.lo + mix(s.hi, k)) % F.lit(b)).alias("lo"))
+
     def once(v: Column) -> Column:
         h = F.struct(F.call_function("div", v, F.lit(b)).alias("hi"), F.pmod(v, F.lit(b)).cast("long").alias("lo"))
         state = F.array(h)
         for i, k in enumerate(keys):
-            if i % 2 == 0:
-                state = F.transform(state, lambda s, k=k: F.struct(((s.hi + mix(s.lo, k)) % F.lit(a)).alias("hi"), s.lo.alias("lo")))
-            else:
-                state = F.transform(state, lambda s, k=k: F.struct(s.hi.alias("hi"), ((s.lo + mix(s.hi, k)) % F.lit(b)).alias("lo")))
+            state = F.transform(state, step(i, k))
         return F.element_at(F.transform(state, lambda s: s.hi * F.lit(b) + s.lo), 1)
 
     out = once(x)
