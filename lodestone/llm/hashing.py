@@ -9,8 +9,24 @@ import pyarrow as pa
 PIECE = 1 << 20
 _P = 0x9E3779B97F4A7C15
 _U = np.uint64
-_POWERS = np.cumprod(np.concatenate([[1], np.full(2 * PIECE, _P, np.uint64)]).astype(np.uint64))
-_INVERSE = np.cumprod(np.concatenate([[1], np.full(2 * PIECE, pow(_P, -1, 1 << 64), np.uint64)]).astype(np.uint64))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^n, modulo 2^64."""
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def prefix(b: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of b's prefixes, modulo 2^64."""
+    out = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + _U(1)) * _POWERS[: len(b)], out=out[1:])
+    return out
+
+
+_POWERS = powers(_P, 2 * PIECE)
+_INVERSE = powers(pow(_P, -1, 1 << 64), 2 * PIECE)
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -56,7 +72,7 @@ def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         after[inner[inner > 0] - 1] = False
         start, stop = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
         if len(b) < len(_POWERS):
-            h = np.concatenate([[0], np.cumsum((b.astype(np.uint64) + _U(1)) * _POWERS[: len(b)])]).astype(np.uint64)
+            h = prefix(b)
             value = (h[stop] - h[start]) * _INVERSE[start]
         else:
             import xxhash

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, jaccard, langid, pii, piece_codec, shards, urls
+from . import anchors, decontam, exact, jaccard, langid, pii, piece_codec, shards, urls
 
 QUERIES = {
     f.__name__: f
@@ -11,10 +11,11 @@ QUERIES = {
         jaccard.op2_jaccard_join,
         pii.op3_semi_crf_pii,
         exact.op4_exact_dedup,
+        anchors.op5_block_anchors,
         urls.op7_link_graph_filter,
         langid.op8_language_id,
         shards.op9_feistel_shards,
         decontam.op10_decontaminate,
     )
 }
-ORACLE_SQL = {"op4_exact_dedup": exact.SQL, "op7_link_graph_filter": urls.SQL, "op9_feistel_shards": shards.SQL, "op10_decontaminate": decontam.SQL}
+ORACLE_SQL = {"op4_exact_dedup": exact.SQL, "op5_block_anchors": anchors.SQL, "op7_link_graph_filter": urls.SQL, "op9_feistel_shards": shards.SQL, "op10_decontaminate": decontam.SQL}
