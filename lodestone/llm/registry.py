@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchors, decontam, exact, jaccard, langid, pii, piece_codec, shards, urls
+from . import anchors, decontam, exact, jaccard, langid, pii, piece_codec, shards, suffixes, urls
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         pii.op3_semi_crf_pii,
         exact.op4_exact_dedup,
         anchors.op5_block_anchors,
+        suffixes.op6_suffix_sort,
         urls.op7_link_graph_filter,
         langid.op8_language_id,
         shards.op9_feistel_shards,
