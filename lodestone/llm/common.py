@@ -30,6 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @contextmanager
 def shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
     """Inside, Spark drops a query's shuffle files when that query ends, so that the disk holds one query's at a time."""

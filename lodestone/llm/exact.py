@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, table
+from .common import drop, fresh, materialize, table
 
 BLOCK = 4096
 
@@ -115,11 +115,9 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def kept_rows(docs: DataFrame, keep: DataFrame, id_col: str, text: Column) -> DataFrame:
     """docs' rows with an id and text (by its checksum) in keep (doc_id, sha); of rows that repeat both, one stays."""
-    keep = materialize(keep.distinct(), "kept").select(F.col("doc_id").alias("_keep_id"), F.col("sha").alias("_keep_sha"))
-    own = docs.withColumn("_sha", F.sha2(text, 256))
-    repeated = own.groupBy(id_col, "_sha").count().filter("count > 1").select(F.col(id_col).alias("_rep_id"), F.col("_sha").alias("_rep_sha"))
-    same_id = F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha"))
-    left = own.join(keep, same_id, "left_semi")
-    if repeated.isEmpty():
-        return left.drop("_sha")
-    return left.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    sha, keep_id, keep_sha = (fresh(docs, x) for x in ("_sha", "_keep_id", "_keep_sha"))
+    keep = materialize(keep.distinct(), "kept").select(F.col("doc_id").alias(keep_id), F.col("sha").alias(keep_sha))
+    own = docs.withColumn(sha, F.sha2(text, 256))
+    repeated = not own.groupBy(id_col, sha).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    left = own.join(keep, F.col(id_col).eqNullSafe(F.col(keep_id)) & (F.col(sha) == F.col(keep_sha)), "left_semi")
+    return (left.dropDuplicates([id_col, sha]) if repeated else left).drop(sha)

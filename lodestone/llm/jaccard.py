@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, table
+from .common import drop, fresh, materialize, table
 from .components import components
 from .exact import kept_rows
 from .hashing import buffers, runs, words
@@ -256,9 +256,10 @@ def op2_jaccard_join(spark, sf_dir):
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay for their class, with all their columns."""
-    repeated = not docs.groupBy(id_col).count().filter("count > 1").isEmpty()
+    repeated = not docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col, sha=repeated).filter("kept")
     if repeated:  # rows of one id may differ in text, so a row is known by both
         return kept_rows(docs, kept.select("doc_id", "sha"), id_col, F.coalesce(F.col(text_col), F.lit("")))
-    kept = materialize(kept.select(F.col("doc_id").alias("_keep_id")), "kept")
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
+    keep_id = fresh(docs, "_keep_id")
+    kept = materialize(kept.select(F.col("doc_id").alias(keep_id)), "kept")
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(keep_id)), "left_semi")

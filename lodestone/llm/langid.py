@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -163,9 +163,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Co
     top = [r[0] for r in named.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()]
     named = named.filter(F.col(lang_col).isin(top)).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("doc_id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"))
     pick = F.xxhash64("doc_id")
-    # A value is kept if few rows of its language precede it: each task passes on PER_LANGUAGE ids of each at most.
-    from pyspark.sql import Window
-
+    # Each task passes on PER_LANGUAGE ids of each language at most.
     ids = named.select("lang", "doc_id", pick.alias("h")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= PER_LANGUAGE)
     cut = ids.groupBy("lang").agg(F.max("h").alias("upto")).collect()  # one row for each language
     near = F.lit(False)
@@ -178,27 +176,17 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Co
 OUT = "doc_id long, lang_pred string, score double, rejected boolean"
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' id (or the columns in keep, as they are) with lang_pred, score, rejected."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score, rejected of each row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    cols = keep if keep is not None else ["doc_id"]
-    src = docs.select(*cols) if keep is not None else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    at = text_col if keep is not None else "text"
-    fields = [src.schema[c] for c in cols]
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
-
-    kind = StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
 
     def run(batches):
-        m = sent.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            got = m.predict(batch.column(at).to_pylist())
+            got = sent.value.predict(batch.column("text").to_pylist())
             extra = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), *extra], [*cols, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *extra], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return src.mapInArrow(run, kind)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -226,8 +214,15 @@ def is_held_out(doc_id: int) -> bool:
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that language ID doesn't reject, with their columns as they are."""
+    """The rows of docs that language ID doesn't reject, with their columns as they are. With nothing to learn from, all stay."""
     model = fit(sample(docs, id_col, text_col, lang_col, ~held_out(id_col)))
     if not model.languages:
         return docs
-    return predict(docs, model, id_col, text_col, keep=docs.columns).filter("not rejected").select(*docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            got = sent.value.predict(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+            yield batch.filter(pa.array([not rejected for _, _, rejected in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -129,7 +129,7 @@ class Codec:
         key = np.zeros(n, np.int64)
         for k in range(first):
             key <<= bits
-            key[: n - k] |= rank[k:] if k else rank
+            key[: max(0, n - k)] |= rank[k:]
         done = first
         order = np.argsort(key, kind="stable")
         while done < self.longest:
