@@ -26,9 +26,13 @@ from .common import table
 
 SPACE = "▁"
 #: Characters of units whose suffixes are sorted at once; a longer unit is taken alone.
-BLOCK = 1 << 20
+BLOCK = 400_000
+#: Characters of text whose units are looked up together.
+GROUP = 4_000_000
+#: Pairs of pieces that a worker remembers, in a table of so many bits.
+PAIRS, SLOT_BITS = 1_000_000, 21
 #: Units whose encoding a worker remembers, and their length at most.
-MEMO, MEMO_CHARS = 800_000, 64
+MEMO, MEMO_CHARS = 300_000, 64
 DEFAULT_MODEL = "piece_bpe_32k.model"
 
 
@@ -74,7 +78,7 @@ class Codec:
         self.newline_ends = "\n" not in self.chars
         self.unit = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if self.newline_ends else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.memo: dict[str, bytes] = {}
-        self.pair_keys, self.pair_fits = np.empty(0, np.int64), np.empty(0, bool)
+        self.pair_keys, self.pair_fits, self.pairs = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool), 0
 
     # -- pairs of pieces
 
@@ -97,33 +101,56 @@ class Codec:
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether pieces left and right are the merge result of their joint text; left -1: the start of a unit."""
         keys = (left + 1) * np.int64(1 << 24) + right
-        at = np.searchsorted(self.pair_keys, keys)
-        at[at == len(self.pair_keys)] = 0
-        new = np.unique(keys if not len(self.pair_keys) else keys[self.pair_keys[at] != keys])
-        if len(new):
+        at, known = self._find(keys)
+        if not known.all():
+            new = np.unique(keys[~known])
+            if self.pairs + len(new) > PAIRS:
+                self.pair_keys[:], self.pairs = -1, 0
+                new = np.unique(keys)
+                if len(new) > PAIRS:  # more than the table takes
+                    half = len(keys) // 2
+                    return np.concatenate([self.fits(left[:half], right[:half]), self.fits(left[half:], right[half:])])
             told = []
             for key in new.tolist():
                 a, b = (key >> 24) - 1, key & 0xFFFFFF
                 want = ([self.name(a)] if a >= 0 else []) + [self.name(b)]
                 told.append(self.merged("".join(want)) == want)
-            keep = self.pair_keys if len(self.pair_keys) < 4_000_000 else self.pair_keys[:0]
-            kept = self.pair_fits if len(keep) else self.pair_fits[:0]
-            both = np.concatenate([keep, new])
-            order = np.argsort(both, kind="stable")
-            whole_k, whole_f = both[order], np.concatenate([kept, np.array(told, bool)])[order]
-            self.pair_keys, self.pair_fits = whole_k, whole_f
-            if len(keep) == 0 and len(new) < len(np.unique(keys)):
-                return self.fits(left, right)
-            at = np.searchsorted(whole_k, keys)
+            self._put(new, np.array(told, bool))
+            at, known = self._find(keys)
         return self.pair_fits[at]
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of keys in a table with open addresses, and whether they are there."""
+        at = self._slot(keys)
+        held = self.pair_keys[at]
+        known = held == keys
+        todo = np.flatnonzero(~known & (held >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << SLOT_BITS) - 1)
+            held = self.pair_keys[at[todo]]
+            known[todo] = held == keys[todo]
+            todo = todo[(held >= 0) & (held != keys[todo])]
+        return at, known
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        table, fits, last = self.pair_keys, self.pair_fits, (1 << SLOT_BITS) - 1
+        for k, v, at in zip(keys.tolist(), values.tolist(), self._slot(keys).tolist(), strict=True):
+            while table[at] >= 0:
+                at = (at + 1) & last
+            table[at], fits[at] = k, v
+        self.pairs += len(keys)
+
     # -- the suffix array of a block of units
 
-    def suffixes(self, c: np.ndarray) -> np.ndarray:
-        """Starts of c's suffixes, sorted by their first `longest` characters at least (prefix doubling)."""
+    def suffixes(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+        """Starts of c's suffixes, sorted by their first `longest` characters at least (prefix doubling), and the sorted
+        keys of their first few characters: (starts, keys, c's alphabet, characters in a key, bits of each)."""
         n = len(c)
         values, rank = np.unique(c, return_inverse=True)
-        rank, done = rank.astype(np.int64) + 1, 1
+        rank = rank.astype(np.int64) + 1
         bits = int(len(values) + 1).bit_length()
         first = max(1, 62 // bits)
         key = np.zeros(n, np.int64)
@@ -132,40 +159,58 @@ class Codec:
             key[: max(0, n - k)] |= rank[k:]
         done = first
         order = np.argsort(key, kind="stable")
+        keys = key[order]
+        ranked = keys
         while done < self.longest:
-            step = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-            rank = np.empty(n, np.int64)
-            rank[order] = step + 1
+            step = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
             if step[-1] == n - 1:
                 break
+            rank = np.empty(n, np.int64)
+            rank[order] = step + 1
             key = rank << 31
             key[: max(0, n - done)] |= rank[done:]
-            order = np.argsort(key, kind="stable")
+            # Only suffixes that still tie change places, among themselves.
+            tied = np.concatenate([ranked[1:] == ranked[:-1], [False]])
+            tied[1:] |= tied[:-1].copy()
+            at = np.flatnonzero(tied)
+            order[at] = order[at][np.argsort(key[order[at]], kind="stable")]
+            ranked = key[order]
             done *= 2
-        return order
-
-    def ranges(self, c: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each piece, the range of sa whose suffixes start with it; by binary search, all pieces at a time."""
-        n, p, m = len(c), len(self.texts), self.longest
-        padded = np.concatenate([c, np.zeros(m, np.uint32)])
+        return order, keys, values, first, bits
+
+    def ranges(self, c: np.ndarray, sa: np.ndarray, keys: np.ndarray, values: np.ndarray, first: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece, the range of sa whose suffixes start with it; by binary search, all pieces at a time: first
+        over the keys, then, for longer pieces, over the suffixes within the key's range."""
+        m = self.longest
+        code = np.searchsorted(values, self.matrix)
+        code[code == len(values)] = 0
         inside = np.arange(m)[None, :] < self.lengths[:, None]
+        known = ((values[code] == self.matrix) | ~inside).all(1)
+        code = np.where(inside, code + 1, 0)
+        low = np.zeros(len(self.texts), np.int64)
+        for k in range(first):
+            low = (low << bits) | (code[:, k] if k < m else 0)
+        free = bits * np.maximum(0, first - self.lengths)
+        lo, hi = np.searchsorted(keys, low), np.searchsorted(keys, low + (np.int64(1) << free))
+        lo, hi = np.where(known, lo, 0), np.where(known, hi, 0)
+        long_ = np.flatnonzero((self.lengths > first) & (hi > lo))
+        padded = np.concatenate([c, np.zeros(m, np.uint32)])
         bounds = []
         for upper in (False, True):
-            lo, hi = np.zeros(p, np.int64), np.full(p, n, np.int64)
-            while (open_ := lo < hi).any():
-                mid = (lo + hi) >> 1
-                rows = np.flatnonzero(open_)
-                t = padded[sa[mid[rows]][:, None] + np.arange(m)]
-                q = self.matrix[rows]
-                differs = (t != q) & inside[rows]
+            a, b = lo[long_], hi[long_]
+            while len(rows := np.flatnonzero(a < b)):
+                mid = (a[rows] + b[rows]) >> 1
+                t = padded[sa[mid][:, None] + np.arange(m)]
+                q = self.matrix[long_[rows]]
+                differs = (t != q) & inside[long_[rows]]
                 at = differs.argmax(1)
                 some = differs[np.arange(len(rows)), at]
                 less = some & (t[np.arange(len(rows)), at] < q[np.arange(len(rows)), at])
                 right = less | (~some if upper else False)
-                lo[rows] = np.where(right, mid[rows] + 1, lo[rows])
-                hi[rows] = np.where(right, hi[rows], mid[rows])
-            bounds.append(lo)
-        return bounds[0], bounds[1]
+                a[rows], b[rows] = np.where(right, mid + 1, a[rows]), np.where(right, b[rows], mid)
+            bounds.append(a)
+        lo[long_], hi[long_] = bounds
+        return lo, hi
 
     def encode_units(self, units: list[str]) -> list[bytes]:
         """The ids of each unit, as little-endian uint32."""
@@ -184,8 +229,8 @@ class Codec:
         ends = np.cumsum([len(u) + 1 for u in units])
         starts = ends - np.array([len(u) + 1 for u in units])
         n = len(c)
-        sa = self.suffixes(c)
-        lo, hi = self.ranges(c, sa)
+        sa, *key = self.suffixes(c)
+        lo, hi = self.ranges(c, sa, *key)
         found = np.flatnonzero(hi > lo)
         reps = (hi - lo)[found]
         piece = np.repeat(found, reps)
@@ -215,18 +260,31 @@ class Codec:
             ok = self.fits(left[good], p)
             last[e[ok]] = p[ok]
             came[e[ok]] = s[ok]
-        result = []
-        for s, e in zip(starts.tolist(), (ends - 1).tolist(), strict=True):
-            ids: list[int] = []
-            while e > s:
-                p = int(last[e])
-                if p < len(self.texts):
-                    ids.append(int(self.ids[p]))
-                else:
-                    ids += [self.byte_id[x] for x in reversed(chr(p - len(self.texts)).encode("utf-8", "surrogatepass"))]
-                e = int(came[e])
-            result.append(np.array(ids[::-1], "<u4").tobytes())
-        return result
+        # Back from every unit's end at once; a step further back comes earlier in its unit.
+        unit, at, steps = np.arange(len(units)), ends - 1, []
+        while len(unit := unit[more := at > starts[unit]]):
+            at = at[more]
+            steps.append((unit, last[at]))
+            at = came[at]
+        if not steps:
+            return [b""] * len(units)
+        owner = np.concatenate([u for u, _ in reversed(steps)])
+        piece = np.concatenate([p for _, p in reversed(steps)])
+        order = np.argsort(owner, kind="stable")
+        owner, piece = owner[order], piece[order]
+        odd = piece >= len(self.texts)
+        if odd.any():
+            raw = [chr(p - len(self.texts)).encode("utf-8", "surrogatepass") for p in piece[odd].tolist()]
+            reps = np.ones(len(piece), np.int64)
+            reps[odd] = [len(x) for x in raw]
+            ids = np.repeat(self.ids[np.where(odd, 0, piece)], reps)
+            ids[np.repeat(odd, reps)] = [self.byte_id[x] for r in raw for x in r]
+            owner = np.repeat(owner, reps)
+        else:
+            ids = self.ids[piece]
+        whole = ids.astype("<u4").tobytes()
+        cut = (4 * np.searchsorted(owner, np.arange(len(units) + 1))).tolist()
+        return [whole[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     # -- texts
 
@@ -240,7 +298,7 @@ class Codec:
         for t in texts:
             group.append(t)
             size += len(t or "")
-            if size >= 4 * BLOCK:
+            if size >= GROUP:
                 out += self._encode_group(group)
                 group, size = [], 0
         return out + (self._encode_group(group) if group else [])
@@ -248,14 +306,13 @@ class Codec:
     def _encode_group(self, texts: list[str | None]) -> list[bytes]:
         parts = [self.units(t) for t in texts]
         memo = self.memo
-        new = list({u for p in parts for u in p if u not in memo})
-        new.sort()
+        new = sorted(set().union(*parts) - memo.keys())
         for u, ids in zip(new, self.encode_units(new), strict=True):
             memo[u] = ids
         get = memo.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
-        if len(memo) > MEMO:
-            self.memo = {}
+        if len(memo) > MEMO:  # what this text has is kept, the rest is encoded again if it comes back
+            self.memo = {u: memo[u] for p in parts for u in p if len(u) <= MEMO_CHARS}
         else:
             for u in new:
                 if len(u) > MEMO_CHARS:
@@ -286,9 +343,8 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(batches):
         c = codec(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for s in range(0, len(texts), 2048):
-                part = texts[s : s + 2048]
+            for s in range(0, batch.num_rows, 1024):
+                part = batch.column("text").slice(s, 1024).to_pylist()
                 coded = c.encode_batch(part)
                 back = [c.decode(x) for x in coded]
                 cols = {
