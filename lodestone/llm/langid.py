@@ -100,14 +100,18 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, similarity, rejected) of each; ("und", 0, True) without a letter, or without a language learned."""
         out: list[tuple[str, float, bool]] = [("und", 0.0, True)] * len(texts)
-        points = [code_points(t) if t else np.empty(0, np.uint64) for t in texts]
-        some = [i for i, c in enumerate(points) if len(c) > 2 or (c != 32).any()] if self.languages else []
-        for s in range(0, len(some), 64):
-            part = some[s : s + 64]
-            cos = self.vectors([points[i] for i in part]) @ self.centroids.T
+        if not self.languages:
+            return out
+        for s in range(0, len(texts), 64):
+            points = [code_points(t) if t else np.empty(0, np.uint64) for t in texts[s : s + 64]]
+            part = [k for k, c in enumerate(points) if (c != 32).any()]
+            if not part:
+                continue
+            cos = self.vectors([points[k] for k in part]) @ self.centroids.T
             best = cos.argmax(1)
-            for i, k, x in zip(part, best, cos[np.arange(len(part)), best], strict=True):
-                out[i] = (self.languages[self.of[k]], float(min(1, max(0, x))), bool(x < self.floor[min(length_class(points[i]), len(self.floor) - 1)]))
+            for k, j, x in zip(part, best, cos[np.arange(len(part)), best], strict=True):
+                floor = self.floor[min(length_class(points[k]), len(self.floor) - 1)]
+                out[s + k] = (self.languages[self.of[j]], float(min(1, max(0, x))), bool(x < floor))
         return out
 
 
@@ -182,7 +186,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         for batch in batches:
-            got = sent.value.predict(batch.column("text").to_pylist())
+            texts = batch.column("text")
+            got = [g for s in range(0, len(texts), 256) for g in sent.value.predict(texts.slice(s, 256).to_pylist())]
             extra = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *extra], ["doc_id", "lang_pred", "score", "rejected"])
 
@@ -222,7 +227,8 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(batches):
         for batch in batches:
-            got = sent.value.predict(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            got = [g for s in range(0, len(texts), 256) for g in sent.value.predict(texts.slice(s, 256).to_pylist())]
             yield batch.filter(pa.array([not rejected for _, _, rejected in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
