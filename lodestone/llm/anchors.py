@@ -42,7 +42,7 @@ def _slab(batch: pa.RecordBatch) -> tuple:
 def probe(docs: DataFrame, buckets: int) -> DataFrame:
     """Anchors of each document: where a run of BLOCK words is a block of an earlier one, or a block is a run of a later one."""
 
-    def entries(batches):
+    def entries(batches, buckets):
         for batch in slabs(batches):
             ids, fps, h, doc, at, left = _slab(batch)
             k = np.flatnonzero(left >= BLOCK)
@@ -60,7 +60,7 @@ def probe(docs: DataFrame, buckets: int) -> DataFrame:
         _, found = _anchored(h, doc, p)
         return [places(doc[found], fp[found], p[found], 0), places(*settled, 0)]
 
-    return met(docs, entries, answer, np.uint8, np.uint32)
+    return met(docs, entries, answer, buckets, np.uint8, np.uint32)
 
 
 def _anchored(key: np.ndarray, doc: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +79,7 @@ def extend(docs: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
     """Where windows begin that hold an anchor and are also in an earlier document."""
     joined = docs.join(anchors, ["doc_id", "fp"]).select("doc_id", "fp", "text", F.col("p0").alias("p"))
 
-    def entries(batches):
+    def entries(batches, buckets):
         for batch in slabs(batches):
             ids, fps, h, doc, at, left = _slab(batch)
             n = len(h)
@@ -109,7 +109,7 @@ def extend(docs: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
         later = _later(h, c, doc)
         return [places(doc[later], fp[later], p[later], 0), places(*settled, 0)]
 
-    return met(joined, entries, answer, np.uint64, np.uint32)
+    return met(joined, entries, answer, buckets, np.uint64, np.uint32)
 
 
 def _later(key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarray:

@@ -15,8 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a slab, and of all text for each bucket; the fewest buckets.
-SLAB, PER_BUCKET, BUCKETS = 12 << 20, 24 << 20, 32
+#: Bytes of text in a slab, and of all text for each bucket; the fewest buckets; the most that a slab is dealt to at
+#: once: with more, rows go to so many first, are joined there, and are dealt again.
+SLAB, PER_BUCKET, BUCKETS, FAN = 8 << 20, 8 << 20, 32, 4096
+#: Entries that are joined before they are dealt again.
+JOINED = 1 << 20
 #: Bits of a packed hash.
 BITS = 48
 NO_ID = (1 << 63) - 1
@@ -151,11 +154,38 @@ def merged(blobs: list[bytes] | None) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(blobs), np.uint64)).astype(np.int64) if blobs else np.empty(0, np.int64)
 
 
-def met(docs: DataFrame, entries: Callable, answer: Callable, check, place) -> DataFrame:
-    """entries(batches) gives packed rows; answer(h, c, doc, fp, p, settled) gives tables of places for one bucket."""
+def dealt_again(batches: Iterator[pa.RecordBatch], buckets: int, check, place) -> Iterator[pa.RecordBatch]:
+    """Packed rows, joined and packed for more buckets."""
+    held, size = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        h, c, doc, fp, p, rdoc, rfp, rp = unpack(pa.Table.from_batches(held), check, place)
+        pairs, number = np.unique(np.stack([np.concatenate([doc, rdoc]), np.concatenate([fp, rfp])]), axis=1, return_inverse=True)
+        number = number.ravel()
+        yield from pack(buckets, pairs[0], pairs[1], h, c, number[: len(doc)], p, number[len(doc) :], rp)
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            held.append(row)
+            size += int.from_bytes(row.column(2 + 1)[0].as_buffer().to_pybytes()[:8], "little") // 8 + 1
+            if size >= JOINED:
+                yield from flush()
+                held, size = [], 0
+    if held:
+        yield from flush()
+
+
+def met(docs: DataFrame, entries: Callable, answer: Callable, buckets: int, check, place) -> DataFrame:
+    """entries(batches, buckets) gives packed rows; answer(h, c, doc, fp, p, settled) gives tables of places for one bucket."""
 
     def group(table: pa.Table) -> pa.Table:
         h, c, doc, fp, p, *settled = unpack(table, check, place)
         return pa.concat_tables([*answer(h, c, doc, fp, p, settled), _PLACES.empty_table()])
 
-    return docs.mapInArrow(entries, PACKED).groupBy("bucket").applyInArrow(lambda t: group(t), PLACES)
+    first = min(buckets, FAN)
+    rows = docs.mapInArrow(lambda batches: entries(batches, first), PACKED)
+    if buckets > first:
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(n, "bucket").mapInArrow(lambda batches: dealt_again(batches, buckets, check, place), PACKED)
+    return rows.groupBy("bucket").applyInArrow(lambda t: group(t), PLACES)

@@ -84,7 +84,7 @@ def _place(s0: np.ndarray, s1: np.ndarray, a: np.ndarray) -> np.ndarray:
 def survey(docs: DataFrame, buckets: int) -> DataFrame:
     """Places by document: of kind 0, stretches that an earlier document has; of kind 1, those to be sorted."""
 
-    def entries(batches):
+    def entries(batches, buckets):
         for batch in slabs(batches):
             ids, fps = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "fp"))
             d, s0, s1, a, key, whole = stretches(*buffers(batch.column(batch.schema.get_field_index("text"))))
@@ -109,7 +109,7 @@ def survey(docs: DataFrame, buckets: int) -> DataFrame:
         open_ = np.repeat(other, np.diff(np.append(starts, len(h)))) & (low < high)
         return [places(doc[later], fp[later], p[later], 0), places(doc2[open_], fp2[open_], p2[open_], 1), places(*settled, 0)]
 
-    return met(docs, entries, answer, np.uint64, np.uint64)
+    return met(docs, entries, answer, buckets, np.uint64, np.uint64)
 
 
 # -- sorting suffixes

@@ -270,6 +270,15 @@ def test_repeated_bytes_go(spark, odd_rows, monkeypatch):
     assert rows_of(suffixes.suffix_dedup(make(spark, odd_rows), texts=False)) == sorted(want, key=repr)
 
 
+def test_buckets_that_are_dealt_twice(spark, odd_rows, monkeypatch):
+    from lodestone.llm import repeats
+
+    rows = [r for r in odd_rows if len(r[1] or "") < 10_000]
+    whole = rows_of(anchors.substring_dedup(make(spark, rows), texts=False)), rows_of(suffixes.suffix_dedup(make(spark, rows), texts=False))
+    monkeypatch.setattr(repeats, "FAN", 3)
+    assert (rows_of(anchors.substring_dedup(make(spark, rows), texts=False)), rows_of(suffixes.suffix_dedup(make(spark, rows), texts=False))) == whole
+
+
 def test_parts_of_long_texts(monkeypatch):
     rnd = random.Random(6)
     raw = np.frombuffer(bytes(rnd.choice(b"ab ") for _ in range(5000)), np.uint8)
