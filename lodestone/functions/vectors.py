@@ -81,7 +81,7 @@ def with_embedding(df: DataFrame, text_col: str = "text", profile: str = "offlin
             at = flat.indices.to_numpy()
             n = batch.num_rows
             row = np.repeat(np.arange(n), lists.value_lengths().fill_null(0).to_numpy())
-            v = np.bincount(row * dim + b[at], weights=s[at], minlength=n * dim).reshape(n, dim)
+            v = np.bincount(row * dim + b[at], weights=s[at], minlength=n * dim).reshape(n, dim).astype(np.float64)
             norm = np.linalg.norm(v, axis=1, keepdims=True)
             v = np.divide(v, norm, out=v, where=norm > 0)
             if profile == "online":
