@@ -25,7 +25,7 @@ from .repeats import BITS, NO_ID, bucket_count, firsts, gathered, least_most, me
 WINDOW = 50
 GRAM = 25
 #: Bytes whose anchors are sought at once; a longer document is read in parts that overlap by a window.
-PART = 1 << 20
+PART = 1 << 18
 _U = np.uint64
 
 
@@ -74,7 +74,7 @@ def _part(b: np.ndarray, bounds: np.ndarray, first: int, shift: int) -> tuple[np
     a, d = anchor[begin], doc[begin]
     whole = mix((h[last + WINDOW] - h[begin]) * _INVERSE[begin] + (last - begin).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
     base = bounds[:-1][d] - shift
-    return d + first, begin - base, last - base, a - base, gram[a], whole
+    return d + first, begin - base, last - base, a - base, mix(gram[a] + _U(1)), whole  # mixed again: the smallest hashes are all small
 
 
 def _place(s0: np.ndarray, s1: np.ndarray, a: np.ndarray) -> np.ndarray:
