@@ -26,7 +26,7 @@ def glob_scan(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIX
 
 def text_scan(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files, one row for each."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def markdown_documents(spark: SparkSession, path: str) -> DataFrame:
