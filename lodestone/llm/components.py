@@ -11,19 +11,21 @@ from .common import drop, materialize
 def components(edges: DataFrame) -> DataFrame:
     """(v, c): for each node of edges (a, b), the smallest node that it reaches.
 
-    Each round takes the least label of a node's neighbours and then follows the labels one step (pointer jumping), so
-    that the rounds grow with the logarithm of a chain's length. Labels and edges stay in tables.
+    Each round, nodes take the least of their neighbours, follow it one step further (pointer jumping), and are drawn
+    together: edges between those that have one label go. So edges dwindle from round to round, and rounds grow with
+    the logarithm of a chain's length. Labels and edges stay in tables.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = materialize(both, "edges")
-    now = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c")), "labels")
-    while True:
-        near = both.join(now.select(F.col("v").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m")).withColumnRenamed("a", "v")
-        least = materialize(now.join(near, "v").select("v", F.least("c", "m").alias("c"), F.col("c").alias("old")), "labels")
-        jump = least.join(least.select(F.col("v").alias("c"), F.col("c").alias("to")), "c").select("v", F.least("c", "to").alias("c"), "old")
-        new = materialize(jump, "labels")
-        drop(now, least)
-        now = new
-        if now.filter("c <> old").isEmpty():
-            drop(both)
-            return now.select("v", "c")
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    now = materialize(edges.filter("a <> b").select(low, high).distinct(), "edges")
+    nodes = now.select(F.col("a").alias("v")).unionByName(now.select(F.col("b").alias("v"))).distinct()
+    told = materialize(nodes.select("v", F.col("v").alias("c")), "labels")
+    while not now.isEmpty():
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c")), "least")
+        jump = materialize(least.join(least.select(F.col("v").alias("c"), F.col("c").alias("to")), "c").select("v", F.least("c", "to").alias("to")), "jump")
+        new = materialize(told.join(jump.select(F.col("v").alias("c"), "to"), "c", "left").select("v", F.coalesce("to", "c").alias("c")), "labels")
+        drawn = now.join(jump.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(jump.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
+        drawn = materialize(drawn.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        drop(now, told, least, jump)
+        now, told = drawn, new
+    return told.select("v", "c")

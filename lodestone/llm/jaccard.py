@@ -4,7 +4,7 @@ Each text is the set of its runs of five words. A forest of TREES sorted prefix
 minima for each tree; texts match in a tree if they share a prefix. The prefix is shortened from DEPTH until a pair at
 the threshold is found with the target recall. Texts with the same set are one class, and one of them stands for all.
 
-Matches are gathered as a graph without listing the pairs of a bucket: each text is tied to its bucket's smallest. Each
+Matches are gathered as a graph without listing the pairs of a bucket: each text is tied to its buckets' smallest. Each
 connected part is verified whole: its sets meet in blocks of a bounded number of texts, each block with each, and all
 pairs in them are compared exactly. Only counts of links and a spanning forest leave a block.
 """
@@ -221,9 +221,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     tied = classes.select("node", F.posexplode("keys").alias("tree", "key"))
     tied = tied.select("node", F.xxhash64("tree", "key").alias("key"))
     least = materialize(tied.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("key", "hub"), "buckets")
-    edges = tied.join(least, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    parts = components(edges)
-    drop(least)
+    # A text's hubs are joined to the least of them, so the graph has hubs alone as nodes, at most TREES edges for a text.
+    hubs = materialize(tied.join(least, "key").groupBy("node").agg(F.array_min(F.collect_set("hub")).alias("hub"), F.collect_set("hub").alias("hubs")), "hubs")
+    edges = hubs.select(F.col("hub").alias("a"), F.explode("hubs").alias("b")).filter("a <> b").distinct()
+    drawn = components(edges).select(F.col("v").alias("hub"), "c")
+    parts = materialize(hubs.join(drawn, "hub", "left").select(F.col("node").alias("v"), F.coalesce("c", "hub").alias("c")), "parts-of-hubs")
+    drop(least, hubs)
     sizes = materialize(parts.groupBy("c").agg(F.count("*").alias("m")), "part-sizes")
     total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     sized = materialize(parts.join(sizes, "c").select(F.col("v").alias("node"), "c", F.ceil(F.col("m") / block).cast("int").alias("nb")), "parts")
