@@ -22,12 +22,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^\s"'<>]+)"""
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first `://`; empty if there is none."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+
+
 def host_of(url: Column) -> Column:
-    return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^(?:(?!://).)*://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
+    return F.translate(F.regexp_extract(_rest(url), "^[^/?#]*", 0), UPPER, LOWER)
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^(?:(?!://).)*://[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.regexp_extract(_rest(url), "^[^/?#]*([^?#]*)", 1)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:

@@ -323,7 +323,7 @@ def test_url_verdicts(spark):
         (1, "http://A.Example.ORG/en/12?q#f", page("http://good.net/x")), (2, "https://example.org/es/x", page("http://bad.net/")), (3, "http://notexample.org/es/", None),
         (4, "http://good.net/", page("http://friend.net")), (5, "http://friend.net", ""), (6, "http://x.com/fr/a", page("//rel", "/rel", "http://good.net")),
         (7, "http://y.com/de/a", ""), (8, "http://evil.net/p", page("http://y.com/de/a")), (9, None, page("http://good.net")), (10, "no scheme", None), (10, "no scheme", None),
-        (11, "http://example.org?x=/es/", ""), (12, "http://com/fr/", ""), (None, "http://lonely.net/#://x.org/", None),
+        (11, "http://example.org?x=/es/", ""), (13, "x" * 100_000, None), (14, "http://" + "y" * 100_000 + ".org/" + "z" * 9, "<a href='http://" + "q" * 100_000 + "'>"), (12, "http://com/fr/", ""), (None, "http://lonely.net/#://x.org/", None),
     ]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, rule string")
     got = {}
@@ -337,7 +337,7 @@ def test_url_verdicts(spark):
     assert got[8] == [("evil.net", "/p", None, "block")]  # it links to a blocked page's host
     assert got[9] == [("", "", None, "allow")] and got[10] == [("", "", None, "allow")] * 2
     assert got[11] == [("example.org", "", None, "block")]  # its other pages are blocked
-    assert got[12][0][2:] == ("com/fr/", "allow")
+    assert got[12][0][2:] == ("com/fr/", "allow") and got[13] == [("", "", None, "allow")] and got[14] == [("y" * 100_000 + ".org", "/" + "z" * 9, "org/", "allow")]
     assert got[None] == [("lonely.net", "/", None, "allow")]
     assert urls.verdicts(df.limit(0)).collect() == []
 
