@@ -134,15 +134,15 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield block
 
 
-SPANS = "doc_id long, row long, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
+SPANS = "doc_id long, fp long, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
 
 
 def search(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    """One pass over docs (doc_id, row, text) for one block of the benchmark."""
+    """One pass over docs (doc_id, fp, text) for one block of the benchmark."""
     ids = sorted({i for i, _ in items})
     number = {i: k for k, i in enumerate(ids)}
     sent = docs.sparkSession.sparkContext.broadcast((ids, [(number[i], t) for i, t in items]))
-    kind = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))])
+    kind = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
     def run(batches):
         names, numbered = sent.value
@@ -154,7 +154,7 @@ def search(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFr
                 out["n_words"].append(total)
                 out["spans"].append([{"a": a, "b": b} for a, b in spans])
                 out["items"].append(sorted(names[k] for k in hit))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), *(pa.array(out[c], kind.field(c).type) for c in ("n_words", "spans", "items"))], schema=kind)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("fp"), *(pa.array(out[c], kind.field(c).type) for c in ("n_words", "spans", "items"))], schema=kind)
 
     return docs.mapInArrow(run, SPANS)
 
@@ -165,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     Null and empty texts have no words and are never hit, whether documents or items. An item id may repeat: its rows
     are one item. A null item id reads as the empty string. Other columns are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
     found = None
     for block in _blocks(benchmark, item_col, item_text, block_bytes):
         one = search(docs, block, window)
@@ -174,8 +174,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     if found is None:
         found, many = search(docs, [], window), False
     if not many:
-        return found.drop("row")
-    merged = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        return found.drop("fp")
+    # Rows that repeat id and text have one result, so both together name a document.
+    merged = found.groupBy("doc_id", "fp").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = docs.select(F.col("doc_id").alias("d"), F.col("fp").alias("f")).join(merged, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("f") == F.col("fp")))
     return merged.select("doc_id", "n_words", F.expr("""
         aggregate(s, cast(array() as array<struct<a:bigint,b:bigint>>), (acc, x) ->
           case when size(acc) > 0 and x.a <= element_at(acc, -1).b
