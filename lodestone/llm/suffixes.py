@@ -133,12 +133,16 @@ class Text:
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """How many bytes, up to WINDOW, suffixes i and j share; by binary search over hashes."""
-        lo, hi = np.zeros(len(i), np.int64), np.full(len(i), WINDOW)
-        while (open_ := lo < hi).any():
+        out = np.full(len(i), WINDOW)
+        rest = np.flatnonzero(~self.same(i, j, np.int64(WINDOW)))  # most suffixes that meet here are equal
+        i, j = i[rest], j[rest]
+        lo, hi = np.zeros(len(rest), np.int64), np.full(len(rest), WINDOW - 1)
+        for _ in range(WINDOW.bit_length()):
             mid = (lo + hi + 1) >> 1
             ok = self.same(i, j, mid)
-            lo, hi = np.where(open_ & ok, mid, lo), np.where(open_ & ~ok, mid - 1, hi)
-        return lo
+            lo, hi = np.where(ok, mid, lo), np.where(ok, hi, np.maximum(mid - 1, lo))
+        out[rest] = lo
+        return out
 
     def less(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         k = self.common(i, j)
@@ -218,7 +222,6 @@ def sort_open(docs: DataFrame, surveyed: DataFrame, buckets: int) -> DataFrame:
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["bucket", "doc", "fp", "s0", "a", "bytes"])
 
-    # An equal stretch is sorted once, for its first document; its other places in that document get the same answer.
     met_ = joined.mapInArrow(entries, "bucket int, doc long, fp long, s0 long, a int, bytes binary")
 
     def answer(group: pa.Table) -> pa.Table:
