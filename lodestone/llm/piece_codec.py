@@ -28,7 +28,7 @@ SPACE = "▁"
 #: Characters of units whose suffixes are sorted at once; a longer unit is taken alone.
 BLOCK = 400_000
 #: Characters of text whose units are looked up together.
-GROUP = 4_000_000
+GROUP = 3_000_000
 #: Pairs of pieces that a worker remembers, in a table of so many bits.
 PAIRS, SLOT_BITS = 1_000_000, 21
 #: Units whose encoding a worker remembers, and their length at most.
@@ -342,21 +342,28 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
-            for s in range(0, batch.num_rows, 1024):
-                part = batch.column("text").slice(s, 1024).to_pylist()
-                coded = c.encode_batch(part)
-                back = [c.decode(x) for x in coded]
-                cols = {
-                    "doc_id": batch.column("doc_id").slice(s, len(part)),
-                    "n_tokens": pa.array([len(x) // 4 for x in coded], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in coded]),
-                    "decoded_sha256": pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in back]),
-                    "round_trip": pa.array([x == (t or "") for x, t in zip(back, part, strict=True)]),
-                }
-                if ids:
-                    cols["ids"] = pa.array([np.frombuffer(x, "<i4") for x in coded], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_pydict(cols)
+        try:
+            for batch in batches:
+                for s in range(0, batch.num_rows, 1024):
+                    yield encoded(c, batch.slice(s, 1024))
+        finally:  # a worker lives on: it keeps the vocabulary and the pairs, which are bounded, and nothing of the texts
+            c.memo = {}
+            pa.default_memory_pool().release_unused()
+
+    def encoded(c: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+        part = batch.column("text").to_pylist()
+        coded = c.encode_batch(part)
+        back = [c.decode(x) for x in coded]
+        cols = {
+            "doc_id": batch.column("doc_id"),
+            "n_tokens": pa.array([len(x) // 4 for x in coded], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in back], pa.string()),
+            "round_trip": pa.array([x == (t or "") for x, t in zip(back, part, strict=True)], pa.bool_()),
+        }
+        if ids:
+            cols["ids"] = pa.array([np.frombuffer(x, "<i4") for x in coded], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_pydict(cols)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kind)
 
