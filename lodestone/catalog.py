@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import defaults
 from .functions import numbers, text, tokenizers, vectors
-from .operators import admission, answers, chunks, dense, evidence, fusion, layout, lexical, metrics, provenance, web
+from .operators import admission, answers, chunks, containment, dense, evidence, fusion, layout, lexical, metrics, provenance, web
 from .plans import search
 from .streaming import events
 
@@ -367,11 +367,8 @@ res AS MATERIALIZED (SELECT query_id, gold, coalesce(ids, []) AS ids, query_id %
 
 def _results(spark, d):
     q, docs = _questions(spark, d), table(spark, d, "documents")
-    # Which texts hold a question's whole text: by its first shared piece of 40 characters, then exactly. Questions are few.
-    key = F.substring("question", 1, 40)
-    starts = q.select("query_id", "question", key.alias("k"))
-    hits = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(.{40}))"), F.lit(1)))).alias("k")).join(starts, "k").filter(F.col("text").contains(F.col("question")))
-    gold = q.join(hits.groupBy("query_id").agg(F.min("doc_id").alias("g")), "query_id", "left").select("query_id", F.coalesce(F.col("g").cast("string"), F.lit("")).alias("gold_notice_id"))
+    hits = containment.containing(docs.select(F.col("doc_id").alias("id"), "text"), q)
+    gold = q.join(hits.groupBy("query_id").agg(F.min("id").alias("g")), "query_id", "left").select("query_id", F.coalesce(F.col("g").cast("string"), F.lit("")).alias("gold_notice_id"))
     ids = _ranked(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("document_id").cast("string").alias("i")))), lambda x: x["i"]).alias("ids")).select("query_id", F.array_distinct("ids").alias("retrieved_notice_ids"))
     out = gold.join(ids, "query_id", "left")
     k = F.col("query_id") % 3
@@ -392,6 +389,11 @@ def ir_metrics(spark, d):
     return metrics.ir_metrics(_results(spark, d))
 
 
+@query("SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def passage_containment(spark, d):
+    return containment.containing(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _questions(spark, d))
+
+
 @query(f"""
 WITH {HYBRID}, m(method, rrf_k) AS (VALUES ('k60', 60), ('k10', 10)),
 h AS (SELECT method, query_id, id, row_number() OVER (PARTITION BY method, query_id ORDER BY round(coalesce(1.0::DOUBLE / (rrf_k + bm25_rank), 0) + coalesce(1.0::DOUBLE / (rrf_k + dense_rank), 0), 12) DESC, bm25_rank NULLS LAST, dense_rank) AS k FROM hy0, m QUALIFY k <= 5)
