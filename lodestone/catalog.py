@@ -11,6 +11,7 @@ from . import defaults
 from .functions import numbers, text, tokenizers, vectors
 from .operators import admission, answers, chunks, containment, dense, evidence, fusion, layout, lexical, metrics, provenance, web
 from .plans import search
+from .session import spread
 from .streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +29,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    t = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(t) if name in ("documents", "pages") else t
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -398,7 +400,7 @@ def passage_containment(spark, d):
 WITH {HYBRID}, m(method, rrf_k) AS (VALUES ('k60', 60), ('k10', 10)),
 h AS (SELECT method, query_id, id, row_number() OVER (PARTITION BY method, query_id ORDER BY round(coalesce(1.0::DOUBLE / (rrf_k + bm25_rank), 0) + coalesce(1.0::DOUBLE / (rrf_k + dense_rank), 0), 12) DESC, bm25_rank NULLS LAST, dense_rank) AS k FROM hy0, m QUALIFY k <= 5)
 SELECT method, query_id, id, k::INT AS hybrid_rank FROM h""")
-def run_compare_union(spark, d):
+def compare_rankings(spark, d):
     ix = search.build(_chunks(spark, d))
     q = _questions(spark, d)
     a, b = lexical.search(ix.bm25, q, 50), dense.search(ix.vectors, search.query_vectors(q, "offline", 256), 50, 256, normalised=True)

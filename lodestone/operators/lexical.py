@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..defaults import BM25_B, BM25_K1
 from ..functions.numbers import round_half_up
 from ..functions.tokenizers import tokenizer
 
 
+#: Terms of queries, over all queries, that are sent to every task at most.
+SENT_TERMS = 200_000
+
+
 @dataclass
 class Bm25Index:
     """postings (term, id, tf, dl), terms (term, df), stats (n, avgdl, documents): one row."""
@@ -38,9 +45,25 @@ def tokens_of(df: DataFrame, id_col: str, text_col: str, profile: str) -> DataFr
 
 
 def term_frequency(df: DataFrame, id_col: str, text_col: str, profile: str = "offline") -> DataFrame:
-    """(id, term, tf, dl)"""
+    """(id, term, tf, dl), without a shuffle: a text's tokens are in one row, so its terms are counted where it is read.
+
+    An aggregate over exploded tokens would move nearly every token, for hardly two tasks share a text and term.
+    """
     t = tokens_of(df, id_col, text_col, profile)
-    return t.select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    id_type = to_arrow_type(t.schema["id"].dataType)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            n = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            flat = lists.flatten().dictionary_encode()
+            words = flat.dictionary
+            key = np.repeat(np.arange(len(n)), n) * max(1, len(words)) + flat.indices.to_numpy()
+            key, tf = np.unique(key, return_counts=True)
+            row, word = np.divmod(key, max(1, len(words)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)).cast(id_type), words.take(pa.array(word)), pa.array(tf.astype(np.int64)), pa.array(n[row])], ["id", "term", "tf", "dl"])
+
+    return t.mapInArrow(run, f"id {t.schema['id'].dataType.simpleString()}, term string, tf long, dl long")
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -68,10 +91,13 @@ def query_terms(queries: DataFrame, profile: str, id_col: str = "query_id", text
 def scores(index: Bm25Index, queries: DataFrame, id_col: str = "query_id", text_col: str = "question", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """(query_id, id, score) of every pair that shares a term; all such scores are above zero."""
     q = query_terms(queries, index.profile, id_col, text_col)
-    # The few terms that are asked for, with their weight; then only their postings.
+    # Terms that are asked for reach the postings as a filter if they are few; more are joined by shuffling both sides.
+    few = q.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+    sent = F.broadcast if few else lambda df: df
+    wanted = index.terms.join(sent(q.select("term").distinct()), "term", "left_semi")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = q.join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # stats is one row
-    asked = asked.select("query_id", "term", (F.col("weight") * idf).alias("w"), F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")).alias("avgdl"))
+    asked = q.join(wanted, "term").crossJoin(F.broadcast(index.stats))  # stats is one row
+    asked = sent(asked.select("query_id", "term", (F.col("weight") * idf).alias("w"), F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")).alias("avgdl")))
     part = F.col("w") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return index.postings.join(asked, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 

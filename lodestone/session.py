@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings a session should have; an already running session keeps its own.
 DEFAULTS = {
@@ -21,3 +21,9 @@ def session(master: str = "local[*]", partitions: int | None = None, **conf: str
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     return b.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its scan has fewer partitions than there are cores; a larger table stays as it is read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
