@@ -9,11 +9,14 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(t) if name == "documents" else t
 
 
 def shared_dir(spark: SparkSession) -> str:
