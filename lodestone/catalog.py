@@ -533,9 +533,9 @@ _FIND = lambda c, p: f"list_filter(list_transform(regexp_extract_all({c}, '{p}')
 _DATES, _PHONES, _MAILS = (_FIND("text", p) for p in (layout.DATE, layout.PHONE, layout.EMAIL))
 
 
-@query(f"SELECT doc_id, list_sort(list_distinct({_DATES})) AS dates, list_sort(list_distinct(list_concat({_PHONES}, {_MAILS}))) AS contacts FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct({_DATES})), '|') AS dates, array_to_string(list_sort(list_distinct(list_concat({_PHONES}, {_MAILS}))), '|') AS contacts FROM documents")
 def extract_dates_contacts(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_sort(layout.dates(F.col("text"))).alias("dates"), F.array_sort(layout.contacts(F.col("text"))).alias("contacts"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(layout.dates(F.col("text"))), "|").alias("dates"), F.array_join(F.array_sort(layout.contacts(F.col("text"))), "|").alias("contacts"))
 
 
 def _ocr(spark, d):
