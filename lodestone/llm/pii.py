@@ -365,8 +365,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and no other added span. Other columns are not read.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = src.filter(F.col("text").rlike("[0-9@]")).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    field = fit([r["text"] for r in rows.orderBy("h").limit(SAMPLE).collect()])
+    # The sample: those of the smallest hashes. Tasks send hashes to find the border, and only then its texts.
+    rows = src.filter(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("doc_id", "text"))
+    border = rows.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    field = fit([] if border is None else [r[0] for r in sorted(rows.filter(F.col("h") <= border).select(F.substring("text", 1, SAMPLE_CHARS), "h").limit(SAMPLE).collect(), key=lambda r: (r[1], r[0]))])
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
