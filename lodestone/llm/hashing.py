@@ -8,6 +8,7 @@ import pyarrow as pa
 #: Bytes hashed at once.
 PIECE = 1 << 20
 _P = 0x9E3779B97F4A7C15
+_LENGTH = 0xD6E8FEB86659FD93
 _U = np.uint64
 
 
@@ -49,20 +50,49 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def _next(raw: np.ndarray, bounds: np.ndarray, at: int, upto: int) -> int | None:
+    """The first place in at..upto where a piece may end: white space, or where a text begins or the last one ends."""
+    gap = np.flatnonzero(WHITE[raw[at:upto]])
+    edge = int(bounds[min(np.searchsorted(bounds, at), len(bounds) - 1)])
+    found = [at + int(gap[0])] if len(gap) else []
+    return min(found + [edge] * (at <= edge <= upto), default=None)
+
+
+def _long_word(raw: np.ndarray, bounds: np.ndarray, at: int) -> tuple[np.uint64, int]:
+    """(hash before mix(), end) of the word that begins at the place given, a piece of it at a time."""
+    value, factor, step = 0, 1, int(_POWERS[PIECE])
+    start, n = at, len(raw)
+    while at < n:
+        end = _next(raw, bounds, max(at, start + 1), min(n, at + PIECE))
+        upto = min(n, at + PIECE) if end is None else end
+        value = (value + factor * int(prefix(raw[at:upto])[-1])) % (1 << 64)
+        factor, at = factor * step % (1 << 64), upto
+        if end is not None:
+            break
+    return _U((value + (at - start) * _LENGTH) % (1 << 64)), at
+
+
 def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word [^\\x20\\x09-\\x0D]+ of the texts raw[bounds[i]:bounds[i+1]]."""
+    """(hash, start, end) of each word [^\\x20\\x09-\\x0D]+ of the texts raw[bounds[i]:bounds[i+1]].
+
+    A word has one hash, whatever it stands by and however long it is.
+    """
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     at, n = 0, len(raw)
     while at < n:
         end = min(n, at + PIECE)
         if end < n:  # up to white space, or to where a text begins
-            gap = np.flatnonzero(WHITE[raw[end : end + PIECE]])
-            end = end + int(gap[0]) if len(gap) else n
-            if end - at > 2 * PIECE:  # a word of over a piece
-                k = np.searchsorted(bounds, at + PIECE)
-                end = min(n, max(int(bounds[min(k, len(bounds) - 1)]), at + PIECE))
-                if end - at > 2 * PIECE:
-                    end = n
+            found = _next(raw, bounds, end, min(n, end + PIECE))
+            if found is None:  # a word of over a piece: what stands before it, then the word by itself
+                gap = np.flatnonzero(WHITE[raw[at:end]])
+                edge = int(bounds[max(0, np.searchsorted(bounds, end, "right") - 1)])
+                found = max(at, edge, at + int(gap[-1]) + 1 if len(gap) else at)
+                if found == at:
+                    value, end = _long_word(raw, bounds, at)
+                    out.append((mix(np.array([value])), np.array([at]), np.array([end])))
+                    at = end
+                    continue
+            end = found
         b = raw[at:end]
         inner = bounds[np.searchsorted(bounds, at, "left") : np.searchsorted(bounds, end, "right")] - at
         w = ~WHITE[b]
@@ -71,14 +101,9 @@ def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         after = np.concatenate([w[1:], [False]])
         after[inner[inner > 0] - 1] = False
         start, stop = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
-        if len(b) < len(_POWERS):
-            h = prefix(b)
-            value = (h[stop] - h[start]) * _INVERSE[start]
-        else:
-            import xxhash
-
-            value = np.array([xxhash.xxh64_intdigest(b[s:e].tobytes()) for s, e in zip(start, stop, strict=True)], np.uint64)
-        out.append((mix(value + (stop - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93)), start + at, stop + at))
+        h = prefix(b)
+        value = (h[stop] - h[start]) * _INVERSE[start]
+        out.append((mix(value + (stop - start).astype(np.uint64) * _U(_LENGTH)), start + at, stop + at))
         at = end
     if not out:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)

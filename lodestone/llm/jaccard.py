@@ -158,7 +158,10 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 
 def verified(placed: DataFrame, threshold: float) -> DataFrame:
-    """placed: (task, side, node, runs) with runs the set as bytes. Gives (a, b, n): n links of a, and edges a-b with n 0."""
+    """placed: (task, side, node, runs) with runs the set as bytes. Gives (a, b, n): n links of a, and edges a-b with n 0.
+
+    A node is on side 2 in one task, which gives a row for it even without links.
+    """
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
@@ -174,7 +177,7 @@ def verified(placed: DataFrame, threshold: float) -> DataFrame:
             i, j = similar([made[k] for k in l], [made[k] for k in r] if r is not None else None, threshold)
             i, j = l[i], (r if r is not None else l)[j]
         degree = np.bincount(np.concatenate([i, j]), minlength=len(node))
-        some = np.flatnonzero(degree)
+        some = np.flatnonzero((degree > 0) | (side == 2))
         edges = _forest(len(node), i, j)
         a = np.concatenate([node[some], node[[x for x, _ in edges]] if edges else np.empty(0, np.int64)])
         b = [None] * len(some) + [int(node[y]) for _, y in edges]
@@ -184,7 +187,10 @@ def verified(placed: DataFrame, threshold: float) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (doc_id, s1, s2, node, ...) with runs: the sets of the documents named, as bytes."""
+    """wanted (doc_id, s1, s2, node, ...) with runs: the sets of the documents named, as bytes.
+
+    Rows that share an id may differ in text, so the set's key tells which is meant.
+    """
     joined = docs.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id")))
     joined = joined.select("text", *[c for c in wanted.columns if c != "doc_id"])
     names = [c for c in joined.columns if c not in ("text", "s1", "s2")]
@@ -242,6 +248,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     made = with_sets(src, wanted).select("node", "runs", F.explode("meet").alias("m")).select("node", "runs", F.col("m.task").alias("task"), F.col("m.side").alias("side"))
     links = materialize(verified(made, threshold), "links")
     drop(sized)
+    met = links.filter("b is null").select("a").distinct().count()
+    if met != total:
+        raise RuntimeError(f"{total - met} of {total} sets were not made again with the key that they had")
     degree = links.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     near = components(links.filter("b is not null").select("a", "b")).select(F.col("v").alias("node"), F.col("c").alias("near"))
     named = classes.select("s1", "s2", "n", "node", "doc_id").join(degree, "node", "left").join(near, "node", "left")

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import anchors, decontam, exact, jaccard, langid, pii, piece_codec, shards, suffixes, urls
 from tests.llm.conftest import make, prose
@@ -314,6 +315,36 @@ def test_no_hash_of_words_depends_on_where_they_stand(monkeypatch):
     assert len(hashing.words(*hashing.buffers(texts))[0]) == 7
 
 
+def test_a_long_word_changes_no_other_hash():
+    from lodestone.llm import hashing
+
+    plain = hashing.words(*hashing.buffers(pa.array(["one two", "three four"])))[0]
+    for size in (hashing.PIECE + 7, 2 * hashing.PIECE + 7, 3 * hashing.PIECE):
+        long = "x" * (size - 1)
+        h = hashing.words(*hashing.buffers(pa.array(["one two " + long + "y", "three four", long + "y", long + "z"])))[0]
+        assert h[:2].tolist() + h[3:5].tolist() == plain.tolist()
+        assert h[2] == h[5] != h[6]
+
+
+def test_words_before_and_after_a_long_one(spark):
+    """Ordinary words of the slab that holds a long word still meet those of other slabs."""
+    passage = " ".join(f"w{k}" for k in range(40))
+    long = "漢" * (1 << 20)
+    rows = [(1, passage, "en"), (2, passage + " " + long + " end", "en"), (3, passage + " x", "en")]
+    whole = make(spark, rows, extra=False)
+    for df in (whole.coalesce(1), whole.repartition(3, "doc_id")):
+        assert {r.doc_id: r.n_removed for r in anchors.substring_dedup(df, texts=False).collect()} == {1: 0, 2: 40, 3: 40}
+        assert {r.doc_id: (r.n_links, r.class_id) for r in jaccard.near_duplicates(df).collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1)}
+
+
+def test_a_set_that_changes_between_passes_is_an_error(spark, monkeypatch):
+    a = prose(random.Random(2), 60)
+    whole = jaccard.with_sets
+    monkeypatch.setattr(jaccard, "with_sets", lambda docs, wanted: whole(docs.withColumn("text", F.concat("text", F.lit(" more"))), wanted))
+    with pytest.raises(RuntimeError, match="2 of 2 sets"):
+        jaccard.near_duplicates(make(spark, [(1, a, "en"), (2, a + " tail", "en")])).collect()
+
+
 # -- op7
 
 
