@@ -202,8 +202,7 @@ def dense_topk(spark, d):
 @query(f"SELECT query_id, id, round(s, 4) AS dense_score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id)::INT AS dense_rank FROM ({_COS}) QUALIFY dense_rank <= 10")
 def dense_topk_expression(spark, d):
     v, q = _vectors(spark, d)
-    both = v.crossJoin(F.broadcast(q.limit(1000).withColumnRenamed("embedding", "q"))).select("query_id", "id", vectors.cosine(F.col("embedding"), F.col("q")).alias("dense_score"))
-    return lexical.top_k(both, 10, by="dense_score", rank="dense_rank", places=6).select("query_id", "id", F.round("dense_score", 4).alias("dense_score"), "dense_rank")
+    return dense.search_by_expression(v, q, 10, places=6).withColumn("dense_score", F.round("dense_score", 4))
 
 
 @query(f"SELECT query_id, label, id, round(s, 5) AS dense_score, k::INT AS k FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(s, 9) DESC, id) AS k FROM ({_COS})) WHERE k <= 3")

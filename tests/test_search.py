@@ -109,6 +109,26 @@ def test_vector_search_is_exact(spark, monkeypatch):
             assert [per[k, g][i] for i in (1, 2)] == [j for j in want if j % 3 == g][:2]
 
 
+def test_no_query_goes_without_a_result(spark, tmp_path):
+    from lodestone import catalog
+
+    n = 100_100  # 1001 queries
+    spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.cos(F.col("id") * 1.0), F.sin(F.col("id") * 1.0)).cast("array<float>").alias("embedding"), F.lit("x").alias("label")).filter("vec_id % 100 = 0 or vec_id < 20").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.dense_topk_expression(spark, str(tmp_path)).groupBy("query_id").agg(F.count("*").alias("n")).collect()
+    assert {r.query_id: r.n for r in got} == {k: 10 for k in range(0, n, 100)}
+
+
+def test_blocks_of_queries_change_nothing(spark, monkeypatch):
+    rnd = random.Random(6)
+    v = spark.createDataFrame([(k, [rnd.gauss(0, 1) for _ in range(4)]) for k in range(60)], "id int, embedding array<float>")
+    q = v.filter("id < 7").withColumnRenamed("id", "query_id")
+    rows = lambda: sorted(map(tuple, dense.search_by_expression(v, q, 3).collect()))
+    whole = rows()
+    monkeypatch.setattr(dense, "FEW", 3)
+    assert rows() == whole and len(whole) == 21
+    assert dense.search_by_expression(v, q.limit(0), 3).count() == 0
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, "x", 3.0, 1), (1, "y", 2.0, 2), (1, "z", 1.0, 3)], "query_id int, id string, bm25_score double, bm25_rank int")
     b = spark.createDataFrame([(1, "y", 0.9, 1), (1, "x", 0.8, 2), (1, "z", 0.7, 3), (1, "w", 0.6, 4), (2, "w", 0.6, 1)], "query_id int, id string, dense_score double, dense_rank int")
