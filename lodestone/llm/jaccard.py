@@ -1,8 +1,8 @@
-"""N-gram Jaccard join: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash LSH by fixed bands, then exact verification.
 
-Each text is the set of its runs of five words. A forest of TREES sorted prefix tries holds signatures of DEPTH
-minima for each tree; texts match in a tree if they share a prefix. The prefix is shortened from DEPTH until a pair at
-the threshold is found with the target recall. Texts with the same set are one class, and one of them stands for all.
+Each text is the set of its runs of five words. Each of TREES bands has as many minima, DEPTH at most, as find a pair at
+the threshold with the target recall; texts match if they share all minima of a band. Texts with the same set are one
+class, and one of them stands for all.
 
 Matches are gathered as a graph without listing the pairs of a bucket: each text is tied to its buckets' smallest. Each
 connected part is verified whole: its sets meet in blocks of a bounded number of texts, each block with each, and all
