@@ -493,7 +493,7 @@ def posted_at(spark, d):
 
 @query()
 def html_visible_text(spark, d):
-    return table(spark, d, "pages").select("page_id", web.visible_text(web.content_region(F.col("html"))).alias("text"))
+    return table(spark, d, "pages").select("page_id", web.content_text(F.col("html")).alias("text"))
 
 
 @query()

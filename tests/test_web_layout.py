@@ -35,8 +35,23 @@ def test_pages(spark):
     assert one(spark, web.posted_at(c("t")), PAGE) == "2026-03-07T09:05:00+09:00"
     assert one(spark, web.posted_at(c("t")), "<p>2025-12-1 and</p>") == "2025-12-01T00:00:00+09:00"
     assert one(spark, web.posted_at(c("t")), "none") is None
-    assert web.attachments_of(PAGE, "http://h.org/a/b") == ["http://h.org/f/plan.PDF", "http://o.org/d.hwp?x=1", "http://h.org/files/p.png", "http://h.org/a/e.zip"]
-    assert web.balanced_div("<div id='x'><div></div>", "id='x'") is None
+    assert web.attachments_in(web.Page(PAGE), "http://h.org/a/b") == ["http://h.org/f/plan.PDF", "http://o.org/d.hwp?x=1", "http://h.org/files/p.png", "http://h.org/a/e.zip"]
+    assert one(spark, web.content_text(c("t")), PAGE) == one(spark, web.visible_text(web.content_region(c("t"))), PAGE)
+    assert web.Page("<div id='x'><div></div>").div("id='x'") is None
+    nested = "<div id='x'>a<div>b</div></div>c"
+    assert web.Page(nested).div("id='x'") == (0, len(nested) - 1)
+
+
+def test_markup_that_is_not_well_formed():
+    lines = web.page_lines
+    assert lines("a<!-- <p>no</p> -->b<!doctype x>c") == ["abc"]
+    assert lines("a<script>if (1<2) x='</p>'</script>b<style>p{}") == ["ab"]
+    assert lines("<noscript>a<noscript>b</noscript>c</noscript>d") == ["d"]
+    assert lines("<a title='x>y'>t</a> 1 < 2 <3 &amp;lt;") == ["t 1 < 2 <3 <"]
+    assert lines("a<p") == ["a<p"] and lines("") == lines(None) == []
+    assert web.notice_links("<a href='/b/boardview/1/2?x=1#y'>", "http://h") == ["http://h/b/boardview/1/2?x=1"]
+    long = "<a '" * 100_000 + "<div>" * 100_000
+    assert web.Page(long).div("x") is None
 
 
 def test_urls(spark):
