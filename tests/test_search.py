@@ -3,7 +3,6 @@
 import hashlib
 import math
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,34 +14,38 @@ from lodestone.plans import search
 c = F.col
 
 
-def norm(t):
-    t = re.sub(r"[ \t]+", " ", t.replace("\r", ""))
-    return re.sub(r"\n{3,}", "\n\n", t).strip()
+A, B, C = "a", "b", "c"
+#: Texts and their chunks, worked out by hand.
+PACKED = [
+    (A * 700, [A * 700]),
+    (A * 701, [A * 620, A * 81]),
+    (A * 1240, [A * 620, A * 620]),
+    (f"{A * 179}\n\n{B * 600}", [f"{A * 179}\n\n{B * 600}"]),  # a short one takes the next, however long
+    (f"{A * 180}\n\n{B * 600}", [A * 180, B * 600]),
+    (f"{A * 180}\n\n{B * 518}", [f"{A * 180}\n\n{B * 518}"]),  # exactly the size
+    (f"{A * 180}\n\n{B * 519}", [A * 180, B * 519]),
+    (f"short\n \n{C * 701}", ["short", C * 620, C * 81]),
+    (f"{A * 701}\n\n{B}\n\n{C}", [A * 620, A * 81, f"{B}\n\n{C}"]),
+    (f"{A * 610}{' ' * 90}{B * 30}", [f"{A * 610} {B * 30}"]),
+    (f"{A * 619} {B * 100}", [A * 619, B * 100]),  # a cut after white space leaves none
+    ("a\r\n\r\nb\t\tc", ["a\n\nb c"]),
+    ("", []),
+    (" \n ", []),
+]
 
 
-def plain_chunks(t, size=700):
-    """The packing rule, in plain Python."""
-    out, now = [], ""
-    for p in [norm(p) for p in re.split(r"\n\s*\n", norm(t)) if norm(p)]:
-        if len(p) > size:
-            out += [now] * bool(now)
-            now = ""
-            out += [p[i : i + 620].strip() for i in range(0, len(p), 620)]
-        elif len(now) + len(p) + 2 > size and len(now) >= 180:
-            out.append(now)
-            now = p
-        else:
-            now = f"{now}\n\n{p}" if now else p
-    return out + [now] * bool(now)
+def test_packing(spark):
+    got = spark.createDataFrame(PACKED, "t string, want array<string>").select("want", chunks.chunks(c("t")).alias("c")).collect()
+    assert [r.c for r in got] == [r.want for r in got]
 
 
-def test_packing(spark):
+def test_packing_loses_nothing(spark):
     rnd = random.Random(3)
     para = lambda n: ("가나 b" * n)[:n].strip()
     texts = ["\n\n".join(para(rnd.choice([1, 50, 179, 180, 181, 520, 600, 700, 701, 1500])) for _ in range(rnd.randrange(1, 8))) for _ in range(80)]
-    texts += ["a" * 700, "a" * 701, "a" * 179 + "\n\n" + "b" * 600, "a" * 180 + "\n\n" + "b" * 600, "short\n \n" + "c" * 701, "x" * 610 + " " * 90 + "y" * 30, "a\r\n\r\nb\t\tc", "", " \n "]
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chunks.chunks(c("t")).alias("c")).collect()
-    assert all(r.c == plain_chunks(r.t) for r in got)
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", chunks.chunks(c("t")).alias("c")).collect():
+        assert "".join("".join(r.c).split()) == "".join(r.t.split())
+        assert all(x == x.strip() and 0 < len(x) <= 179 + 2 + 700 for x in r.c)
 
 
 def test_sections(spark):
