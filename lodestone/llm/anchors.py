@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, materialize, table
-from .hashing import buffers, mix, runs, words
-from .repeats import BITS, NO_ID, bucket_count, firsts, gathered, least_most, merged, met, pack, places, slabs, source
+from .hashing import buffers, runs, words
+from .repeats import BITS, NO_ID, bucket_count, entered, firsts, gathered, least_most, merged, met, places, slabs, source
 
 WINDOW = 13
 #: 2 * BLOCK - 1 <= WINDOW, so that any window holds a whole block, wherever the blocks begin.
@@ -46,24 +46,20 @@ def probe(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in slabs(batches):
             ids, fps, h, doc, at, left = _slab(batch)
             k = np.flatnonzero(left >= BLOCK)
-            key = runs(h, BLOCK)[k] >> _U(64 - BITS) if len(k) else np.empty(0, np.uint64)
-            d, p = doc[k], at[k]
-            order = np.argsort(key, kind="stable")
-            key, d, p = key[order], d[order], p[order]
-            later, found = _anchored(key, ids[d], p)
-            keep = ~later
-            yield from pack(buckets, ids, fps, key[keep], np.zeros(int(keep.sum()), np.uint8), d[keep].astype(np.int64), p[keep].astype(np.uint32), d[found].astype(np.int64), p[found].astype(np.uint32))
+            key = runs(h[:, 0], BLOCK)[k] >> _U(64 - BITS) if len(k) else np.empty(0, np.uint64)
+            yield from entered(buckets, ids, fps, key, np.zeros(len(k), np.uint8), doc[k], at[k].astype(np.uint32), _anchored)
 
-    def answer(h, c, doc, fp, p, settled):
-        order = np.argsort(h, kind="stable")
-        h, doc, fp, p = h[order], doc[order], fp[order], p[order]
-        _, found = _anchored(h, doc, p)
-        return [places(doc[found], fp[found], p[found], 0), places(*settled, 0)]
+    return met(docs, entries, lambda *x: _answer(_anchored, *x), buckets, np.uint8, np.uint32, _anchored)
 
-    return met(docs, entries, answer, buckets, np.uint8, np.uint32)
 
+def _answer(settle, h: np.ndarray, c: np.ndarray, doc: np.ndarray, fp: np.ndarray, p: np.ndarray, settled) -> list[pa.Table]:
+    order = np.lexsort((c, h))
+    h, c, doc, fp, p = h[order], c[order], doc[order], fp[order], p[order]
+    _, found = settle(h, c, doc, p)
+    return [places(doc[found], fp[found], p[found], 0), places(*settled, 0)]
 
-def _anchored(key: np.ndarray, doc: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _anchored(key: np.ndarray, _: np.ndarray, doc: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of entries sorted by key: (settled here: in a later document than some block, anchors)."""
     if not len(key):
         return np.zeros(0, bool), np.zeros(0, bool)
@@ -92,28 +88,16 @@ def extend(docs: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
                 np.add.at(marked, np.maximum(own - (WINDOW - BLOCK), base[k]), 1)
                 np.add.at(marked, own + 1, -1)
             k = np.flatnonzero((np.cumsum(marked)[:n] > 0) & (left >= WINDOW))
-            key = runs(h, WINDOW)[k] if len(k) else np.empty(0, np.uint64)
-            other = mix(runs(h[::-1], WINDOW)[::-1][k]).astype(np.uint32) if len(k) else np.empty(0, np.uint32)
-            low = ((key & _U((1 << (64 - BITS)) - 1)) << _U(32)) | other.astype(np.uint64)
-            key = key >> _U(64 - BITS)
-            d, p = doc[k], at[k]
-            order = np.lexsort((low, key))
-            key, low, d, p = key[order], low[order], d[order], p[order]
-            later = _later(key, low, ids[d])
-            keep = ~later
-            yield from pack(buckets, ids, fps, key[keep], low[keep], d[keep], p[keep].astype(np.uint32), d[later], p[later].astype(np.uint32))
-
-    def answer(h, c, doc, fp, p, settled):
-        order = np.lexsort((c, h))
-        h, c, doc, fp, p = h[order], c[order], doc[order], fp[order], p[order]
-        later = _later(h, c, doc)
-        return [places(doc[later], fp[later], p[later], 0), places(*settled, 0)]
+            key, other = (runs(h[:, x], WINDOW)[k] if len(k) else np.empty(0, np.uint64) for x in (0, 1))
+            yield from entered(buckets, ids, fps, key >> _U(64 - BITS), other, doc[k], at[k].astype(np.uint32), _later)
 
-    return met(joined, entries, answer, buckets, np.uint64, np.uint32)
+    return met(joined, entries, lambda *x: _answer(_later, *x), buckets, np.uint64, np.uint32, _later)
 
 
-def _later(key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return doc > least_most(doc, firsts(key, check))[0] if len(key) else np.zeros(0, bool)
+def _later(key: np.ndarray, check: np.ndarray, doc: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries sorted by key and check: those that an earlier document has too, which are settled and found."""
+    later = doc > least_most(doc, firsts(key, check))[0] if len(key) else np.zeros(0, bool)
+    return later, later
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -123,8 +107,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """A row for each row of docs: doc_id, n_words, n_removed, kept_sha256, and kept (the words that stay) unless texts is false.
 
     A word goes if a window of WINDOW words that holds it also begins in a document of a smaller id. Null and empty
-    texts have no words. A null id is larger than all others, and rows that share an id (or have none) don't make each
-    other's words go. Windows are compared by 96 bits of two hashes. Other columns are not read.
+    texts have no words, and neither they nor texts of fewer than WINDOW words lose any. A null id is larger than all
+    others, and rows that share an id (or have none), repeated rows among them, don't make each other's words go. A
+    text of any length is read whole, in one task; so is a word. Windows are equal if 112 bits of two hashes are, each
+    made of its own half of the words' 128-bit BLAKE2b. Other columns, whatever their names, are not read. An empty
+    table gives no rows.
     """
     src = source(docs, id_col, text_col)
     n = bucket_count(src)

@@ -1,14 +1,16 @@
-"""64-bit hashes of the words of many texts at once, over their UTF-8 bytes."""
+"""Hashes of the words and of the stretches of many texts at once, over their UTF-8 bytes."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-#: Bytes hashed at once.
-PIECE = 1 << 20
+#: The base of polynomial hashes.
 _P = 0x9E3779B97F4A7C15
-_LENGTH = 0xD6E8FEB86659FD93
+#: Bytes whose prefixes are hashed at once, at most.
+LONGEST = 1 << 20
 _U = np.uint64
 
 
@@ -26,8 +28,8 @@ def prefix(b: np.ndarray) -> np.ndarray:
     return out
 
 
-_POWERS = powers(_P, 2 * PIECE)
-_INVERSE = powers(pow(_P, -1, 1 << 64), 2 * PIECE)
+_POWERS = powers(_P, LONGEST)
+_INVERSE = powers(pow(_P, -1, 1 << 64), LONGEST)
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -50,73 +52,36 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def _next(raw: np.ndarray, bounds: np.ndarray, at: int, upto: int) -> int | None:
-    """The first place in at..upto where a piece may end: white space, or where a text begins or the last one ends."""
-    gap = np.flatnonzero(WHITE[raw[at:upto]])
-    edge = int(bounds[min(np.searchsorted(bounds, at), len(bounds) - 1)])
-    found = [at + int(gap[0])] if len(gap) else []
-    return min(found + [edge] * (at <= edge <= upto), default=None)
-
-
-def _long_word(raw: np.ndarray, bounds: np.ndarray, at: int) -> tuple[np.uint64, int]:
-    """(hash before mix(), end) of the word that begins at the place given, a piece of it at a time."""
-    value, factor, step = 0, 1, int(_POWERS[PIECE])
-    start, n = at, len(raw)
-    while at < n:
-        end = _next(raw, bounds, max(at, start + 1), min(n, at + PIECE))
-        upto = min(n, at + PIECE) if end is None else end
-        value = (value + factor * int(prefix(raw[at:upto])[-1])) % (1 << 64)
-        factor, at = factor * step % (1 << 64), upto
-        if end is not None:
-            break
-    return _U((value + (at - start) * _LENGTH) % (1 << 64)), at
-
-
 def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each word [^\\x20\\x09-\\x0D]+ of the texts raw[bounds[i]:bounds[i+1]].
 
-    A word has one hash, whatever it stands by and however long it is.
+    A hash is a row of two 64-bit numbers: the 128-bit BLAKE2b of the word's bytes, so a word has one hash whatever it
+    stands by and however long it is, and nobody can make two words with one hash. Each distinct word is hashed once.
     """
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    at, n = 0, len(raw)
-    while at < n:
-        end = min(n, at + PIECE)
-        if end < n:  # up to white space, or to where a text begins
-            found = _next(raw, bounds, end, min(n, end + PIECE))
-            if found is None:  # a word of over a piece: what stands before it, then the word by itself
-                gap = np.flatnonzero(WHITE[raw[at:end]])
-                edge = int(bounds[max(0, np.searchsorted(bounds, end, "right") - 1)])
-                found = max(at, edge, at + int(gap[-1]) + 1 if len(gap) else at)
-                if found == at:
-                    value, end = _long_word(raw, bounds, at)
-                    out.append((mix(np.array([value])), np.array([at]), np.array([end])))
-                    at = end
-                    continue
-            end = found
-        b = raw[at:end]
-        inner = bounds[np.searchsorted(bounds, at, "left") : np.searchsorted(bounds, end, "right")] - at
-        w = ~WHITE[b]
-        before = np.concatenate([[False], w[:-1]])
-        before[inner[inner < len(b)]] = False
-        after = np.concatenate([w[1:], [False]])
-        after[inner[inner > 0] - 1] = False
-        start, stop = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
-        h = prefix(b)
-        value = (h[stop] - h[start]) * _INVERSE[start]
-        out.append((mix(value + (stop - start).astype(np.uint64) * _U(_LENGTH)), start + at, stop + at))
-        at = end
-    if not out:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
+    w = ~WHITE[raw]
+    begins = w.copy()
+    begins[1:] &= ~w[:-1]
+    ends = w.copy()
+    ends[:-1] &= ~w[1:]
+    inner = bounds[(bounds > 0) & (bounds < len(raw))]
+    begins[inner] |= w[inner]
+    ends[inner - 1] |= w[inner - 1]
+    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    if not len(start):
+        return np.empty((0, 2), np.uint64), start, stop
+    packed, offsets = raw[w], np.concatenate([[0], np.cumsum(stop - start)])
+    column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+    coded = column.dictionary_encode()
+    known = b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in coded.dictionary.to_pylist())
+    return np.frombuffer(known, np.uint64).reshape(-1, 2)[coded.indices.to_numpy()], start, stop
 
 
 def runs(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k adjacent items of h."""
+    """A hash of each k adjacent items of h: each item is mixed into what the ones before it gave."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out, factor = np.zeros(n, np.uint64), 1
+    out = np.full(n, k, np.uint64)
     for i in range(k):
-        factor = factor * 0xD1342543DE82EF95 % (1 << 64)
-        out += h[i : i + n] * _U(factor)
-    return mix(out)
+        out = mix((out * _U(0xD1342543DE82EF95)) ^ h[i : i + n])
+    return out

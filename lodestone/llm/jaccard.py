@@ -51,6 +51,7 @@ def sets(column: pa.Array, k: int = WORDS) -> list[np.ndarray]:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + SLAB, "right")) - 1)
         h, start, _ = words(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
         cut = np.searchsorted(start, bounds[i : j + 1] - bounds[i])
+        h = h[:, 0]
         r = runs(h, k)
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             out.append(np.unique(r[a : b - k + 1]) if b - a >= k else runs(h[a:b], b - a) if b > a else np.empty(0, np.uint64))

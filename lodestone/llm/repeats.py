@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 #: Bytes of text in a slab, and of all text for each bucket; the fewest buckets; the most that a slab is dealt to at
 #: once: with more, rows go to so many first, are joined there, and are dealt again.
 SLAB, PER_BUCKET, BUCKETS, FAN = 8 << 20, 8 << 20, 32, 4096
-#: Entries that are joined before they are dealt again.
-JOINED = 1 << 20
+#: Entries that are joined before they are dealt again; buckets in one partition.
+JOINED, AT_ONCE = 1 << 20, 8
 #: Bits of a packed hash.
 BITS = 48
 NO_ID = (1 << 63) - 1
@@ -147,22 +147,36 @@ def least_most(doc: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 def gathered(found: DataFrame) -> DataFrame:
     """A row for each document: the lists of places by kind."""
     of = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("places"))).alias(f"p{k}")
-    return found.groupBy("doc_id", "fp").agg(of(0), of(1))
+    return found.groupBy("doc_id", "fp").agg(of(0), of(1), of(2))
 
 
 def merged(blobs: list[bytes] | None) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(blobs), np.uint64)).astype(np.int64) if blobs else np.empty(0, np.int64)
 
 
-def dealt_again(batches: Iterator[pa.RecordBatch], buckets: int, check, place) -> Iterator[pa.RecordBatch]:
-    """Packed rows, joined and packed for more buckets."""
+def entered(buckets: int, ids: np.ndarray, fps: np.ndarray, h: np.ndarray, c: np.ndarray, d: np.ndarray, p: np.ndarray, settle: Callable, rd: np.ndarray | None = None, rp: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Entries packed, without those that can be settled among themselves. settle: see met()."""
+    order = np.lexsort((c, h))
+    h, c, d, p = h[order], c[order], d[order], p[order]
+    later, found = settle(h, c, ids[d], p)
+    rd = d[found] if rd is None else np.concatenate([rd, d[found]])
+    rp = p[found] if rp is None else np.concatenate([rp, p[found]])
+    yield from pack(buckets, ids, fps, h[~later], c[~later], d[~later], p[~later], rd, rp)
+
+
+def nothing_settled(h: np.ndarray, c: np.ndarray, doc: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(len(h), bool), np.zeros(len(h), bool)
+
+
+def dealt_again(batches: Iterator[pa.RecordBatch], buckets: int, check, place, settle: Callable) -> Iterator[pa.RecordBatch]:
+    """Packed rows, joined, settled among themselves once more, and packed for more buckets."""
     held, size = [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         h, c, doc, fp, p, rdoc, rfp, rp = unpack(pa.Table.from_batches(held), check, place)
         pairs, number = np.unique(np.stack([np.concatenate([doc, rdoc]), np.concatenate([fp, rfp])]), axis=1, return_inverse=True)
         number = number.ravel()
-        yield from pack(buckets, pairs[0], pairs[1], h, c, number[: len(doc)], p, number[len(doc) :], rp)
+        yield from entered(buckets, pairs[0], pairs[1], h, c, number[: len(doc)], p, settle, number[len(doc) :], rp)
 
     for batch in batches:
         for k in range(batch.num_rows):
@@ -176,8 +190,19 @@ def dealt_again(batches: Iterator[pa.RecordBatch], buckets: int, check, place) -
         yield from flush()
 
 
-def met(docs: DataFrame, entries: Callable, answer: Callable, buckets: int, check, place) -> DataFrame:
-    """entries(batches, buckets) gives packed rows; answer(h, c, doc, fp, p, settled) gives tables of places for one bucket."""
+def by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows over as many partitions as keep each to AT_ONCE buckets or so; below the session's number of partitions it stays."""
+    n = -(-buckets // AT_ONCE)
+    return rows.repartition(n, "bucket") if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
+def met(docs: DataFrame, entries: Callable, answer: Callable, buckets: int, check, place, settle: Callable = nothing_settled) -> DataFrame:
+    """entries(batches, buckets) gives packed rows; answer(h, c, doc, fp, p, settled) gives tables of places for one bucket.
+
+    settle(h, c, doc, p), of entries sorted by h and c, tells (which need go no further, which are found). With many
+    buckets, entries are dealt in two rounds and settled in between: so a hash that all slabs have reaches its bucket
+    in as few entries as there are joined rows of many slabs.
+    """
 
     def group(table: pa.Table) -> pa.Table:
         h, c, doc, fp, p, *settled = unpack(table, check, place)
@@ -186,6 +211,6 @@ def met(docs: DataFrame, entries: Callable, answer: Callable, buckets: int, chec
     first = min(buckets, FAN)
     rows = docs.mapInArrow(lambda batches: entries(batches, first), PACKED)
     if buckets > first:
-        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(n, "bucket").mapInArrow(lambda batches: dealt_again(batches, buckets, check, place), PACKED)
-    return rows.groupBy("bucket").applyInArrow(lambda t: group(t), PLACES)
+        n = min(first, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // AT_ONCE)))
+        rows = rows.repartition(n, "bucket").mapInArrow(lambda batches: dealt_again(batches, buckets, check, place, settle), PACKED)
+    return by_bucket(rows, buckets).groupBy("bucket").applyInArrow(lambda t: group(t), PLACES)
