@@ -293,37 +293,59 @@ def test_parts_of_long_texts(monkeypatch):
 
 def test_suffixes_are_sorted():
     rnd = random.Random(7)
-    b = bytes(rnd.choice(b"ab") for _ in range(900))
+    b = bytes(rnd.choice(b"ab") for _ in range(400)) * 2 + bytes(rnd.choice(b"ab") for _ in range(200))
     text = suffixes.Text(np.frombuffer(b, np.uint8))
-    suffix = np.arange(850)
+    suffix = np.arange(950)
     group = np.sort(np.array([rnd.randrange(6) for _ in suffix]))
-    got = suffixes.suffix_sort(text, suffix, group)
-    assert [b[i : i + 50] for i in suffix[got]] == [x for g in range(6) for x in sorted(b[i : i + 50] for i in suffix[group == g])]
-    i, j = np.array([3, 10]), np.array([400, 10])
-    assert text.common(i, j)[1] == 50 and text.common(i, j)[0] == next(k for k in range(51) if k == 50 or b[3 + k] != b[400 + k])
+    order, same = suffixes.suffix_sort(text, suffix, group)
+    window = lambda i: b[i : i + 50]
+    assert [window(i) for i in suffix[order]] == [x for g in range(6) for x in sorted({window(i) for i in suffix[group == g]})]
+    assert all(window(x) == window(y) and group[x] == group[y] for x, y in enumerate(same))
+    assert (suffixes.sorted_classes(text, suffix, group) == same).all()
+    i, j = np.array([3, 10]), np.array([600, 10])
+    assert text.common(i, j)[1] == 50 and text.common(i, j)[0] == next(k for k in range(51) if k == 50 or b[3 + k] != b[600 + k])
 
 
-def test_no_hash_of_words_depends_on_where_they_stand(monkeypatch):
+def test_hashes_that_mislead_change_nothing(spark, odd_rows, monkeypatch):
+    rows = [r for r in odd_rows if len(r[1] or "") < 10_000]
+    whole = rows_of(suffixes.suffix_dedup(make(spark, rows), texts=False))
+    rnd = random.Random(7)
+    b = bytes(rnd.choice(b"ab") for _ in range(300)) * 3
+    text = suffixes.Text(np.frombuffer(b, np.uint8))
+    suffix, group = np.arange(850), np.zeros(850, np.int64)
+    monkeypatch.setattr(text, "common", lambda i, j: np.full(len(i), 0))  # all hashes differ
+    same = suffixes.sorted_classes(text, suffix, group)
+    assert len(set(same.tolist())) == len({b[i : i + 50] for i in range(850)}) and all(b[x : x + 50] == b[y : y + 50] for x, y in enumerate(same))
+    monkeypatch.setattr(suffixes, "HOT", 3)  # windows dealt by themselves
+    assert rows_of(suffixes.suffix_dedup(make(spark, rows), texts=False)) == whole
+
+
+def test_no_hash_of_words_depends_on_where_they_stand():
     from lodestone.llm import hashing
 
-    texts = pa.array(["alpha beta\x0bgamma", None, "", "beta", " delta alpha", "gamma"])
-    h, start, _ = hashing.words(*hashing.buffers(texts))
-    assert len(h) == 7 and h[0] == h[5] and h[1] == h[3] and h[2] == h[6] and len(set(h.tolist())) == 4
-    monkeypatch.setattr(hashing, "PIECE", 7)
-    assert (hashing.words(*hashing.buffers(texts))[0] == h).all()
-    monkeypatch.setattr(hashing, "PIECE", 2)
-    assert len(hashing.words(*hashing.buffers(texts))[0]) == 7
+    texts = pa.array(["alpha beta\x0bgamma", None, "", "beta", " delta alpha", "gamma", "漢 é漢"])
+    h, start, stop = hashing.words(*hashing.buffers(texts))
+    raw = hashing.buffers(texts)[0].tobytes()
+    assert [raw[a:b].decode() for a, b in zip(start, stop, strict=True)] == ["alpha", "beta", "gamma", "beta", "delta", "alpha", "gamma", "漢", "é漢"]
+    assert h.tobytes() == b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start, stop, strict=True))
+    r = hashing.runs(h[:, 0], 2)
+    assert r[0] != r[4] and hashing.runs(h[[1, 0, 0, 1]][:, 0], 2)[0] != hashing.runs(h[[1, 0, 0, 1]][:, 0], 2)[2]
 
 
-def test_a_long_word_changes_no_other_hash():
-    from lodestone.llm import hashing
+def test_words_made_to_collide_do_not(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2^64, at any base."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{k}" for k in range(12))
+    df = make(spark, [(1, f"{rest} {one}", "en"), (2, f"{rest} {other}", "en"), (3, f"{rest} {one}", "en")])
+    assert {r.doc_id: r.n_removed for r in anchors.substring_dedup(df, texts=False).collect()} == {1: 0, 2: 0, 3: 13}
 
-    plain = hashing.words(*hashing.buffers(pa.array(["one two", "three four"])))[0]
-    for size in (hashing.PIECE + 7, 2 * hashing.PIECE + 7, 3 * hashing.PIECE):
-        long = "x" * (size - 1)
-        h = hashing.words(*hashing.buffers(pa.array(["one two " + long + "y", "three four", long + "y", long + "z"])))[0]
-        assert h[:2].tolist() + h[3:5].tolist() == plain.tolist()
-        assert h[2] == h[5] != h[6]
+
+def test_a_word_of_megabytes_between_repeats(spark):
+    passage = " ".join(f"w{k}" for k in range(40))
+    df = make(spark, [(1, passage, "en"), (2, passage + " " + "x" * (5 << 20), "en"), (3, "y " + passage, "en")], extra=False)
+    for part in (df.coalesce(1), df.repartition(3)):
+        assert {r.doc_id: r.n_removed for r in anchors.substring_dedup(part, texts=False).collect()} == {1: 0, 2: 40, 3: 40}
 
 
 def test_words_before_and_after_a_long_one(spark):
