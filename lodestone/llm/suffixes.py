@@ -28,6 +28,8 @@ WINDOW = 50
 GRAM = 25
 #: Stretches with one anchor (for each slab, each once) that meet in one task; of more, each window is dealt by itself.
 HOT = 2048
+#: Buckets of stretches for each bucket of hashes: their bytes, places and suffixes take more room.
+FINER = 4
 #: Bytes whose anchors are sought at once; a longer document is read in parts that overlap by a window.
 PART = 1 << 18
 _U = np.uint64
@@ -382,7 +384,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = materialize(survey(src, n), "stretches")
     by_doc = materialize(gathered(found), "stretches-by-document")
     drop(found)
-    sorted_ = materialize(sort_open(src, by_doc, n), "sorted")
+    sorted_ = materialize(sort_open(src, by_doc, FINER * n), "sorted")
     gone = gathered(by_doc.select("doc_id", "fp", F.lit(0).alias("kind"), F.explode("p0").alias("places")).unionByName(sorted_))
     joined = src.join(gone, ["doc_id", "fp"], "left").select("doc_id", "text", F.col("p0").alias("p"))
 
