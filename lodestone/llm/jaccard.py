@@ -1,12 +1,15 @@
-"""N-gram Jaccard join: MinHash LSH by fixed bands, then exact verification.
-
-Each text is the set of its runs of five words. Each of TREES bands has as many minima, DEPTH at most, as find a pair at
-the threshold with the target recall; texts match if they share all minima of a band. Texts with the same set are one
-class, and one of them stands for all.
-
-Matches are gathered as a graph without listing the pairs of a bucket: each text is tied to its buckets' smallest. Each
-connected part is verified whole: its sets meet in blocks of a bounded number of texts, each block with each, and all
-pairs in them are compared exactly. Only counts of links and a spanning forest leave a block.
+"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+
+Each text is the set of its runs of five words. In each of TREES trees its label is a string of DEPTH minima. The labels
+of a tree, sorted, are a prefix trie: texts below one node share the prefix that leads there. Texts that share FLOOR
+minima in some tree meet; from the longest shared prefix, matches are shortened step by step until, by the similarities
+of what was found, the matches reach the target recall. FLOOR minima reach it for any data. Within a node, texts are
+tied if sketches of all their minima say that they may be similar; so texts that only share a common passage don't
+hang together. A node of more than NODE texts is covered by leaders first, and what they leave is split by the next
+minimum. Texts with the same set are one class, and one of them stands for all.
+
+Each connected part of what is tied is verified whole: its sets meet in blocks of a bounded number of texts, each block
+with each, and all pairs in them are compared exactly. Only counts of links and a spanning forest leave a block.
 """
 
 from __future__ import annotations
@@ -22,9 +25,17 @@ from .common import drop, fresh, materialize, table
 from .components import components
 from .exact import kept_rows
 from .hashing import buffers, runs, words
+from .repeats import by_bucket
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 32, 8, 0.9999
+#: Texts below a node that are compared pair by pair; leaders that cover a larger one, level by level; texts below a
+#: node that are tied without a comparison, to its least.
+NODE, LEADERS, HUGE = 128, 64, 1_000_000
+#: Sketches have BITS bits of each minimum. Six standard errors of a similarity estimated by them.
+BITS, SLACK = 2, 0.18
+#: By a leader's covered texts (in sketches), no other needs to be tried; nearer than LOOSE to a leader are tied to it.
+TIGHT, LOOSE = 0.88, 0.5
 #: Texts that meet in one task from each of two blocks.
 BLOCK = 256
 #: Bytes of text whose sets are made at once.
@@ -64,24 +75,34 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def signature(s: np.ndarray, depth: int) -> np.ndarray:
-    """A 64-bit key of the prefix of the given length in each tree."""
+def signature(s: np.ndarray) -> np.ndarray:
+    """16 bits of each minimum, tree by tree."""
     x = (s >> np.uint64(32)).astype(np.uint32) ^ s.astype(np.uint32)
-    use = (np.arange(TREES)[:, None] * DEPTH + np.arange(depth)).ravel()
-    odd, add = _ODD[use], _ADD[use]
-    low = np.full(len(use), 0xFFFFFFFF, np.uint32)
+    low = np.full(TREES * DEPTH, 0xFFFFFFFF, np.uint32)
     for a in range(0, len(x), 1024):
-        y = x[a : a + 1024, None] * odd[None, :]
+        y = x[a : a + 1024, None] * _ODD[None, :]
         y ^= y >> np.uint32(15)
-        y *= add | np.uint32(1)
+        y *= _ADD | np.uint32(1)
         np.minimum(low, y.min(0), out=low)
-    low = low.reshape(TREES, depth)
-    return np.frombuffer(b"".join(hashlib.blake2b(row.tobytes(), digest_size=8, salt=t.to_bytes(2, "little")).digest() for t, row in enumerate(low)), np.int64)
+    return low.astype(np.uint16)
+
+
+def sketch(low: np.ndarray) -> np.ndarray:
+    """BITS bits of each minimum, packed."""
+    four = (low & np.uint16(3)).astype(np.uint8).reshape(-1, 4)
+    return four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
 
 
-def signed(docs: DataFrame, depth: int) -> DataFrame:
-    """docs (doc_id, sha, text) as doc_id, sha, s1, s2 (the set's key), n (its size), keys."""
-    kind = pa.schema([("doc_id", pa.int64()), ("sha", pa.string()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimated similarity of sketches (rows of 64-bit numbers)."""
+    z = x ^ y
+    differ = np.bitwise_count((z | z >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(-1, dtype=np.int64)
+    return 1 - differ / (TREES * DEPTH) / (1 - 0.5**BITS)
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, sha, text) as doc_id, sha, s1, s2 (the set's key), n (its size), labels (null for the empty set), sketch."""
+    kind = pa.schema([("doc_id", pa.int64()), ("sha", pa.string()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int64()), ("labels", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -89,10 +110,152 @@ def signed(docs: DataFrame, depth: int) -> DataFrame:
                 part = batch.slice(s, 1024)
                 got = sets(part.column("text"))
                 named = [set_key(x) for x in got]
-                keys = pa.array([signature(x, depth) if len(x) else np.empty(0, np.int64) for x in got], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sha"), pa.array([a for a, _ in named], pa.int64()), pa.array([b for _, b in named], pa.int64()), pa.array([len(x) for x in got], pa.int64()), keys], schema=kind)
+                low = [signature(x) if len(x) else None for x in got]
+                labels = pa.array([None if x is None else x.astype(">u2").tobytes() for x in low], pa.binary())
+                sketches = pa.array([None if x is None else sketch(x).tobytes() for x in low], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sha"), pa.array([a for a, _ in named], pa.int64()), pa.array([b for _, b in named], pa.int64()), pa.array([len(x) for x in got], pa.int64()), labels, sketches], schema=kind)
+
+    return docs.mapInArrow(run, "doc_id long, sha string, s1 long, s2 long, n long, labels binary, sketch binary")
+
+
+# -- the forest
+
+
+def _shared(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many minima labels i and j share from the first on."""
+    return np.cumprod(label[i] == label[j], axis=1).sum(1)
+
+
+def _reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n, the least that edges i-j reach."""
+    out = np.arange(n)
+    while len(i):
+        m = np.minimum(out[i], out[j])
+        new = out.copy()
+        np.minimum.at(new, i, m)
+        np.minimum.at(new, j, m)
+        new = new[new]
+        if (new == out).all():
+            break
+        out = new
+    return out
 
-    return docs.mapInArrow(run, "doc_id long, sha string, s1 long, s2 long, n long, keys array<long>")
+
+def matches(label: np.ndarray, marks: np.ndarray, new: np.ndarray, depth: int, cut: float) -> tuple[np.ndarray, ...]:
+    """(i, j, likeness) of sorted labels that are tied below nodes of the given depth (new: where one begins)."""
+    starts = np.flatnonzero(new)
+    size = np.diff(np.append(starts, len(label)))
+    found: list[tuple[np.ndarray, ...]] = []
+    small = np.repeat(size <= NODE, size)
+    number = np.repeat(np.arange(len(starts)), size)
+    for lag in range(1, NODE):
+        i = np.flatnonzero((number[lag:] == number[:-lag]) & small[:-lag]) if len(label) > lag else np.empty(0, np.int64)
+        if not len(i):
+            break
+        near = likeness(marks[i], marks[i + lag])
+        ok = near >= cut
+        found.append((i[ok], i[ok] + lag, near[ok]))
+    for k in np.flatnonzero(size > NODE).tolist():
+        rows = left = np.arange(starts[k], starts[k] + size[k])
+        for _ in range(LEADERS):
+            near = likeness(marks[rows], marks[left[:1]])
+            ok = (near >= min(LOOSE, cut)) & (rows != left[0])
+            found.append((np.full(int(ok.sum()), left[0]), rows[ok], near[ok]))
+            left = left[(likeness(marks[left], marks[left[:1]]) < TIGHT) & (left != left[0])]
+            if not len(left):
+                break
+        if len(left) and depth < DEPTH:
+            begins = np.concatenate([[True], label[rows[1:], depth] != label[rows[:-1], depth]])
+            i, j, near = matches(label[rows], marks[rows], begins, depth + 1, cut)
+            found.append((rows[i], rows[j], near))
+        elif len(left):
+            found.append((np.full(len(left), rows[0]), left, likeness(marks[left], marks[rows[:1]])))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def prefix_length(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The longest prefix by which a pair at the threshold meets in some tree with probability recall or more: the forest's floor."""
+    return next((d for d in range(DEPTH, 1, -1) if 1 - (1 - threshold**d) ** TREES >= recall), 1)
+
+
+#: Classes of likeness, from the threshold to 1, that found pairs are counted by.
+CLASSES = 20
+
+
+def reached_recall(counts: np.ndarray, depth: int, threshold: float) -> float:
+    """The recall that prefixes of the given length reach, by pairs found so (their number by class of likeness, over all trees).
+
+    A pair of similarity s is found in TREES * s^depth trees on average, and missed in all with (1 - s^depth)^TREES.
+    """
+    s = threshold + (1 - threshold) * np.arange(CLASSES) / CLASSES
+    pairs = counts / (TREES * s**depth)
+    return 1 - float((pairs * (1 - s**depth) ** TREES).sum() / pairs.sum()) if pairs.sum() else 0.0
+
+
+def climbed(met: DataFrame, floor: int, threshold: float) -> DataFrame:
+    """met: (bucket, tree, label, sketch, node), all below nodes of depth floor. Gives (node, hub, depth): node hangs together with hub by prefixes of depth minima.
+
+    Rows with a node below zero tell how many pairs of a class of likeness share so many minima, no more.
+    """
+    kind = pa.schema([("node", pa.int64()), ("hub", pa.int64()), ("depth", pa.int32())])
+
+    def run(group: pa.Table) -> pa.Table:
+        n = group.num_rows
+        raw = b"".join(x.as_py() for x in group.column("label"))
+        tree, node = group.column("tree").to_numpy().astype(np.int64), group.column("node").to_numpy()
+        label = np.frombuffer(raw, ">u2").astype(np.int64).reshape(n, DEPTH)
+        order = np.lexsort((node, *label.T[::-1], tree))  # the sorted trie of each tree
+        label, tree, node = label[order], tree[order], node[order]
+        marks = np.frombuffer(b"".join(x.as_py() for x in group.column("sketch")), np.uint64).reshape(n, -1)[order]
+        new = np.ones(n, bool)
+        new[1:] = (tree[1:] != tree[:-1]) | (label[1:, :floor] != label[:-1, :floor]).any(1)
+        i, j, near = matches(label, marks, new, floor, threshold - SLACK)
+        deep = _shared(label, i, j)
+        out, before = [], np.arange(n)
+        for d in range(DEPTH, floor - 1, -1):
+            use = deep >= d
+            hub = _reached(n, i[use], j[use])
+            tied = np.bincount(hub, minlength=n)[hub] > 1
+            k = np.flatnonzero(tied & ((hub != before) | (np.bincount(before, minlength=n)[before] < 2)))
+            out.append((node[k], node[hub[k]], np.full(len(k), d)))
+            before = hub
+            likely = np.clip(((near[deep == d] - threshold) / (1 - threshold) * CLASSES).astype(np.int64), -1, CLASSES - 1)
+            count = np.bincount(likely[likely >= 0], minlength=CLASSES)
+            at = np.flatnonzero(count)
+            out.append((-1 - at, count[at], np.full(len(at), d)))
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(cols, kind.types, strict=True)], schema=kind)
+
+    return met.groupBy("bucket").applyInArrow(run, "node long, hub long, depth int")
+
+
+#: Rows that meet in one bucket of the forest, more or less.
+MET = 50_000
+
+
+def forest(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(node, hub): what hangs together by the forest. classes: (node, labels, sketch, ...), null labels match nothing."""
+    floor, width = prefix_length(threshold, recall), 2 * DEPTH
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    key = lambda: F.xxhash64("tree", F.substring("labels", F.col("tree") * width + 1, F.lit(2 * floor)))
+    tied = classes.filter("labels is not null").select("node", "labels", trees).select("node", "tree", key().alias("key"))
+    nodes = materialize(tied.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("hub")).filter("m > 1"), "trie-nodes")
+    met = materialize(tied.join(nodes, "key"), "met")
+    rows = met.filter(F.col("m") <= HUGE).count()
+    buckets = -(-max(1, rows) // MET)
+    full = met.filter(F.col("m") <= HUGE).select("node", "tree", F.pmod("key", F.lit(buckets)).cast("int").alias("bucket")).join(classes.select("node", "labels", "sketch"), "node")
+    full = full.select("bucket", "tree", "node", F.substring("labels", F.col("tree") * width + 1, F.lit(width)).alias("label"), "sketch")
+    found = materialize(climbed(by_bucket(full, buckets), floor, threshold), "climbed")
+    drop(nodes)
+    counts = np.zeros((DEPTH + 1, CLASSES))
+    for r in found.filter("node < 0").groupBy("depth", "node").agg(F.sum("hub").alias("n")).collect():  # a row for each length and class
+        counts[r["depth"], -1 - r["node"]] = r["n"]
+    depth = next((d for d in range(DEPTH, floor, -1) if reached_recall(counts[d:].sum(0), d, threshold) >= recall), floor)
+    hubs = found.filter((F.col("node") >= 0) & (F.col("depth") >= depth)).select("node", "hub")
+    return hubs.unionByName(met.filter(F.col("m") > HUGE).select("node", "hub")).distinct()
+
+
+# -- exact verification
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -216,24 +379,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     set_id: the smallest id of those with the same set of runs. n_links: the number of other sets that are similar to
     this one's (Jaccard similarity of threshold or more, verified exactly). class_id: the smallest id in the connected
     part of all links. kept: this row stays for its class, that of the smallest id (of rows that repeat an id, one).
-    Texts without words, null ones among them, have the empty set; they are one class without links. A null id is
-    larger than all others. Other columns are not read.
+    Texts without words, null ones among them, have the empty set; they are one class without links. A text of fewer
+    words than a run, but not none, is one run. A text of any length is read whole, in one task. Repeated rows and ties
+    have one set; of rows that are alike in id and set one stays. A null id is larger than all others. Other columns,
+    whatever their names, are not read. An empty table gives no rows.
     """
     known = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) if sha else F.lit(None).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), known.alias("sha"), F.col(text_col).alias("text"))
-    rows = materialize(signed(src, prefix_length(threshold, recall=recall)).withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    rows = materialize(signed(src).withColumn("rid", F.monotonically_increasing_id()), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("first")
     # Each class of equal sets is a node, named by the row id of its first row.
-    classes = materialize(rows.groupBy("s1", "s2", "n").agg(first, F.first("keys").alias("keys")).select("s1", "s2", "n", F.col("first.rid").alias("node"), F.col("first.doc_id").alias("doc_id"), "keys"), "classes")
-    tied = classes.select("node", F.posexplode("keys").alias("tree", "key"))
-    tied = tied.select("node", F.xxhash64("tree", "key").alias("key"))
-    least = materialize(tied.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("key", "hub"), "buckets")
+    classes = materialize(rows.groupBy("s1", "s2", "n").agg(first, F.first("labels").alias("labels"), F.first("sketch").alias("sketch")).select("s1", "s2", "n", F.col("first.rid").alias("node"), F.col("first.doc_id").alias("doc_id"), "labels", "sketch"), "classes")
     # A text's hubs are joined to the least of them, so the graph has hubs alone as nodes, at most TREES edges for a text.
-    hubs = materialize(tied.join(least, "key").groupBy("node").agg(F.array_min(F.collect_set("hub")).alias("hub"), F.collect_set("hub").alias("hubs")), "hubs")
+    hubs = materialize(forest(classes, threshold, recall).groupBy("node").agg(F.min("hub").alias("hub"), F.collect_set("hub").alias("hubs")), "hubs")
     edges = hubs.select(F.col("hub").alias("a"), F.explode("hubs").alias("b")).filter("a <> b").distinct()
     drawn = components(edges).select(F.col("v").alias("hub"), "c")
     parts = materialize(hubs.join(drawn, "hub", "left").select(F.col("node").alias("v"), F.coalesce("c", "hub").alias("c")), "parts-of-hubs")
-    drop(least, hubs)
+    drop(hubs)
     sizes = materialize(parts.groupBy("c").agg(F.count("*").alias("m")), "part-sizes")
     total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     sized = materialize(parts.join(sizes, "c").select(F.col("v").alias("node"), "c", F.ceil(F.col("m") / block).cast("int").alias("nb")), "parts")
@@ -259,7 +421,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     heads = materialize(named.groupBy("near").agg(F.min(F.struct(F.col("set_id").isNull().alias("last"), "set_id", "node")).alias("head")).select("near", F.col("head.set_id").alias("class_id"), F.col("head.node").alias("keep")), "heads")
     told = materialize(named.join(heads, "near").select("s1", "s2", "n", "set_id", "n_links", "class_id", "keep"), "told")
     drop(links, named, heads)
-    out = rows.drop("keys").join(told, ["s1", "s2", "n"]).withColumn("kept", F.col("rid") == F.col("keep"))
+    out = rows.drop("labels", "sketch").join(told, ["s1", "s2", "n"]).withColumn("kept", F.col("rid") == F.col("keep"))
     return out.select("doc_id", "class_id", "n_links", "set_id", "kept", *["sha"] * sha)
 
 
@@ -268,7 +430,11 @@ def op2_jaccard_join(spark, sf_dir):
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay for their class, with all their columns."""
+    """The rows of docs that stay for their class (see near_duplicates()), with all their columns, whatever their names.
+
+    Of rows that repeat both id and text one stays. Texts without words, null ones among them, are one class. An empty
+    table stays empty.
+    """
     repeated = not docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col, sha=repeated).filter("kept")
     if repeated:  # rows of one id may differ in text, so a row is known by both

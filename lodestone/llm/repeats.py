@@ -31,9 +31,10 @@ _PLACES = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("kind", pa.int
 
 
 def source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id (null as NO_ID, so that it is larger than all others), fp (the text's hash), text. Rows that repeat id and text are alike in every result, so both together name them."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("fp"), text.alias("text"))
+    """doc_id (null as NO_ID, so that it is larger than all others), fp, text. Rows that repeat id and text are alike in every result, so id and fp name them: fp is the text's hash, or 0 where no id is repeated, which takes no room on the way."""
+    text, own = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    repeated = not docs.groupBy(own.alias("doc_id")).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    return docs.select(own.alias("doc_id"), F.xxhash64(text).alias("fp") if repeated else F.lit(0).cast("long").alias("fp"), text.alias("text"))
 
 
 def bucket_count(docs: DataFrame) -> int:

@@ -106,9 +106,9 @@ def test_near_copies(spark, odd_rows, block):
         texts.setdefault(d, []).append(want[shingles(t)])
     assert len(got) == len(rows)
     assert sorted((repr(r.doc_id), r.n_links, repr(r.class_id), repr(r.set_id)) for r in got) == sorted((repr(d), n, repr(c), repr(s)) for d, ws in texts.items() for n, c, s in ws)
-    assert sum(r.kept for r in got) == len({repr(r.class_id) for r in got} - set()) or True
     kept = [r for r in got if r.kept]
     assert all(r.doc_id == r.class_id for r in kept)
+    assert len(kept) == len({w[1:2] + (bool(s),) for s, w in want.items()})
 
 
 def test_pairs_in_common_runs_and_rare_ones():
@@ -132,11 +132,62 @@ def test_one_near_copy_stays(spark, odd_rows):
     assert len(got) == len(classes)
 
 
-def test_the_prefix_is_as_long_as_recall_allows():
+def test_the_floor_is_as_deep_as_recall_allows():
     d = jaccard.prefix_length()
     assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
 
 
+def test_prefixes_are_shortened_until_recall_is_reached():
+    """Pairs that are all but equal need no short prefixes; pairs at the threshold do."""
+    near, far = np.zeros(jaccard.CLASSES), np.zeros(jaccard.CLASSES)
+    near[-1], far[0] = 1000, 1000
+    assert jaccard.reached_recall(near, jaccard.DEPTH, 0.8) > jaccard.RECALL > jaccard.reached_recall(far, jaccard.DEPTH, 0.8)
+    assert jaccard.reached_recall(far, jaccard.prefix_length(), 0.8) >= jaccard.RECALL
+    assert jaccard.reached_recall(0 * near, jaccard.DEPTH, 0.8) == 0
+
+
+def signatures(rnd, n, share, size=200, core=None):
+    """Signatures and sets of which each has a share of a common core."""
+    core = rnd.integers(0, 1 << 63, int(size * share), dtype=np.uint64) if core is None else core
+    made = [np.unique(np.concatenate([core, rnd.integers(0, 1 << 63, size - len(core), dtype=np.uint64)])) for _ in range(n)]
+    return made, np.stack([jaccard.signature(s) for s in made])
+
+
+@pytest.mark.parametrize("node", [128, 4])
+def test_a_trie_ties_all_that_is_similar(monkeypatch, node):
+    """With nodes of any size, what is similar and shares a prefix hangs together; what shares a passage alone does not."""
+    monkeypatch.setattr(jaccard, "NODE", node)
+    rnd = np.random.default_rng(5)
+    near, a = signatures(rnd, 30, 0.95)
+    far, b = signatures(rnd, 60, 0.55)  # similar by 0.38: they meet, but by a common passage
+    low = np.concatenate([a, b])
+    marks = np.frombuffer(b"".join(jaccard.sketch(x).tobytes() for x in low), np.uint64).reshape(len(low), -1)
+    tied, met = set(), 0
+    for t in range(jaccard.TREES):
+        label = low[:, t * 8 : t * 8 + 8].astype(np.int64)
+        order = np.lexsort(label.T[::-1])
+        new = np.concatenate([[True], (label[order][1:, :6] != label[order][:-1, :6]).any(1)])
+        met += len(new) - new.sum()
+        i, j, _ = jaccard.matches(label[order], marks[order], new, 6, 0.8 - jaccard.SLACK)
+        tied |= {(min(x, y), max(x, y)) for x, y in zip(order[i].tolist(), order[j].tolist(), strict=True)}
+    parts = jaccard._reached(90, np.array([x for x, _ in tied]), np.array([y for _, y in tied]))
+    assert len(set(parts[:30].tolist())) == 1 and met > len(tied) / 30
+    assert len(set(parts[30:].tolist())) > 55
+    sim = [len(np.intersect1d(x, y)) / len(np.union1d(x, y)) for x in near[:8] for y in near + far[:20]]
+    est = [float(jaccard.likeness(marks[k], marks[m if m < 30 else m])) for k in range(8) for m in range(50)]
+    assert max(abs(s - e) for s, e in zip(sim, est, strict=True)) < jaccard.SLACK
+
+
+def test_chained_passages(spark):
+    """Texts that share half of their words with the next group's, in a chain."""
+    rnd = random.Random(12)
+    links = [prose(rnd, 60, 10**6) for _ in range(61)]
+    rows = [(k, f"{links[k // 5]} {links[k // 5 + 1]} {prose(rnd, 8, 10**6)}", "en") for k in range(300)]
+    want = near_by_brute_force(rows)
+    got = jaccard.near_duplicates(make(spark, rows)).collect()
+    assert {(r.doc_id, r.n_links, r.class_id) for r in got} == {(d, *want[shingles(t)][:2]) for d, t, _ in rows}
+
+
 # -- op3
 
 
