@@ -3,7 +3,8 @@
 Trust starts at hosts of allowed pages and follows links (personalised PageRank); distrust starts at hosts of blocked
 pages and follows links backwards, for who links to bad hosts is suspect. A host with more distrust than trust, times
 RATIO, is blocked. Ranks are whole numbers of a fixed unit and all divisions are whole, so that any order of summing
-gives the same verdicts.
+gives the same verdicts. They grow from what seeds keep, round by round, until none changes: the least fixpoint. What a
+round adds is DAMPING percent of what the one before added, so UNIT is used up after some 200 rounds on any graph.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from .common import drop, materialize, table
 #: (host, path, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 UNIT = 10**15
-#: Percent of a host's rank that it passes on; rounds at most; rounds in one query; distrust counts RATIO times.
-DAMPING, ROUNDS, CHUNK, RATIO = 85, 20, 4, 1
+#: Percent of a host's rank that it passes on; rounds in one query; distrust counts RATIO times.
+DAMPING, CHUNK, RATIO = 85, 4, 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^\s"'<>]+)"""
 
@@ -66,8 +67,8 @@ def host_ranks(judged: DataFrame, edges: DataFrame) -> DataFrame:
     out = ways.groupBy("side", "host").agg(F.count("*").alias("out"))
     ways = materialize(ways.join(out, ["side", "host"]), "ways")
     kept = seeds.select("side", "host", _div(F.col("seed") * (100 - DAMPING), F.lit(100)).alias("r"))
-    ranks = materialize(seeds.select("side", "host", F.col("seed").alias("r")), "ranks")
-    for _ in range(ROUNDS // CHUNK):
+    ranks = materialize(kept, "ranks")
+    while True:
         now = before = ranks
         for _ in range(CHUNK):
             before = now
@@ -78,7 +79,7 @@ def host_ranks(judged: DataFrame, edges: DataFrame) -> DataFrame:
         drop(ranks)
         ranks = new.select("side", "host", "r")
         ranks._lodestone_path = new._lodestone_path
-        if new.filter("r <> old").isEmpty():
+        if new.filter("r <> old").isEmpty():  # rows that are new have -1 as old
             break
     drop(ways, seeds)
     is_side = lambda s: F.sum(F.when(F.col("side") == s, F.col("r")).otherwise(0))
@@ -89,7 +90,9 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None,
     """A row for each row of pages: page_id, host, path, rule, verdict, trust, distrust (of its host, in UNITs).
 
     A null url, or one without `://`, has an empty host and path; no rule fits, nothing reaches it, and it is allowed,
-    as any host that neither trust nor distrust reaches. A null html has no links. Other columns are not read.
+    as any host that neither trust nor distrust reaches, and one whose trust and distrust tie. A null or empty html has
+    no links; urls and pages of any length are read whole. Pages that repeat an id, or have none, each get a row, and
+    each counts as a seed. Other columns, whatever their names, are not read. An empty table gives no rows.
     """
     rules = RULES if rules is None else rules
     known = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
@@ -105,13 +108,17 @@ def op7_link_graph_filter(spark, sf_dir):
     return verdicts(table(spark, sf_dir, "pages"))
 
 
+#: Rounds of the SQL, which has no way to stop: more than any graph needs.
+SQL_ROUNDS = 300
+
+
 def _sql() -> str:
     ladder = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
     case = lambda k: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[k]}'" for h, p, v in ladder) + " END"
     url_host = lambda u: f"translate(coalesce(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
     link = LINK.replace("'", "''")
     q = f"""
-WITH p AS MATERIALIZED (
+WITH RECURSIVE p AS MATERIALIZED (
   SELECT *, {case(0)} AS rule, {case(1)} AS v FROM (
     SELECT page_id, html, {url_host("url")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
 ), e AS MATERIALIZED (
@@ -121,16 +128,15 @@ WITH p AS MATERIALIZED (
 w AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY side, host) AS n FROM w0),
 s0 AS (SELECT CASE WHEN v = 'allow' THEN 't' ELSE 'd' END AS side, host, count(*) AS n FROM p WHERE v IS NOT NULL AND host <> '' GROUP BY ALL),
 s AS MATERIALIZED (SELECT side, host, ({UNIT} // (sum(n) OVER (PARTITION BY side))::BIGINT) * n AS r FROM s0),
-r0 AS MATERIALIZED (SELECT * FROM s)"""
-    for i in range(ROUNDS):
-        q += f""",
-r{i + 1} AS MATERIALIZED (SELECT side, host, sum(r)::BIGINT AS r FROM (
-  SELECT side, host, r * {100 - DAMPING} // 100 AS r FROM s
-  UNION ALL SELECT w.side, w.dest, (r{i}.r * {DAMPING} // 100) // w.n FROM r{i} JOIN w ON w.side = r{i}.side AND w.host = r{i}.host) GROUP BY ALL)"""
+r AS (
+  SELECT 0 AS k, side, host, r * {100 - DAMPING} // 100 AS r FROM s
+  UNION ALL SELECT k + 1, side, host, sum(r)::BIGINT FROM (
+    SELECT k, w.side, w.dest AS host, (r.r * {DAMPING} // 100) // w.n AS r FROM r JOIN w ON w.side = r.side AND w.host = r.host
+    UNION ALL SELECT k, s.side, s.host, s.r * {100 - DAMPING} // 100 FROM s, (SELECT DISTINCT k FROM r)) WHERE k < {SQL_ROUNDS} GROUP BY k, side, host)"""
     return (
         q
         + f""",
-k AS (SELECT host, sum(CASE WHEN side = 't' THEN r ELSE 0 END)::BIGINT AS trust, sum(CASE WHEN side = 'd' THEN r ELSE 0 END)::BIGINT AS distrust FROM r{ROUNDS} GROUP BY host)
+k AS (SELECT host, sum(CASE WHEN side = 't' THEN r ELSE 0 END)::BIGINT AS trust, sum(CASE WHEN side = 'd' THEN r ELSE 0 END)::BIGINT AS distrust FROM r WHERE k = {SQL_ROUNDS} GROUP BY host)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN distrust * {RATIO} > trust THEN 'block' ELSE 'allow' END) AS verdict,
        coalesce(trust, 0)::BIGINT AS trust, coalesce(distrust, 0)::BIGINT AS distrust
 FROM p LEFT JOIN k USING (host)"""
