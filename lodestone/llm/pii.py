@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]*")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# Groups that no shorter match could help are possessive, so that a search takes time in proportion to the text.
+AT = re.compile(r"(?<=[A-Za-z0-9._%+-])@(?=[A-Za-z0-9-])")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IN_EMAIL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
 def luhn(digits: str) -> bool:
@@ -49,17 +50,18 @@ def digits_of(s: str) -> str:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    """A match lies in a run of the pattern's characters around an at sign, so only such runs are searched."""
-    at, done = text.find("@"), 0
-    while at >= 0:
-        a = at
-        while a > done and text[a - 1] in _IN_EMAIL:
-            a -= 1
-        b = EMAIL_RUN.match(text, at).end()
-        for m in EMAIL.finditer(text, a, b):
-            yield m.span()
-        done = b
-        at = text.find("@", b)
+    """An address is what stands before an at sign, back to the one before or to the last match, and a domain behind it."""
+    done = 0
+    for m in AT.finditer(text):
+        at = m.start()
+        if at <= done:
+            continue
+        if domain := DOMAIN.match(text, at + 1):
+            a = at
+            while a > done and text[a - 1] in _LOCAL:
+                a -= 1
+            yield a, domain.end()
+            done = domain.end()
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -73,11 +75,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # -- the field
 
-LENGTH = 7
+LENGTH, LONGEST = 7, 120
 #: Tokens kept before and after one that may be part of an entity.
 AROUND = 2
 TOKEN = re.compile(r"[^\s]+")
 TRIGGER = re.compile(r"[0-9@]")
+#: The word between name and host of a spelt-out address; what follows it, if it stands by itself.
+SAYS_AT = re.compile(r"\[at\]|\(at\)|(?<=\s)at(?=\s)")
+SAYS_DOT = re.compile(r"\s{1,8}\S{1,100}\s{1,8}(?:dot|\[dot\]|\(dot\))(?=\s)")
 SPELT = re.compile(r"\S+\s+(?:at|\[at\]|\(at\))\s+\S+\s+(?:dot|\[dot\]|\(dot\))\s+\S+|\S+(?:\[at\]|\(at\))\S+")
 EDGE = re.compile(r"^[^0-9A-Za-z+(]+|[^0-9A-Za-z)]+$")
 CUES = {"email": 0, "mail": 0, "e-mail": 0, "contact": 0, "ip": 1, "address": 1, "host": 1, "server": 1, "card": 2, "visa": 2, "credit": 2, "pan": 2, "phone": 3, "tel": 3, "call": 3, "mobile": 3, "fax": 3}
@@ -138,7 +143,7 @@ class Window:
         for i in range(len(tokens)):
             for j in range(i + 1, min(len(tokens), i + LENGTH) + 1):
                 a, b = tokens[i][0], tokens[j - 1][1]
-                if b - a > 120:
+                if b - a > LONGEST:
                     break
                 raw = text[a:b]
                 if j - i > 1 and "\n" in raw:
@@ -152,43 +157,73 @@ class Window:
                 e = s + len(core)
                 if s >= tokens[i][1] or e <= tokens[j - 1][0]:
                     continue
-                before = text[tokens[max(0, i - 2)][0] : a]
+                before = text[max(tokens[max(0, i - 2)][0], a - 2 * LONGEST) : a]
                 self.segments.append((i, j, s, e, features(core, j - i, before, text[max(0, s - 1) : s] + text[e : e + 1])))
 
 
+def _spelt(text: str) -> Iterator[int]:
+    """Places in spelt-out addresses: the word for the at sign, and the one for the dot behind it."""
+    for m in SAYS_AT.finditer(text):
+        a, b = m.span()
+        if dot := SAYS_DOT.match(text, b):
+            yield a
+            yield dot.end() - 1
+        elif a and b < len(text) and not text[a - 1].isspace() and not text[b].isspace():
+            yield a
+
+
+def _marks(text: str) -> Generator[int, int, None]:
+    """The first digit, at sign or spelt-out place at or after what is sent, again and again."""
+    words = _spelt(text) if "dot" in text or "(at)" in text or "[at]" in text else iter(())
+    word, upto = next(words, None), 0
+    while True:
+        while word is not None and word < upto:
+            word = next(words, None)
+        m = TRIGGER.search(text, upto)
+        found = min((x for x in (word, m.start() if m else None) if x is not None), default=None)
+        if found is None:
+            return
+        upto = yield found
+
+
+def _token_before(text: str, at: int) -> int | None:
+    """Where the token before the one that holds or begins at the place begins."""
+    while at > 0 and not text[at - 1].isspace():
+        at -= 1
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+    while at > 0 and not text[at - 1].isspace():
+        at -= 1
+    return at
+
+
 def windows(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of tokens near a digit, an at sign or a spelt-out address. Long runs are cut where no entity can lie across."""
-    marks = [m.start() for m in TRIGGER.finditer(text)]
-    marks += [x for m in SPELT.finditer(text) for x in (m.start(), m.end() - 1)] if ("dot" in text or "(at)" in text or "[at]" in text) else []
-    marks.sort()
-    last, run = -1, []
-    for x in marks:
-        if x < last:
-            continue
-        # The tokens around x: some before it, its own, some after.
+    """Runs of tokens near a digit, an at sign or a spelt-out address: AROUND tokens to each side. Each stretch of the text is read a bounded number of times."""
+    marks, run, last = _marks(text), [], 0
+    x = next(marks, None)
+    while x is not None:
         a = x
-        for _ in range(AROUND + 1):
-            while a > 0 and not text[a - 1].isspace():
-                a -= 1
-            k = a
-            while k > 0 and text[k - 1].isspace():
-                k -= 1
-            if k == 0 or _ == AROUND:
+        for _ in range(AROUND):
+            if a <= last:
                 break
-            a = k
-        b, own = x, []
-        for m in TOKEN.finditer(text, max(a, last, 0)):
+            a = _token_before(text, a)
+        while a > last and not text[a - 1].isspace():
+            a -= 1
+        own, after = [], 0
+        for m in TOKEN.finditer(text, max(a, last)):
             own.append(m.span())
-            if m.start() > x and sum(s > x for s, _ in own) >= AROUND + 1:
+            after += m.start() > x
+            if after > AROUND:
                 break
-        if not own:
-            continue
-        b = own[-1][1]
-        if run and own[0][0] > run[-1][1] and text[run[-1][1] : own[0][0]].strip():
+        if run and text[run[-1][1] : own[0][0]].strip():
             yield run
             run = []
-        run += [t for t in own if not run or t[0] >= run[-1][1]]
-        last = max(last, b)
+        run += own
+        last = own[-1][1]
+        try:
+            x = marks.send(last)
+        except StopIteration:
+            break
     if run:
         yield run
 
@@ -304,7 +339,7 @@ def examples(text: str) -> Iterator[tuple[Window, dict[tuple[int, int], int]]]:
                 yield from labelled(left + other + right, [(kind, len(left), len(left) + len(other))])
 
 
-#: Sampled texts, characters of each that are learned from, windows at most, rounds of training.
+#: The field is fitted on a bounded sample: so many texts, so many characters of each, so many windows; and rounds of training.
 SAMPLE, SAMPLE_CHARS, EXAMPLES, EPOCHS = 300, 20_000, 900, 12
 
 
@@ -362,7 +397,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """A row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans.
 
     A null or empty text has no spans. Spans count code points; the end is exclusive. Added spans touch no base span
-    and no other added span. Other columns are not read.
+    and no other added span; they have at most LENGTH tokens and LONGEST characters. Base spans may be of any length,
+    and a text of any length is read whole, in time in proportion to its length. The field is fitted on at most SAMPLE
+    texts (those of the least hashes), SAMPLE_CHARS characters of each and EXAMPLES windows. Repeated rows and rows
+    that share an id or have none each get their own row. Other columns, whatever their names, are not read. An empty
+    table gives no rows.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # The sample: those of the smallest hashes. Tasks send hashes to find the border, and only then its texts.
