@@ -12,13 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: Labelled rows for each language, at most; languages, at most (those with most labelled rows).
-PER_LANGUAGE, LANGUAGES = 300, 256
+#: Labelled texts for each language, at most; every language is learned.
+PER_LANGUAGE = 300
 #: Of a sampled text, the model learns from so many characters at most.
 SAMPLE_CHARS = 20_000
 CENTROIDS = 4
@@ -41,20 +41,22 @@ def code_points(text: str) -> np.ndarray:
     c = np.where(letter, c, 32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
+    keep[-1:] &= letter[-1:]
     return np.concatenate([[32], c[keep], [32]]).astype(np.uint64)
 
 
-def grams(c: np.ndarray) -> np.ndarray:
-    """Buckets of all n-grams, n from 1 to 3."""
+def grams(c: np.ndarray, first: int | None = None) -> np.ndarray:
+    """Buckets of the n-grams, n from 1 to 3, that begin at the first places (all, if none are named)."""
+    first = len(c) if first is None else first
     a = (c + np.uint64(1)) * _K[0]
     two = (a[:-1] ^ (c[1:] * _K[1])) * _K[2]
     three = (two[:-1] ^ (c[2:] * _K[3])) * _K[1]
     shift = np.uint64(40)
-    return np.concatenate([((a * _K[3]) >> shift) % DIM, (two >> shift) % DIM, (three >> shift) % DIM]).astype(np.int64)
+    return np.concatenate([((a[:first] * _K[3]) >> shift) % DIM, (two[:first] >> shift) % DIM, (three[:first] >> shift) % DIM]).astype(np.int64)
 
 
 def counts(texts: list[np.ndarray]) -> np.ndarray:
-    """A row of n-gram counts for each text. A long text is counted slab by slab (n-grams overlap the slabs)."""
+    """A row of n-gram counts for each text. A long text is counted slab by slab: each n-gram in the slab where it begins."""
     out = np.zeros((len(texts), DIM), np.float32)
     group, size, first = [], 0, 0
 
@@ -70,7 +72,7 @@ def counts(texts: list[np.ndarray]) -> np.ndarray:
         if len(c) > SLAB:
             flush(i)
             for s in range(0, len(c), SLAB):
-                out[i] += np.bincount(grams(c[s : s + SLAB]), minlength=DIM)
+                out[i] += np.bincount(grams(c[s : s + SLAB + 2], SLAB), minlength=DIM)
             first = i + 1
             continue
         group.append(grams(c))
@@ -161,20 +163,30 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     return model
 
 
+#: Of a language's texts, so many times PER_LANGUAGE are looked at to find those of the least hashes.
+SLACK = 4
+
+
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column) -> list[tuple[str, str]]:
-    """At most PER_LANGUAGE labelled texts of each of at most LANGUAGES languages, by hash of the id."""
-    named = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    top = [r[0] for r in named.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()]
-    named = named.filter(F.col(lang_col).isin(top)).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("doc_id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"))
-    pick = F.xxhash64("doc_id")
-    # Each task passes on PER_LANGUAGE ids of each language at most.
-    ids = named.select("lang", "doc_id", pick.alias("h")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= PER_LANGUAGE)
-    cut = ids.groupBy("lang").agg(F.max("h").alias("upto")).collect()  # one row for each language
-    near = F.lit(False)
-    for r in cut:
-        near = near | ((F.col("lang") == r["lang"]) & (pick <= r["upto"]))
-    rows = named.filter(near).orderBy(pick).limit(PER_LANGUAGE * max(1, len(top))).collect()
-    return [(r["lang"], r["text"]) for r in rows]
+    """For each language the PER_LANGUAGE labelled texts of the least hashes of id and text; repeated rows count once.
+
+    Distinct hashes are counted for each language (a sketch), which tells below which hash the wanted ones lie; only
+    those few go on. So no task holds a language's rows, and the driver holds a bounded number for each language.
+    """
+    h = F.xxhash64(F.col(id_col).cast("string"), text_col)
+    named = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), h.alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"))
+    seen = named.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row for each language
+    if not seen:
+        return []
+    spark = docs.sparkSession
+    upto = [(r["lang"], min((1 << 63) - 1, -(1 << 63) + int(min(1.0, SLACK * PER_LANGUAGE / max(1, r["n"])) * (1 << 64)))) for r in seen]
+    low = named.select("lang", "h").join(F.broadcast(spark.createDataFrame(upto, "lang string, upto long")), "lang").filter("h <= upto")
+    least: dict[str, list[int]] = {}
+    for r in low.select("lang", "h").distinct().collect():
+        least.setdefault(r["lang"], []).append(r["h"])
+    picked = [(lang, x) for lang, xs in least.items() for x in sorted(xs)[:PER_LANGUAGE]]
+    rows = named.join(F.broadcast(spark.createDataFrame(picked, "lang string, h long")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return [(r["lang"], r["text"]) for r in rows.select("lang", "text").collect()]
 
 
 OUT = "doc_id long, lang_pred string, score double, rejected boolean"
@@ -202,8 +214,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """A row for each row of docs: doc_id, held_out, lang_pred, score, rejected.
 
-    Learns from labelled rows that are not held out. A null text, or one without a letter (Unicode category L), is
-    `und`, score 0, rejected; so is any text if there is nothing to learn from. Long texts are read whole.
+    Learns from labelled rows that are not held out: PER_LANGUAGE texts at most of every language, SAMPLE_CHARS
+    characters of each. A null text, or one without a letter (Unicode category L), is `und`, score 0, rejected; so is
+    any text if there is nothing to learn from. Long texts are read whole. Of centroids that are equally near the first
+    counts, in the order of the languages' names. Repeated rows and rows that share an id each get their row; one
+    without an id is not held out. Other columns, whatever their names, are not read. An empty table gives no rows.
     """
     model = fit(sample(docs, id_col, text_col, lang_col, ~held_out(id_col)))
     out = predict(docs, model, id_col, text_col)
@@ -219,7 +234,11 @@ def is_held_out(doc_id: int) -> bool:
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that language ID doesn't reject, with their columns as they are. With nothing to learn from, all stay."""
+    """The rows of docs that language ID doesn't reject (see language_id()), with all their columns as they are, whatever their names.
+
+    Null texts and texts without a letter go. With nothing to learn from, all rows stay. Repeated rows are judged
+    alike. An empty table stays empty.
+    """
     model = fit(sample(docs, id_col, text_col, lang_col, ~held_out(id_col)))
     if not model.languages:
         return docs
