@@ -13,6 +13,7 @@ from .operators import admission, answers, chunks, containment, dense, evidence,
 from .plans import search
 from .session import spread
 from .streaming import events
+from .tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -258,8 +259,8 @@ def hybrid_rrf_topk(spark, d):
 
 
 def _ranked(spark, d):
-    c = _chunks(spark, d)
-    return _hybrid(spark, d).join(c.select(F.col("chunk_id").alias("id"), "document_id", "text"), "id").withColumnRenamed("hybrid_rank", "rank")
+    ix = search.build(_chunks(spark, d))
+    return search.hybrid(ix, _questions(spark, d)).join(ix.chunks.select("id", "document_id", "text"), "id").withColumnRenamed("hybrid_rank", "rank")
 
 
 @query(f"""
@@ -275,8 +276,8 @@ def refusal_offline(spark, d):
 
 def _retrieved(spark, d):
     """The five best chunks of each question by BM25, with a score that stands for similarity."""
-    ix = lexical.build_index(_chunks(spark, d), profile="offline")
-    r = lexical.search(ix, _questions(spark, d), 5).join(_chunks(spark, d).select(F.col("chunk_id").alias("id"), "document_id", "text"), "id")
+    c = stored(_chunks(spark, d), "chunks")
+    r = lexical.search(lexical.build_index(c, profile="offline"), _questions(spark, d), 5).join(c.select(F.col("chunk_id").alias("id"), "document_id", "text"), "id")
     return r.select("query_id", "id", F.concat(F.lit("doc "), F.col("document_id").cast("string")).alias("title"), F.lit("Document").alias("section"), F.col("text").alias("content"), (F.lit(0.9) - F.col("bm25_rank") * 0.15).alias("dense_score"))
 
 

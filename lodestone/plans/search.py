@@ -14,6 +14,7 @@ from ..functions.text import or_else, ordered_unique
 from ..functions.vectors import with_embedding
 from ..operators import answers, dense, evidence, fusion, lexical
 from ..operators.chunks import chunk_table
+from ..tables import stored
 
 #: Keys of a chunk's metadata that a result carries along. Fixed values.
 LAYOUT_KEYS = ["notice_id", "source_image_path", "ocr_engine", "preprocess_profile", "block_type", "bbox", "page", "reading_order", "confidence", "extracted_dates", "extracted_contacts"]
@@ -43,7 +44,7 @@ class Index:
 
 
 def build(chunks: DataFrame, profile: str = "offline", dim: int = 256, id_col: str = "chunk_id", text_col: str = "text", document_col: str | None = None) -> Index:
-    src = chunks.withColumn("id", F.col(id_col)).withColumn("text", F.col(text_col))
+    src = stored(chunks.withColumn("id", F.col(id_col)).withColumn("text", F.col(text_col)), "chunks")
     vectors = with_embedding(src.select("id", "text"), "text", profile, dim).select("id", "embedding")
     return Index(src, lexical.build_index(src, "id", "text", profile, document_col), vectors, profile, dim)
 

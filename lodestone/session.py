@@ -23,7 +23,13 @@ def session(master: str = "local[*]", partitions: int | None = None, **conf: str
     return b.getOrCreate()
 
 
+#: Larger tables are not spread: their scans have partitions enough, and moving them would cost more than it brings.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if its scan has fewer partitions than there are cores; a larger table stays as it is read."""
+    """df over all cores if its scan has fewer partitions than there are cores; a table of over SPREAD_BYTES stays as it is read."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    if df.rdd.getNumPartitions() >= n or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(n)

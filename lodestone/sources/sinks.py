@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from ..tables import stored
+
 #: Columns of a comparison's CSV file, in order. Fixed values.
 RESULT_COLUMNS = ["question_id", "question", "category", "important", "gold_notice_id", "method", "answer", "top1_notice_id", "retrieved_notice_ids", "source_titles", "source_urls", "posted_at", "retrieval_scores", "latency_ms", "refusal", "refusal_reason", "generation_provider", "generation_model", "base_generation_model", "important_generation_model", "model_version", "temperature", "max_output_tokens", "prompt_version", "run_date", "input_tokens", "output_tokens", "total_tokens", "estimated_cost_usd"]
 
@@ -76,16 +78,19 @@ def write_jdbc(df: DataFrame, url: str, table: str, **properties: str) -> None:
 
 
 def with_ids(df: DataFrame, order: list[str], start: int = 1) -> DataFrame:
-    """df with `id`, numbered without gaps by order: numbers within range partitions plus the counts before."""
+    """df with `id`, numbered without gaps by order: numbers within range partitions plus the counts before.
+
+    Places are stored before they are counted: partitions computed anew could have other borders.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    at = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part, nth = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    before, total = {}, start
-    for r in sorted(at.groupBy(part.alias("p")).count().collect()):  # a row for each partition
-        before[r["p"]] = total
+    before, total = [], start
+    for r in at.groupBy(part.alias("p")).count().orderBy("p").collect():  # a row for each partition
+        before.append((r["p"], total))
         total += r["count"]
-    starts = F.array(*[F.lit(before.get(p, 0)).cast("long") for p in range(max(before, default=0) + 1)])
-    return at.withColumn("id", F.element_at(starts, (part + 1).cast("int")) + nth).drop("_at")
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, "_p int, _start long"))  # as many rows
+    return at.withColumn("_p", part.cast("int")).join(starts, "_p").withColumn("id", F.col("_start") + nth).drop("_at", "_p", "_start")
 
 
 def write_files(df: DataFrame, folder: str, name_col: str = "path", text_col: str = "document") -> None:

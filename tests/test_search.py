@@ -69,11 +69,25 @@ def test_bm25(spark, small):
     ix = lexical.build_index(three)
     got = {(r.query_id, r.id): (round(r.bm25_score, 6), r.bm25_rank) for r in lexical.search(ix, q).collect()}
     assert got == {(1, "d1"): (2.341192, 1), (1, "d2"): (1.105891, 2)}
-    once = lexical.Bm25Index(ix.postings, ix.terms, ix.stats, "offline")
+    assert sorted(map(tuple, ix.postings.filter("id = 'd1'").collect())) == [("d1", "a", 2, 3), ("d1", "b", 1, 3)]
     terms = lexical.query_terms(q, "offline").withColumn("weight", F.lit(1))
     assert terms.count() == 3
     assert lexical.corpus_stats(small, "chunk_id", "text").first()["n"] == 4
-    assert lexical.search(once, q, k=1).count() == 1
+    assert lexical.search(ix, q, k=1).count() == 1
+    assert lexical.search(ix, q.filter("query_id > 1")).count() == 0
+
+
+def test_bm25_by_sent_terms_and_by_a_join_agree(spark, monkeypatch):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("abcdefghij") + rnd.choice("kl") for _ in range(rnd.randrange(30))) for _ in range(300)]
+    df = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(texts)], "chunk_id string, text string").repartition(4)
+    q = spark.createDataFrame([(k, texts[k] + " zz") for k in range(0, 300, 20)], "query_id int, question string")
+    ix = lexical.build_index(df)
+    rows = lambda: sorted((r.query_id, r.bm25_rank, r.id, round(r.bm25_score, 9)) for r in lexical.search(ix, q, 7).collect())
+    monkeypatch.setattr(lexical, "CELLS", 64)
+    sent = rows()
+    monkeypatch.setattr(lexical, "SENT_TERMS", 3)
+    assert rows() == sent and len(sent) > 90
 
 
 def test_bm25_index_round_trip(spark, small, tmp_path):
