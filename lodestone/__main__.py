@@ -31,18 +31,32 @@ def evaluate(spark, a) -> None:
     sinks.write_csv_file(metrics.metric_table(metrics.ir_metrics(r)), a.out, metrics.COLUMNS)
 
 
+def _described(docs, out: str) -> None:
+    """A corpus's documents at out, a manifest of them (JSON lines) and one document of metadata beside."""
+    docs.write.mode("overwrite").parquet(out)
+    docs = docs.sparkSession.read.parquet(out)
+    listed = [c for c in ("chunk_id", "notice_id", "title", "url", "posted_at", "content_type", "block_type", "page", "reading_order", "confidence", "file_path", "source_image_path", "ocr_engine", "preprocess_profile") if c in docs.columns]
+    sinks.write_jsonl(docs.select(*listed), f"{out}_manifest")
+
+
 def build_plain(spark, a) -> None:
     docs = layout.plain_document(layout.plain_documents(readers.ocr_results(spark, a.results, a.examples), readers.manifest(spark, a.manifest)))
-    docs.write.mode("overwrite").parquet(a.out)
+    _described(docs, a.out)
+    made = spark.read.parquet(a.out)
+    sinks.write_document(made.agg(F.count("*").alias("document_count"), F.countDistinct("notice_id").alias("notice_count")), f"{a.out}_metadata.json")
 
 
 def build_layout(spark, a) -> None:
     made = layout.layout_chunks(readers.ocr_results(spark, a.results, a.examples), readers.manifest(spark, a.manifest), a.min_confidence)
-    layout.chunk_document(made).write.mode("overwrite").parquet(a.out)
+    _described(layout.chunk_document(made).withColumn("content_type", F.lit("image_ocr_layout_chunk")), a.out)
+    made = spark.read.parquet(a.out)
+    docs = made.select(F.col("chunk_id").alias("document_id"), "content_type", F.lit(1).alias("chunk_count"))
+    sinks.write_document(layout.index_metadata(docs, made), f"{a.out}_metadata.json")
 
 
 def collect(spark, a) -> None:
     pages = spark.read.parquet(a.pages).select(F.col(a.order).alias("seq"), "url", "html")
+    pages = pages.orderBy("seq").limit(a.limit) if a.limit else pages
     sinks.write_jsonl(web.collect_notices(pages), a.out)
 
 
@@ -64,9 +78,10 @@ def main(argv: list[str] | None = None) -> None:
             s.add_argument("--limit", type=int, default=0)
         if name.startswith("build"):
             s.add_argument("--examples", action="store_true")
-            s.add_argument("--min-confidence", type=float, default=0.5)
+            s.add_argument("--min-confidence", type=float, default=0.0)
         if name == "collect":
             s.add_argument("--order", default="page_id")
+            s.add_argument("--limit", type=int, default=0, help="notices at most; 0 for all")
         if name == "reindex":
             s.add_argument("--force", action="store_true")
     a = p.parse_args(argv)

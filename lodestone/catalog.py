@@ -630,12 +630,12 @@ def _requests(spark, d):
 @query()
 def rate_limit_decisions(spark, d):
     s = defaults.Settings.of(ip_minute_limit=2, ip_daily_limit=30, session_minute_limit=1, session_daily_limit=4, rate_window_seconds=600)
-    return admission.decide(_requests(spark, d), s)
+    return admission.decide(_requests(spark, d), s).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query()
 def reindex_cooldown(spark, d):
-    return admission.cooldown(_requests(spark, d).withColumnRenamed("ip", "index_name"), 3600)
+    return admission.cooldown(_requests(spark, d).withColumnRenamed("ip", "index_name"), 3600).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")

@@ -106,7 +106,7 @@ def manifest_by_id(manifest: DataFrame, order: str = "line_no") -> DataFrame:
     return manifest.filter(~blank(F.col("notice_id"))).groupBy("notice_id").agg(F.max_by(rest, order).alias("r")).select("r.*")
 
 
-def layout_chunks(results: DataFrame, manifest: DataFrame, min_confidence: float = 0.5) -> DataFrame:
+def layout_chunks(results: DataFrame, manifest: DataFrame, min_confidence: float = 0.0) -> DataFrame:
     """A row for each block with text, in reading order (counted before blank blocks go).
 
     results: (notice_id, file_path, ocr_engine, engine_version, preprocess_profile, title, url, posted_at, metadata

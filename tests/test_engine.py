@@ -89,3 +89,7 @@ def test_jobs(spark, tmp_path, monkeypatch):
     for job in ("build-plain", "build-layout"):
         jobs.main([job, "--results", str(tmp_path / "o.jsonl"), "--manifest", str(tmp_path / "man.jsonl"), "--out", str(tmp_path / job)])
         assert spark.read.parquet(str(tmp_path / job)).filter(F.col("document").contains("# T")).count() == 1
+        assert spark.read.json(str(tmp_path / f"{job}_manifest")).select("notice_id", "title").first() == ("n", "T")
+        assert json.loads((tmp_path / f"{job}_metadata.json").read_text())["document_count"] == 1
+    jobs.main(["collect", "--pages", "/root/testdata/sf0.001/pages.parquet", "--out", str(tmp_path / "few"), "--limit", "7"])
+    assert spark.read.json(str(tmp_path / "few")).count() == 7

@@ -89,6 +89,8 @@ def test_site_structure(spark):
     assert one(spark, own, lines, "array<string>") == ["a", "b"]
     meta = spark.createDataFrame([(1, "- A: 2년제, 입학정원 40"), (2, "- A: 3년제"), (3, "- B: 야간"), (4, "x")], "line_no int, line string")
     assert sorted(map(tuple, web.program_meta(meta).collect())) == [("A", "2년제", "40"), ("B", None, None)]
+    named = spark.createDataFrame([("A", 1), ("Z", 2)], "name string, k int")
+    assert sorted(map(tuple, web.with_programs(named, meta).collect())) == [("A", 1, "2년제", "40"), ("Z", 2, None, None)]
     rec = spark.createDataFrame([(1, "C2", "n1", "u", "2년제", "40", [("L", ["x"])], ["o", "o", "p"]), (2, "C1", "n2", "v", "", None, [], [])], "seq int, category string, name string, url string, duration string, capacity string, sections array<struct<label:string,bullets:array<string>>>, office array<string>")
     md = web.department_markdown(rec, ["C1", "C2", "C3"], ["# H", ""]).first()["markdown"]
     assert md == "# H\n\n## C1\n\n### n2\n- 공식 학과 페이지: v\n\n## C2\n\n### n1\n- 공식 학과 페이지: u\n- 학제 및 입학정원 참고: 2년제, 입학정원 40\n- L\n  - x\n- 학과사무실 참고\n  - o\n  - p\n"
@@ -132,7 +134,7 @@ def test_layout_corpus(spark, tmp_path):
     got = {r.chunk_id: r for r in layout.layout_chunks(results, manifest).collect()}
     assert list(sorted(got)) == ["layout_n2_2_0001", "layout_n_1_1_0001", "layout_n_1_1_0002", "layout_n_1_1_0004"]
     head, none = got["layout_n_1_1_0002"], got["layout_n_1_1_0001"]
-    assert (head.title, head.url, head.markdown_text) == ("New", "u1", "[LOW_CONFIDENCE]\n# Head") and (none.block_type, none.confidence) == ("unknown", 0.0)
+    assert (head.title, head.url, head.markdown_text) == ("New", "u1", "# Head") and (none.block_type, none.confidence) == ("unknown", 0.0)
     assert got["layout_n2_2_0001"].title == "Own" and got["layout_n2_2_0001"].url is None
     doc = layout.chunk_document(layout.layout_chunks(results, manifest)).filter("chunk_id = 'layout_n_1_1_0004'").first().document
     assert doc.startswith("---\nnotice_id: n/1\nsource_image_path: a.png\n") and doc.endswith("- confidence: 0.9000\n- bbox: [0.0, 20.0, 5.0, 25.0]\n\nsecond\n")
