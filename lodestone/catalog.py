@@ -278,7 +278,7 @@ def _retrieved(spark, d):
     """The five best chunks of each question by BM25, with a score that stands for similarity."""
     c = stored(_chunks(spark, d), "chunks")
     r = lexical.search(lexical.build_index(c, profile="offline"), _questions(spark, d), 5).join(c.select(F.col("chunk_id").alias("id"), "document_id", "text"), "id")
-    return r.select("query_id", "id", F.concat(F.lit("doc "), F.col("document_id").cast("string")).alias("title"), F.lit("Document").alias("section"), F.col("text").alias("content"), (F.lit(0.9) - F.col("bm25_rank") * 0.15).alias("dense_score"))
+    return stored(r.select("query_id", "id", F.concat(F.lit("doc "), F.col("document_id").cast("string")).alias("title"), F.lit("Document").alias("section"), F.col("text").alias("content"), (F.lit(0.9) - F.col("bm25_rank") * 0.15).alias("dense_score")), "retrieved")
 
 
 _RETRIEVED = f"""{CHUNKS}, {_bm25_sql('alnum')},

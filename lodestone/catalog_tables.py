@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .catalog import _BLOCK, _DATES, _MAILS, _PHONES, _RERANKED, SQL, _ocr, norm, query, sql_tokens, table
-from .functions import numbers, text
-from .operators import answers, chunks, layout, provenance, store, web
+from . import defaults
+from .catalog import _BLOCK, _CLEAN, _CUES, _DATES, _GUARDED, _MAILS, _PHONES, _RERANKED, _RETRIEVED, _SEARCHABLE, HYBRID, QUERIES, SQL, _ocr, _questions, _retrieved, norm, query, sql_tokens, table
+from .functions import numbers, text, vectors
+from .operators import answers, chunks, evidence, layout, provenance, store, web
+from .plans import search
 from .sources import readers, sinks
 from .tables import shared_folder
 
@@ -341,5 +343,194 @@ SELECT 'layout_n' || conv_id || '_1_' || printf('%04d', reading_order) AS chunk_
   || CASE block_type WHEN 'title' THEN '# ' || text ELSE text END || chr(10) AS document
 FROM x"""
 
+# -- guarded answers
+
+CHAT = rf"""
+WITH {_RETRIEVED}, {_GUARDED},
+b AS (SELECT query_id, max(dense_score) AS top, max(overlap) AS overlap, any_value(n) AS n, max((overlap >= 1 AND overlap / n >= 0.3)::INT) AS relevant FROM ov GROUP BY query_id),
+gate AS MATERIALIZED (SELECT query_id, question, CASE WHEN top IS NULL THEN 'NO_RETRIEVAL' WHEN top < 0.22 THEN 'LOW_DENSE_SCORE' WHEN ({_CUES}) AND overlap / n < 1 THEN 'OUT_OF_DOMAIN_CUE' WHEN relevant = 0 THEN 'LOW_LEXICAL_RELEVANCE' ELSE 'MATCHED' END AS status FROM g LEFT JOIN b USING (query_id)),
+ce AS (SELECT item_id AS query_id, {sql_tokens('evidence', 'text')} AS q FROM benchmark),
+back AS (SELECT r.*, ce.q FROM ret r JOIN ov USING (query_id, id) JOIN gate USING (query_id) JOIN ce USING (query_id) WHERE gate.status = 'MATCHED' AND ov.overlap >= 1 AND ov.overlap / ov.n >= 0.3),
+cr0 AS (SELECT query_id, id, title, content, q, dense_score AS similarity, len(list_filter(q, lambda x: list_contains(t, x))) AS overlap FROM (SELECT *, {sql_tokens('evidence', _SEARCHABLE)} AS t FROM back)),
+cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap * 10.0::DOUBLE + similarity DESC, similarity DESC, id) AS rank FROM cr0 WHERE similarity >= 0.18 OR overlap > 0),
+cx AS MATERIALIZED (SELECT * FROM (SELECT *, sum(length(content)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM cr) WHERE used <= 3600 OR rank = 1),
+ds0 AS (SELECT query_id, rank, similarity, q, string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)) AS l FROM cx),
+ds1 AS (SELECT query_id, rank, similarity, q, unnest(l) AS s, generate_subscripts(l, 1) AS pos FROM ds0),
+ds AS (SELECT query_id, rank, similarity, q, pos, regexp_replace(s, '^\s+|\s+$', '', 'g') AS text FROM ds1),
+sen AS (SELECT query_id, text, rank, pos, 2.0::DOUBLE * len(list_filter(q, lambda x: list_contains({sql_tokens('evidence', 'text')}, x))) + similarity AS score FROM ds WHERE text <> ''),
+one AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY score DESC, rank, pos) AS c FROM sen),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, pos) AS n FROM one WHERE c = 1 QUALIFY n <= 3),
+j AS (SELECT query_id, string_agg(text, ' ' ORDER BY n) AS a FROM best GROUP BY query_id),
+foot AS (SELECT query_id, string_agg(chr(10) || '- 제목: ' || title || chr(10) || '  게시일: 게시일 미상' || chr(10) || '  URL: URL 없음', '' ORDER BY rank) AS foot, string_agg(title || ' / Document', ' | ' ORDER BY rank) AS labels FROM cx WHERE rank <= 3 GROUP BY query_id),
+told AS (SELECT query_id, CASE WHEN a IS NULL THEN '{answers.NOTHING_FOUND}' WHEN ends_with(a, '.') THEN a ELSE a || '입니다.' END || chr(10) || chr(10) || '근거:' || foot AS answer, labels FROM foot LEFT JOIN j USING (query_id)),
+chat AS (SELECT query_id, CASE WHEN status = 'MATCHED' AND answer IS NULL THEN 'NO_MATCH' ELSE status END AS status, CASE WHEN status <> 'MATCHED' THEN '{defaults.REFUSAL_MESSAGE}' WHEN answer IS NULL THEN '{defaults.NO_MATCH_MESSAGE}' ELSE answer END AS answer, labels FROM gate LEFT JOIN told USING (query_id))"""
+
+
+@query(CHAT + " SELECT query_id, status AS retrieval_status, answer, coalesce(labels, '') AS source_labels FROM chat")
+def chat_log_rows(spark, d):
+    """Guarded answers as log rows."""
+    return sinks.chat_log(QUERIES["chat_answers"](spark, d)).drop("created_at")
+
+
+@query(CHAT + " SELECT query_id, status = 'MATCHED' AS answered, CASE WHEN status = 'MATCHED' THEN CASE query_id % 3 WHEN 0 THEN 'mock' ELSE 'p' END END AS provider, CASE WHEN status = 'MATCHED' THEN CASE query_id % 3 WHEN 0 THEN 'ValueError: empty answer' END END AS fallback_reason FROM chat")
+def generated_answers(spark, d):
+    """A generator chosen by name answers what the guard lets through; where it gives nothing, the extracted answer stands in."""
+    from .operators.generation import Provider, generate, routed
+
+    def call(question: str, prompt: str, model: str) -> dict:
+        n = int(prompt.partition("#")[2].partition("#")[0])
+        return {"answer": "" if n % 3 == 0 else "made", "input_tokens": len(prompt), "output_tokens": 1}
+
+    provider = routed("P ", {"p": Provider("p", "m", call), "other": Provider("other", "m", call)})
+    r = _retrieved(spark, d).withColumn("page", F.lit(None).cast("int")).withColumn("url", F.lit("")).withColumn("posted_at", F.lit(None).cast("timestamp"))
+    made = {}
+
+    def run(rows):
+        made["rows"] = generate(rows.withColumn("prompt", F.concat(F.lit("#"), F.col("query_id").cast("string"), F.lit("#"), "prompt")), provider)
+        return made["rows"].select("query_id", "answer")
+
+    told = answers.chat(_questions(spark, d), r, generate=run)
+    out = told.join(made["rows"].select("query_id", "provider", "fallback_reason"), "query_id", "left")
+    return out.select("query_id", (F.col("status") == "MATCHED").alias("answered"), "provider", "fallback_reason")
+
+
+# -- notices
+
+NOTICES = f"""
+WITH v AS MATERIALIZED ({VISIBLE}),
+n AS (SELECT page_id AS seq, 'notice_' || substr(sha256(url), 1, 12) AS notice_id, coalesce(nullif({_CLEAN}, ''), '{web.NO_TITLE}') AS title, url, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS department, v.text AS raw_text FROM pages JOIN v USING (page_id)),
+h AS (SELECT *, sha256(title || chr(10) || raw_text) AS source_hash FROM n),
+f AS (SELECT *, first_value(seq) OVER w AS s0, first_value(notice_id) OVER w AS n0 FROM h WINDOW w AS (PARTITION BY source_hash ORDER BY seq))
+SELECT seq, notice_id, title, url, department, '공지' AS category, sha256(raw_text) AS raw_sha256, 0 AS n_files, 'text' AS content_type, source_hash, seq <> s0 AS is_duplicate, CASE WHEN seq <> s0 THEN n0 END AS duplicate_of FROM f"""
+
+
+@query(NOTICES)
+def notice_manifest(spark, d):
+    """The manifest of all pages, long texts as checksums."""
+    m = QUERIES["collect_notices"](spark, d)
+    return m.select("seq", "notice_id", "title", "url", "department", "category", F.sha2("raw_text", 256).alias("raw_sha256"), F.size("attachment_urls").alias("n_files"), "content_type", "source_hash", "is_duplicate", "duplicate_of")
+
+
+@query("SELECT page_id, list_sort(['http://h/f/' || page_id || '.PDF', 'http://o/i.png']) AS files FROM pages")
+def page_attachments(spark, d):
+    """Files that pages link to or show, below whole pages' own html."""
+    p = F.col("page_id").cast("string")
+    html = F.concat(F.lit('<a href="get?file=/f/'), p, F.lit('.PDF">f</a><img src="http://o/i.png"><a href="javascript:go()">g</a><a href="/site/resource/a.png">h</a>'), "html")
+    return table(spark, d, "pages").select("page_id", F.array_sort(web.notice_parts(html, F.concat(F.lit("http://h/x/"), p))["files"]).alias("files"))
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN [text] ELSE [text, 'own'] END AS lines FROM conversations
+WHERE NOT regexp_matches(text, '^(COPYRIGHT|최종수정일|Dept. of|Department of|info )|Total :|게시판$') AND trim(text) NOT IN ('', 'own', 'T', '*', 'Q&A') AND text = trim(text)""")
+def section_lines(spark, d):
+    """A page's own lines: without menus, boilerplate, dates, names, repeats, and what follows the stop line."""
+    c = table(spark, d, "conversations")
+    lines = F.concat(F.array(F.lit("하위메뉴"), F.col("text"), F.col("text"), F.lit("Total : 3"), F.lit("2026.01.02"), F.lit("Facebook"), F.lit("menu"), F.lit("T")), F.when(F.col("role") == "user", F.array().cast("array<string>")).otherwise(F.array(F.lit("own"))), F.array(F.lit("stop"), F.lit("after")))
+    out = c.select("conv_id", "turn", "text", web.section_lines(lines, F.lit("N"), F.array(F.lit("menu")), F.lit("T"), stop=["stop"]).alias("lines"))
+    plain = ~F.col("text").rlike("^(COPYRIGHT|최종수정일|Dept. of|Department of|info )|Total :|게시판$") & ~F.trim("text").isin("", "own", "T", "*", "Q&A") & (F.col("text") == F.trim("text"))
+    return out.filter(plain).select("conv_id", "turn", "lines")
+
+
+@query("SELECT n_name AS name, n_regionkey, CASE WHEN n_nationkey % 2 = 0 THEN (n_nationkey % 4) || '년제' END AS duration, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey::VARCHAR END AS capacity FROM nation")
+def department_programs(spark, d):
+    """Departments with what lines of text say of their programs."""
+    n, k = table(spark, d, "nation"), F.col("n_nationkey")
+    lines = n.filter(k % 2 == 0).select(k.alias("line_no"), F.concat(F.lit("  - "), "n_name", F.lit(": "), (k % 4).cast("string"), F.lit("년제, 입학정원 "), k.cast("string")).alias("line"))
+    return web.with_programs(n.select(F.col("n_name").alias("name"), "n_regionkey"), lines)
+
+
+@query("""
+SELECT '# H' || chr(10) || chr(10) || string_agg(part, chr(10) ORDER BY r_name) AS markdown FROM (
+  SELECT r_name, '## ' || r_name || chr(10) || chr(10) || string_agg('### ' || n_name || chr(10) || '- 공식 학과 페이지: http://' || n_nationkey || chr(10) || '- 학제 참고: 2년제' || chr(10) || '- S' || chr(10) || '  - b' || n_nationkey || chr(10) || '- 학과사무실 참고' || chr(10) || '  - o' || chr(10), chr(10) ORDER BY n_nationkey) AS part
+  FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)""")
+def department_report(spark, d):
+    k = F.col("n_nationkey")
+    j = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    one = F.array(F.struct(F.lit("S").alias("label"), F.array(F.concat(F.lit("b"), k.cast("string"))).alias("bullets")))
+    rec = j.select(k.alias("seq"), F.col("r_name").alias("category"), F.col("n_name").alias("name"), F.concat(F.lit("http://"), k.cast("string")).alias("url"), F.lit("2년제").alias("duration"), F.lit("").alias("capacity"), one.alias("sections"), F.array(F.lit("o"), F.lit("o")).alias("office"))
+    names = sorted(r["r_name"] for r in table(spark, d, "region").select("r_name").collect())  # five rows
+    return web.department_markdown(rec, names, ["# H", ""])
+
+
+# -- recognition, extractors, indexes
+
+
+@query("""
+SELECT 'n' || page_id AS notice_id, p AS preprocess_profile, CASE WHEN page_id % 5 > 0 THEN 'n' || page_id || ':' || p END AS plain_text, CASE WHEN page_id % 5 = 0 THEN 'OSError: unreadable' END AS error
+FROM pages, (VALUES ('none'), ('basic')) t(p)""")
+def recognised_pages(spark, d):
+    """Files through an engine, with each profile; one that can't be read is a row with an error."""
+
+    def engine(path: str, notice: str, profile: str) -> dict:
+        if int(notice[1:]) % 5 == 0:
+            raise OSError("unreadable")
+        return {"plain_text": f"{notice}:{profile}", "blocks": []}
+
+    files = table(spark, d, "pages").select(F.concat(F.lit("n"), F.col("page_id").cast("string")).alias("notice_id"), F.lit("x.png").alias("file_path"))
+    return readers.recognise(files, engine, ["none", "basic"]).select("notice_id", "preprocess_profile", "plain_text", "error")
+
+
+@query(r"""
+SELECT doc_id, (k - 1)::INT AS section_index, 'Page ' || k AS section, k::INT AS page, p AS text FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, string_split(text, '. ') AS l FROM documents))
+WHERE regexp_matches(p, '\S')""")
+def extracted_pages(spark, d):
+    """Pages that an extractor finds in files; those without text have no section."""
+    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    out = readers.pdf_sections(files, lambda b: b.decode("utf-8").split(". "))
+    return out.select(F.col("path").cast("long").alias("doc_id"), "section_index", "section", "page", "text")
+
+
+@query("SELECT o_orderkey, [least(o_custkey, 3.0::DOUBLE), o_orderkey % 7, greatest(o_custkey, 3.0::DOUBLE), greatest(o_orderkey % 7, 9.0::DOUBLE)]::DOUBLE[] AS box FROM orders")
+def polygon_boxes(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("double")
+    pts = F.array(F.array(c, (k % 7).cast("double")), F.array(F.lit(3.0), F.lit(9.0)))
+    return table(spark, d, "orders").select("o_orderkey", layout.polygon_bbox(pts).alias("box"))
+
+
+@query("SELECT v AS wanted, greatest(1, least(20, v)) AS dense, greatest(1, least(20, v)) AS bm25, greatest(1, least(50, v)) AS top_k, greatest(1, least(500, v)) AS candidates, greatest(1, least(1000, v)) AS rrf_k FROM (VALUES (-5), (0), (1), (20), (21), (50), (51), (500), (999), (5000)) t(v)")
+def clamped_limits(spark, d):
+    rows = []
+    for v in (-5, 0, 1, 20, 21, 50, 51, 500, 999, 5000):
+        h = defaults.clamp_limits("hybrid", top_k=v, bm25_top_k=v, rrf_k=v)
+        rows.append((v, defaults.clamp_limits("dense", limit=v)["limit"], defaults.clamp_limits("bm25", limit=v)["limit"], h["top_k"], h["bm25_top_k"], h["rrf_k"]))
+    return spark.createDataFrame(rows, "wanted int, dense int, bm25 int, top_k int, candidates int, rrf_k int")
+
+
+_CONFIG = ["retrievalTopK=4", "hybridTopK=5", "bm25TopK=50", "denseTopK=50", "rrfK=60", "fusionMethod=rrf", "minSimilarity=0.18", "responseSourceLimit=3", "refusalMinDenseScore=0.22", "refusalMinTokenOverlap=1", "refusalMinTokenCoverage=0.3", "refusalEvidenceTopK=40", "refusalOutOfDomainCues="]
+
+
+@query("SELECT sha256(" + " || ".join(f"'{c}' || chr(0)" for c in _CONFIG) + ") AS config_hash, sha256('a' || chr(0) || 'b' || chr(0)) AS parts_hash")
+def settings_hash(spark, d):
+    return spark.createDataFrame([(provenance.retrieval_config_hash(defaults.Settings()), vectors.sha256_of(["a", "b"]))], "config_hash string, parts_hash string")
+
+
+@query(f"SELECT conv_id, turn, ({_CUES} OR contains(lower(question), 'the')) AS cue FROM (SELECT conv_id, turn, text AS question FROM conversations)")
+def ood_cue_with_own(spark, d):
+    """The guard's own cues and a user's."""
+    s = defaults.Settings.of(refusal_cues=["the"])
+    return table(spark, d, "conversations").select("conv_id", "turn", evidence.has_cue(F.col("text"), s.refusal_cues).alias("cue"))
+
+
+@query("SELECT * FROM (VALUES (1, 'METADATA_MISSING'), (2, 'INDEX_UP_TO_DATE'), (3, 'CORPUS_HASH_CHANGED'), (4, 'FORCE_REINDEX')) t(step, reason)")
+def reindexing(spark, d):
+    """An index of the benchmark's texts: built, left, built for other texts, built because it is asked for."""
+    out = folder(spark, "engine")
+    b = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("document_id"), F.lit("t").alias("title"), F.lit("p").alias("path"), F.lit("").alias("url"), F.lit(None).cast("string").alias("posted_at"), F.lit("text").alias("content_type"), F.create_map().cast("map<string,string>").alias("metadata"), "text")
+    other = b.withColumn("text", F.concat("text", F.lit("!")))
+    steps = [search.reindex(x, out, force=f)[0] for x, f in ((b, False), (b, False), (other, False), (other, True))]
+    return spark.createDataFrame(list(enumerate(steps, 1)), "step int, reason string")
+
+
+@query(f"WITH {HYBRID} SELECT query_id::VARCHAR AS question, id AS chunk_id, hybrid_rank::INT AS hybrid_rank, 5 AS top_k, 60 AS rrf_k, 'rrf' AS fusion_method FROM hy")
+def retrieval_log(spark, d):
+    """Rankings as log rows."""
+    from .catalog import _chunks
+
+    ix = search.build(_chunks(spark, d).withColumn("metadata", F.create_map().cast("map<string,string>")))
+    q = _questions(spark, d)
+    log = search.retrieval_log(search.hybrid(ix, q), q.withColumn("question", F.col("query_id").cast("string")), ix)
+    return log.select("question", "chunk_id", "hybrid_rank", "top_k", "rrf_k", "fusion_method")
+
+
 #: SQL for queries of the first module that need what is defined here.
 SQL |= {"html_visible_text": VISIBLE, "rate_limit_decisions": RATE, "reindex_cooldown": COOLDOWN, "demo_answer": DEMO, "layout_documents": LAYOUT}

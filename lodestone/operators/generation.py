@@ -22,6 +22,31 @@ class Provider:
     model: str
     call: Callable[[str, str, str], dict]
     important_model: str = ""
+    configured: bool = True
+
+
+def routed(name: str | None, providers: dict[str, Provider], default: str = "gemini", allow_mock: bool = True) -> Provider | None:
+    """The provider that a setting names, None for the extracted answer.
+
+    No name is the default; an unknown one is an error. One that isn't configured gives way to the extracted answer if
+    that is allowed.
+    """
+    wanted = default if name is None else name.strip().lower()
+    if wanted == "mock":
+        return None
+    if wanted not in providers:
+        raise ValueError(f"unsupported provider: {wanted}")
+    chosen = providers[wanted]
+    if not chosen.configured and not allow_mock:
+        raise ValueError(f"provider isn't configured: {wanted}")
+    return chosen if chosen.configured else None
+
+
+def answer_mode(name: str | None, providers: dict[str, Provider], default: str = "gemini", allow_mock: bool = True) -> str:
+    """How answers are made: a provider's name, `mock`, `mock-fallback`, or that a provider isn't configured."""
+    wanted = default if name is None else name.strip().lower()
+    chosen = routed(name, providers, default)
+    return wanted if chosen or wanted == "mock" else "mock-fallback" if allow_mock else f"{wanted}-unconfigured"
 
 
 KIND = "query_id {0}, answer string, provider string, model string, input_tokens int, output_tokens int, total_tokens int, fallback_reason string"

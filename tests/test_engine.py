@@ -93,3 +93,17 @@ def test_jobs(spark, tmp_path, monkeypatch):
         assert json.loads((tmp_path / f"{job}_metadata.json").read_text())["document_count"] == 1
     jobs.main(["collect", "--pages", "/root/testdata/sf0.001/pages.parquet", "--out", str(tmp_path / "few"), "--limit", "7"])
     assert spark.read.json(str(tmp_path / "few")).count() == 7
+
+
+def test_providers_by_name():
+    from lodestone.operators.generation import Provider, answer_mode, routed
+
+    known = {"gemini": Provider("gemini", "m", dict), "openai": Provider("openai", "m", dict, configured=False)}
+    assert routed(None, known) is known["gemini"] and routed(" GEMINI ", known) is known["gemini"]
+    assert routed("mock", known) is None and routed("openai", known) is None
+    assert [answer_mode(n, known) for n in (None, "mock", "openai")] == ["gemini", "mock", "mock-fallback"]
+    assert answer_mode("openai", known, allow_mock=False) == "openai-unconfigured"
+    with pytest.raises(ValueError, match="unsupported"):
+        routed("zzz", known)
+    with pytest.raises(ValueError, match="configured"):
+        routed("openai", known, allow_mock=False)
