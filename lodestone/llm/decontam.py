@@ -11,12 +11,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from ..tables import in_turn
+from .common import fresh, table
 
 WINDOW = 10
 #: Benchmark text in one block, in bytes.
@@ -137,8 +141,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 SPANS = "doc_id long, fp long, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
 
 
-def search(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    """One pass over docs (doc_id, fp, text) for one block of the benchmark."""
+def search(docs: DataFrame, items: list[tuple[str, str]], window: int) -> tuple[DataFrame, Broadcast]:
+    """One pass over docs (doc_id, fp, text) for one block of the benchmark, and the broadcast that it reads."""
     ids = sorted({i for i, _ in items})
     number = {i: k for k, i in enumerate(ids)}
     sent = docs.sparkSession.sparkContext.broadcast((ids, [(number[i], t) for i, t in items]))
@@ -156,23 +160,27 @@ def search(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFr
                 out["items"].append(sorted(names[k] for k in hit))
             yield pa.record_batch([batch.column("doc_id"), batch.column("fp"), *(pa.array(out[c], kind.field(c).type) for c in ("n_words", "spans", "items"))], schema=kind)
 
-    return docs.mapInArrow(run, SPANS)
+    return docs.mapInArrow(run, SPANS), sent
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each row of docs: doc_id, n_words, spans (of hit words, merged, end exclusive), items (that occur).
 
     Null and empty texts have no words and are never hit, whether documents or items. An item id may repeat: its rows
-    are one item. A null item id reads as the empty string. Other columns are not read.
+    are one item. A null item id reads as the empty string. Texts of any length are read whole, item or document. Rows
+    that are repeated, or share an id, each get their own row. Other columns, whatever their names, are not read. An
+    empty table gives no rows; an empty benchmark hits nothing. Items are sent to the tasks in blocks, each dropped
+    before the next is read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
-    found = None
-    for block in _blocks(benchmark, item_col, item_text, block_bytes):
-        one = search(docs, block, window)
-        found = one if found is None else found.unionByName(one)
-        many = found is not one
-    if found is None:
-        found, many = search(docs, [], window), False
+    seen = []
+
+    def one(block: list[tuple[str, str]]) -> tuple[DataFrame, Broadcast]:
+        seen.append(len(block))
+        return search(docs, block, window)
+
+    found = in_turn(_blocks(benchmark, item_col, item_text, block_bytes), one, "contamination")
+    found, many = search(docs, [], window)[0] if found is None else found, len(seen) > 1
     if not many:
         return found.drop("fp")
     # Rows that repeat id and text have one result, so both together name a document.
@@ -233,19 +241,36 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs without any occurrence of a benchmark window, with their columns as they are."""
+    """The rows of docs without any occurrence of a benchmark window (see contamination()), with their columns as they are, whatever their names.
+
+    Null and empty texts stay; so does all with an empty benchmark. Repeated rows stay or go together.
+    """
+    spark = docs.sparkSession
 
-    def without(docs: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast([(k, t) for k, (_, t) in enumerate(block)])
+    def hit(block: list[tuple[str, str]], column: str):
+        sent = spark.sparkContext.broadcast([(k, t) for k, (_, t) in enumerate(block)])
 
-        def run(batches):
+        def told(batches):
             found = tables(sent.value, window)
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col))
-                yield batch.filter(pa.array([not (t.is_valid and find(t.as_buffer().to_pybytes(), found)[1]) for t in texts], pa.bool_()))
-
-        return docs.mapInArrow(run, docs.schema)
-
-    for block in _blocks(benchmark, item_col, item_text, block_bytes):
-        docs = without(docs, block)
-    return docs
+                texts = batch.column(batch.schema.get_field_index(column))
+                yield batch, pa.array([bool(t.is_valid and find(t.as_buffer().to_pybytes(), found)[1]) for t in texts], pa.bool_())
+
+        return told, sent
+
+    blocks = _blocks(benchmark, item_col, item_text, block_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:  # rows are filtered where they are read
+        told, _ = hit(first, text_col)
+        return docs.mapInArrow(lambda batches: (b.filter(pc.invert(h)) for b, h in told(batches)), docs.schema)
+    own, fp = fresh(docs, "_id"), fresh(docs, "_fp")
+    src = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("f"), F.col(text_col).alias("text"))
+
+    def one(block: list[tuple[str, str]]) -> tuple[DataFrame, Broadcast]:
+        told, sent = hit(block, "text")
+        return src.mapInArrow(lambda batches: (b.filter(h).select(["i", "f"]) for b, h in told(batches)), src.select("i", "f").schema), sent
+
+    gone = in_turn(chain([first, second], blocks), one, "hit").distinct().select(F.col("i").alias(own), F.col("f").alias(fp))
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(text_col) == F.col(fp)), "left_anti")

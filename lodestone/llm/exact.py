@@ -31,9 +31,14 @@ def _blocks(text: Column, block: int) -> Column:
     return F.when(text == "", F.array(F.lit(""))).otherwise(cut)
 
 
+def _keys(block: Column, seed: int) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a block, neither of which follows from the other: the seed goes in first, and differs."""
+    return F.xxhash64(F.lit(2 * seed), block).alias("k1"), F.xxhash64(F.lit(2 * seed + 1), block).alias("k2")
+
+
 def _name_blocks(blocks: DataFrame, seed: int) -> DataFrame | None:
     """(k1, k2, name) of the distinct blocks; None if two blocks share a key."""
-    keyed = blocks.select(F.xxhash64("block").alias("k1"), F.xxhash64("block", F.lit(seed)).alias("k2"), "block")
+    keyed = blocks.select(*_keys(F.col("block"), seed), "block")
     sorted_ = keyed.distinct().sortWithinPartitions("block")
     names = materialize(sorted_.select("k1", "k2", F.monotonically_increasing_id().alias("name")), "block-names")
     if names.groupBy("k1", "k2").count().filter("count > 1").isEmpty():
@@ -48,7 +53,7 @@ def block_names(docs: DataFrame, id_col: str, text: Column, block: int = BLOCK)
     seed = 1
     while (names := _name_blocks(cut.select(F.explode("blocks").alias("block")), seed)) is None:
         seed += 1
-    keys = F.transform("blocks", lambda b: F.struct(F.xxhash64(b).alias("k1"), F.xxhash64(b, F.lit(seed)).alias("k2")))
+    keys = F.transform("blocks", lambda b: F.struct(*_keys(b, seed)))
     rows = materialize(cut.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.sha2("text", 256).alias("sha"), keys.alias("keys")), "block-rows")
     placed = rows.select("rid", F.size("keys").alias("n"), F.posexplode("keys").alias("pos", "key"))
     placed = placed.select("rid", "n", "pos", F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2"))
@@ -78,7 +83,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     A null text counts as empty, and empty texts are equal. The smallest id stays; a null id is larger than all
-    others, and of rows with the same id and text one stays. Other columns are not read. An empty table gives none.
+    others, and of rows with the same id and text (ties, repeated rows) one stays. A text of any length is read whole
+    and cut into blocks. Other columns, whatever their names, are not read. An empty table gives no rows.
     """
     rows, names = block_names(docs, id_col, normalised(F.col(text_col)), block)
     known = materialize(rows.join(names, "rid"), "identities")
@@ -109,7 +115,10 @@ FROM n
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Of rows that repeat both id and text, one stays."""
+    """The rows of docs that stay (see exact_dedup()), with all their columns, whatever their names.
+
+    Of rows that repeat both id and text, one stays; null and empty texts are equal. An empty table stays empty.
+    """
     return kept_rows(docs, exact_dedup(docs, id_col, text_col, block).filter("kept").select("doc_id", F.col("text_sha256").alias("sha")), id_col, normalised(F.col(text_col)))
 
 

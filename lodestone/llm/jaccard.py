@@ -429,6 +429,23 @@ def op2_jaccard_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: All pairs of sets that share a run; recall of the forest is RECALL, so links may differ once in 10,000 at the threshold.
+SQL = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i : i + {WORDS - 1}], ' ')))) END AS s FROM d),
+n AS MATERIALIZED (SELECT min(doc_id) AS set_id, s, len(s) AS size FROM x GROUP BY s),
+r AS MATERIALIZED (SELECT set_id, size, unnest(s) AS run FROM n),
+p AS (SELECT a.set_id AS a, b.set_id AS b, count(*) AS c, any_value(a.size + b.size) AS sizes FROM r a JOIN r b ON a.run = b.run AND a.set_id <> b.set_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE c >= {THRESHOLD} * (sizes - c) - 1e-6),
+reach AS (SELECT set_id AS a, set_id AS b FROM n UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+c AS (SELECT a AS set_id, min(b) AS class_id FROM reach GROUP BY a),
+k AS (SELECT a AS set_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT x.doc_id, c.class_id, coalesce(k.n_links, 0)::BIGINT AS n_links, n.set_id, x.doc_id = c.class_id AS kept
+FROM x JOIN n USING (s) JOIN c ON c.set_id = n.set_id LEFT JOIN k ON k.set_id = n.set_id
+"""
+
+
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay for their class (see near_duplicates()), with all their columns, whatever their names.
 

@@ -19,4 +19,4 @@ QUERIES = {
         decontam.op10_decontaminate,
     )
 }
-ORACLE_SQL = {"op4_exact_dedup": exact.SQL, "op5_block_anchors": anchors.SQL, "op7_link_graph_filter": urls.SQL, "op9_feistel_shards": shards.SQL, "op10_decontaminate": decontam.SQL}
+ORACLE_SQL = {"op2_jaccard_join": jaccard.SQL, "op4_exact_dedup": exact.SQL, "op5_block_anchors": anchors.SQL, "op6_suffix_sort": suffixes.SQL, "op7_link_graph_filter": urls.SQL, "op9_feistel_shards": shards.SQL, "op10_decontaminate": decontam.SQL}

@@ -415,3 +415,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op6_suffix_sort(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents"), texts=False)
+
+
+SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, substr(x, 2 * i + 1, {2 * WINDOW}) AS s FROM (SELECT doc_id, x, unnest(range(0, n - {WINDOW - 1})) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS MATERIALIZED (SELECT doc_id, i FROM w JOIN m USING (s) WHERE doc_id > first),
+e AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {WINDOW}, true) AS new FROM g),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {WINDOW} AS b FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM e) GROUP BY doc_id, k),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN removed IS NULL THEN x ELSE head || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
