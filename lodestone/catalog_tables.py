@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from . import defaults
-from .catalog import _BLOCK, _CLEAN, _CUES, _DATES, _GUARDED, _MAILS, _PHONES, _RERANKED, _RETRIEVED, _SEARCHABLE, HYBRID, QUERIES, SQL, _ocr, _questions, _retrieved, norm, query, sql_tokens, table
+from .catalog import _BLOCK, _CLEAN, _CUES, _DATES, _GUARDED, _MAILS, _PHONES, _RERANKED, _RETRIEVED, _SEARCHABLE, _SNIPPETS, HYBRID, QUERIES, SQL, _ocr, _questions, _retrieved, norm, query, sql_tokens, table
 from .functions import numbers, text, vectors
 from .operators import answers, chunks, evidence, layout, provenance, store, web
 from .plans import search
@@ -532,5 +532,67 @@ def retrieval_log(spark, d):
     return log.select("question", "chunk_id", "hybrid_rank", "top_k", "rrf_k", "fusion_method")
 
 
+# -- databases, limits, settings, reports
+
+
+@query("SELECT c_custkey, c_nationkey, round(c_acctbal, 2) AS c_acctbal FROM customer")
+def jdbc_table(spark, d):
+    """A table written to a database (Spark's own embedded one, in the driver's memory) and read back by several connections."""
+    url = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true"
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("int").alias("c_nationkey"), F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    sinks.write_jdbc(c, url, "customer")
+    sinks.write_jdbc(c.limit(0), url, "customer")
+    back = readers.jdbc_scan(spark, url, "customer", ("c_custkey", 1, 1000, 3))
+    return back.select(F.col("c_custkey").cast("long").alias("c_custkey"), F.col("c_nationkey").cast("long").alias("c_nationkey"), F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS length FROM documents WHERE octet_length(encode(text)) <= 2000")
+def files_within_a_limit(spark, d):
+    """Files of a size at most."""
+    out = folder(spark, "limited")
+    sinks.write_files(table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("document")), local(out))
+    return readers.glob_scan(spark, out, max_bytes=2000).select(text.stem(F.col("path")).cast("long").alias("doc_id"), "length")
+
+
+@query("SELECT 's' || item_id AS notice_id, '' AS file_path, CASE WHEN item_id % 2 = 0 THEN 'poster' ELSE '' END AS sample_type, CASE WHEN item_id % 2 = 0 THEN 'a|b' ELSE '' END AS features, '' AS note FROM benchmark")
+def sample_file(spark, d):
+    i, out = F.col("item_id"), folder(spark, "samples")
+    rows = table(spark, d, "benchmark").select(F.concat(F.lit("s"), i.cast("string")).alias("notice_id"), F.when(i % 2 == 0, "poster").alias("sample_type"), F.when(i % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("expected_features"))
+    sinks.write_jsonl(rows, out, keep_nulls=False)
+    s = readers.ocr_samples(spark, out)
+    return s.withColumn("features", F.array_join("expected_features", "|")).drop("expected_features")
+
+
+@query("SELECT * FROM (VALUES ('condition', 'str', 'text_only'), ('rrf_k', 'int', '60'), ('retrieval.bm25_top_k', 'int', '7'), ('retrieval.on', 'bool', 'True'), ('generation.temperature', 'float', '0.5')) t(name, kind, value)")
+def settings_values(spark, d):
+    raw = readers.settings_file("# c\ncondition: text_only\nrrf_k: 60\nretrieval:\n  bm25_top_k: 7\n  on: true\nlist:\n  - a\ngeneration:\n  temperature: 0.5\n")
+    flat = {k: v for k, v in raw.items() if not isinstance(v, dict)} | {f"{s}.{k}": v for s, own in raw.items() if isinstance(own, dict) for k, v in own.items()}
+    return spark.createDataFrame([(k, type(v).__name__, str(v)) for k, v in flat.items()], "name string, kind string, value string")
+
+
+@query(f"SELECT DISTINCT unnest({_DATES}) AS found, 'date' AS kind FROM documents UNION SELECT DISTINCT unnest(list_concat({_PHONES}, {_MAILS})), 'contact' FROM documents")
+def corpus_dates_and_contacts(spark, d):
+    """What a corpus's metadata names, over all documents."""
+    t = table(spark, d, "documents")
+    docs = t.select(F.col("doc_id").alias("document_id"), F.lit("text").alias("content_type"), F.lit(1).alias("chunk_count"))
+    m = layout.index_metadata(docs, t.select(layout.dates(F.col("text")).alias("extracted_dates"), layout.contacts(F.col("text")).alias("extracted_contacts"), F.lit(1.0).alias("confidence")))
+    return m.select(F.explode("extracted_dates").alias("found"), F.lit("date").alias("kind")).unionByName(m.select(F.explode("extracted_contacts").alias("found"), F.lit("contact").alias("kind")))
+
+
+@query(f"""
+WITH {_SNIPPETS}, f AS (SELECT query_id, snippet, min(rank) AS rank FROM sn GROUP BY ALL),
+k AS (SELECT *, coalesce(sum(length(snippet)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM f),
+an AS (SELECT query_id, substr(string_agg(snippet, chr(10) || chr(10) ORDER BY rank), 1, 512) AS answer FROM k WHERE used < 512 GROUP BY query_id),
+pt AS (SELECT query_id, flatten(list({sql_tokens('alnum', 'text')}) FILTER (hybrid_rank <= 3)) AS t, max(coalesce(dense_score, 0)) AS best, string_agg(id, ',' ORDER BY hybrid_rank) AS ids, arg_min(document_id, hybrid_rank)::VARCHAR AS top1 FROM hy JOIN chunk USING (id) GROUP BY query_id),
+ro AS (SELECT query_id, best, ids, top1, len(list_filter(q.q, lambda x: list_contains(t, x))) AS overlap, len(q.q) AS n FROM q JOIN pt USING (query_id)),
+rf AS (SELECT *, CASE WHEN overlap < 1 THEN 'LOW_TOKEN_OVERLAP' WHEN overlap / greatest(n, 1) < 0.3 AND best < 0.22 THEN 'LOW_EVIDENCE_COVERAGE' ELSE '' END AS reason FROM ro)
+SELECT query_id AS question_id, method, CASE WHEN reason <> '' THEN '{defaults.OFFLINE_REFUSAL_MESSAGE}' ELSE answer END AS answer, top1 AS top1_notice_id, ids AS chunk_ids, reason <> '' AS refusal, reason AS refusal_reason
+FROM rf LEFT JOIN an USING (query_id), (VALUES ('text_only'), ('ocr_plain')) m(method)""")
+def compared_answers(spark, d):
+    """The comparison of two methods, the chunks of each answer as their ids."""
+    r = QUERIES["compare_results"](spark, d)
+    return r.select("question_id", "method", "answer", "top1_notice_id", F.array_join(F.transform("retrieved_chunks", lambda c: c["chunk_id"]), ",").alias("chunk_ids"), "refusal", "refusal_reason")
+
+
 #: SQL for queries of the first module that need what is defined here.
 SQL |= {"html_visible_text": VISIBLE, "rate_limit_decisions": RATE, "reindex_cooldown": COOLDOWN, "demo_answer": DEMO, "layout_documents": LAYOUT}

@@ -17,11 +17,12 @@ from ..schemas import schema
 SUFFIXES = ("md", "txt", "pdf")
 
 
-def glob_scan(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES, pattern: str | None = None) -> DataFrame:
-    """(path, content, length) of files below path with a known ending."""
+def glob_scan(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES, pattern: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """(path, content, length) of files below path with a known ending, of max_bytes at most if that is given (larger ones are not opened)."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     r = r.option("pathGlobFilter", pattern) if pattern else r
-    return r.load(path).filter(extension(F.col("path")).isin(*suffixes)).select("path", "content", "length")
+    found = r.load(path).filter(extension(F.col("path")).isin(*suffixes))
+    return (found if max_bytes is None else found.filter(F.col("length") <= max_bytes)).select("path", "content", "length")
 
 
 def text_scan(spark: SparkSession, path: str) -> DataFrame:
