@@ -117,13 +117,13 @@ _tokens("guard", tokenizers.guard_tokens, False)
 @query(r"""
 SELECT doc_id, regexp_replace(substr(trim(regexp_replace(source || ' / ' || lang, '\s+', ' ', 'g')), 1, 80), ' /$', '') AS title, source || ' / ' || (doc_id % 7) || 'p / ' || lang AS label,
   CASE WHEN length(f) > 180 THEN substr(f, 1, 180) || '...' ELSE f END AS snippet,
-  coalesce(nullif(regexp_replace(regexp_replace(substr(text, 1, 40), '[^0-9A-Za-z가-힣_.-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS filename
+  coalesce(nullif(regexp_replace(regexp_replace(text, '[^0-9A-Za-z가-힣_.-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS filename
 FROM (SELECT *, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS f FROM documents)""")
 def source_labels(spark, d):
     c = F.col
     return table(spark, d, "documents").select(
         "doc_id", text.summarize_title(c("source"), c("lang")).alias("title"), text.source_label(c("source"), c("doc_id") % 7, c("lang")).alias("label"),
-        text.snippet(c("text")).alias("snippet"), text.safe_filename(F.substring("text", 1, 40)).alias("filename"))
+        text.snippet(c("text")).alias("snippet"), text.safe_filename(F.col("text")).alias("filename"))
 
 
 @query(r"""
@@ -221,21 +221,21 @@ def _embed_sql(src: str, id_: str, name: str) -> str:
 {name} AS MATERIALIZED (SELECT id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM {name}w)"""
 
 
-@query(f"WITH {_embed_sql('benchmark', 'item_id', 'e')} SELECT id, bucket, round(weight, 6) AS weight FROM e")
+@query(f"WITH {_embed_sql('documents', 'doc_id', 'e')} SELECT id, bucket, round(weight, 6) AS weight FROM e")
 def hashed_embedding_sha(spark, d):
-    return vectors.sparse_embedding(table(spark, d, "benchmark"), "item_id", "text", "offline").withColumn("weight", F.round("weight", 6))
+    return vectors.sparse_embedding(table(spark, d, "documents"), "doc_id", "text", "offline").withColumn("weight", F.round("weight", 6))
 
 
 _JAVA = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(term, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) & 4294967295)"
 
 
 @query(f"""
-WITH t AS (SELECT item_id AS id, unnest({sql_tokens('evidence', 'text')}) AS term FROM benchmark),
+WITH t AS (SELECT doc_id AS id, unnest({sql_tokens('evidence', 'text')}) AS term FROM documents),
 h AS (SELECT id, {_JAVA} AS h FROM t), b AS (SELECT id, ((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 256 + 256) % 256 AS bucket FROM h),
 w AS (SELECT id, bucket, count(*)::DOUBLE AS w FROM b GROUP BY ALL)
 SELECT id, bucket::BIGINT AS bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w""")
 def hashed_embedding_javahash(spark, d):
-    return vectors.sparse_embedding(table(spark, d, "benchmark"), "item_id", "text", "online").select("id", "bucket", F.round("weight", 6).alias("weight"))
+    return vectors.sparse_embedding(table(spark, d, "documents"), "doc_id", "text", "online").select("id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 # -- hybrid search and what follows from it
@@ -347,12 +347,16 @@ def extractive_answer(spark, d):
     return answers.compose(q, _ranked(spark, d), q.select("query_id", F.lit(False).alias("refusal")))
 
 
-@query()
-def chat_answers(spark, d):
+def _chat(spark, d):
     r = _retrieved(spark, d).withColumn("page", F.lit(None).cast("int")).withColumn("url", F.lit("")).withColumn("posted_at", F.lit(None).cast("timestamp"))
     return answers.chat(_questions(spark, d), r).drop("prompt")
 
 
+@query()
+def chat_answers(spark, d):
+    return _chat(spark, d).drop("sources")
+
+
 @query()
 def demo_answer(spark, d):
     r = _reranked(spark, d)
@@ -410,20 +414,22 @@ def compare_rankings(spark, d):
 
 @query()
 def compare_results(spark, d):
+    """The comparison of two methods, the chunks of each answer as their ids."""
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "source", "lang", "text")
     docs = docs.select("document_id", F.col("source").alias("title"), F.lit("").alias("path"), F.lit("").alias("url"), F.lit(None).cast("string").alias("posted_at"), F.lit("text").alias("content_type"), F.create_map(F.lit("notice_id"), F.col("document_id")).alias("metadata"), "text")
     q = _questions(spark, d).withColumn("category", F.lit("")).withColumn("important", F.lit(False)).withColumn("gold_notice_id", F.lit(""))
     ix = search.documents_index(docs)
-    return search.compare({"text_only": ix, "ocr_plain": ix}, q)
+    r = search.compare({"text_only": ix, "ocr_plain": ix}, q)
+    return r.select("question_id", "method", "answer", "top1_notice_id", F.array_join(F.transform("retrieved_chunks", lambda c: c["chunk_id"]), ",").alias("chunk_ids"), "refusal", "refusal_reason")
 
 
 # -- provenance
 
 
-@query(r"SELECT sha256(string_agg(t || chr(0) || 'p' || chr(0) || 'text' || chr(0) || 'Document' || chr(0) || 'null' || chr(0) || text || chr(0), '' ORDER BY item_id)) AS corpus_hash FROM (SELECT item_id, 'item ' || item_id AS t, text FROM benchmark)")
+@query(r"SELECT sha256(string_agg(t || chr(0) || 'p' || chr(0) || 'text' || chr(0) || 'Document' || chr(0) || 'null' || chr(0) || text || chr(0), '' ORDER BY doc_id)) AS corpus_hash FROM (SELECT doc_id, 'doc ' || doc_id AS t, text FROM documents WHERE text IS NOT NULL)")
 def corpus_hash(spark, d):
-    b = table(spark, d, "benchmark")
-    s = b.select(F.col("item_id").alias("document_id"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("title"), F.lit("p").alias("path"), F.lit("text").alias("content_type"), F.lit(0).alias("section_index"), F.lit("Document").alias("section"), F.lit(None).cast("int").alias("page"), "text")
+    b = table(spark, d, "documents").filter("text is not null")
+    s = b.select(F.col("doc_id").alias("document_id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.lit("p").alias("path"), F.lit("text").alias("content_type"), F.lit(0).alias("section_index"), F.lit("Document").alias("section"), F.lit(None).cast("int").alias("page"), "text")
     return provenance.corpus_hash(s)
 
 
@@ -487,9 +493,10 @@ def url_notice_id(spark, d):
 @query(r"""
 SELECT page_id, CASE WHEN page_id % 2 = 0 THEN printf('%04d-%02d-%02dT%02d:%02d:00+09:00', 2020 + page_id % 5, 1 + page_id % 12, 1 + page_id % 28, page_id % 24, page_id % 60) END AS posted_at FROM pages""")
 def posted_at(spark, d):
+    """Whole pages, of which every other one has the label put before its html."""
     p = F.col("page_id")
-    stamp = F.format_string("<p>x %d.%d.%d %d:%02d</p>", 2020 + p % 5, 1 + p % 12, 1 + p % 28, p % 24, p % 60)
-    return table(spark, d, "pages").select("page_id", web.posted_at(F.when(p % 2 == 0, F.concat(F.lit("<div id='IContents_span작성일시'>"), stamp, F.lit("</div>"))).otherwise("<p>none</p>")).alias("posted_at"))
+    stamp = F.format_string("<div id='IContents_span작성일시'><p>x %d.%d.%d %d:%02d</p></div>", 2020 + p % 5, 1 + p % 12, 1 + p % 28, p % 24, p % 60)
+    return table(spark, d, "pages").select("page_id", web.posted_at(F.concat(F.when(p % 2 == 0, stamp).otherwise(""), "html")).alias("posted_at"))
 
 
 @query()
@@ -499,8 +506,9 @@ def html_visible_text(spark, d):
 
 @query()
 def collect_notices(spark, d):
+    """The manifest of all pages, files as one text."""
     p = table(spark, d, "pages").select(F.col("page_id").alias("seq"), "url", "html")
-    return web.collect_notices(p)
+    return web.collect_notices(p).withColumn("attachment_urls", F.array_join("attachment_urls", " "))
 
 
 @query(f"""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from . import defaults
-from .catalog import _BLOCK, _CLEAN, _CUES, _DATES, _GUARDED, _MAILS, _PHONES, _RERANKED, _RETRIEVED, _SEARCHABLE, _SNIPPETS, HYBRID, QUERIES, SQL, _ocr, _questions, _retrieved, norm, query, sql_tokens, table
+from .catalog import _BLOCK, _CLEAN, _CUES, _DATES, _GUARDED, _MAILS, _PHONES, _RERANKED, _RETRIEVED, _SEARCHABLE, _SNIPPETS, HYBRID, QUERIES, SQL, _chat, _ocr, _questions, _retrieved, norm, query, sql_tokens, table
 from .functions import numbers, text, vectors
 from .operators import answers, chunks, evidence, layout, provenance, store, web
 from .plans import search
@@ -369,7 +369,7 @@ chat AS (SELECT query_id, CASE WHEN status = 'MATCHED' AND answer IS NULL THEN '
 @query(CHAT + " SELECT query_id, status AS retrieval_status, answer, coalesce(labels, '') AS source_labels FROM chat")
 def chat_log_rows(spark, d):
     """Guarded answers as log rows."""
-    return sinks.chat_log(QUERIES["chat_answers"](spark, d)).drop("created_at")
+    return sinks.chat_log(_chat(spark, d)).drop("created_at")
 
 
 @query(CHAT + " SELECT query_id, status = 'MATCHED' AS answered, CASE WHEN status = 'MATCHED' THEN CASE query_id % 3 WHEN 0 THEN 'mock' ELSE 'p' END END AS provider, CASE WHEN status = 'MATCHED' THEN CASE query_id % 3 WHEN 0 THEN 'ValueError: empty answer' END END AS fallback_reason FROM chat")
@@ -401,14 +401,7 @@ WITH v AS MATERIALIZED ({VISIBLE}),
 n AS (SELECT page_id AS seq, 'notice_' || substr(sha256(url), 1, 12) AS notice_id, coalesce(nullif({_CLEAN}, ''), '{web.NO_TITLE}') AS title, url, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS department, v.text AS raw_text FROM pages JOIN v USING (page_id)),
 h AS (SELECT *, sha256(title || chr(10) || raw_text) AS source_hash FROM n),
 f AS (SELECT *, first_value(seq) OVER w AS s0, first_value(notice_id) OVER w AS n0 FROM h WINDOW w AS (PARTITION BY source_hash ORDER BY seq))
-SELECT seq, notice_id, title, url, department, '공지' AS category, sha256(raw_text) AS raw_sha256, 0 AS n_files, 'text' AS content_type, source_hash, seq <> s0 AS is_duplicate, CASE WHEN seq <> s0 THEN n0 END AS duplicate_of FROM f"""
-
-
-@query(NOTICES)
-def notice_manifest(spark, d):
-    """The manifest of all pages, long texts as checksums."""
-    m = QUERIES["collect_notices"](spark, d)
-    return m.select("seq", "notice_id", "title", "url", "department", "category", F.sha2("raw_text", 256).alias("raw_sha256"), F.size("attachment_urls").alias("n_files"), "content_type", "source_hash", "is_duplicate", "duplicate_of")
+SELECT seq, notice_id, title, url, NULL::VARCHAR AS posted_at, '' AS collected_at, department, '공지' AS category, raw_text, '' AS attachment_urls, 'text' AS content_type, source_hash, seq <> s0 AS is_duplicate, CASE WHEN seq <> s0 THEN n0 END AS duplicate_of FROM f"""
 
 
 @query("SELECT page_id, list_sort(['http://h/f/' || page_id || '.PDF', 'http://o/i.png']) AS files FROM pages")
@@ -579,7 +572,7 @@ def corpus_dates_and_contacts(spark, d):
     return m.select(F.explode("extracted_dates").alias("found"), F.lit("date").alias("kind")).unionByName(m.select(F.explode("extracted_contacts").alias("found"), F.lit("contact").alias("kind")))
 
 
-@query(f"""
+COMPARED = f"""
 WITH {_SNIPPETS}, f AS (SELECT query_id, snippet, min(rank) AS rank FROM sn GROUP BY ALL),
 k AS (SELECT *, coalesce(sum(length(snippet)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM f),
 an AS (SELECT query_id, substr(string_agg(snippet, chr(10) || chr(10) ORDER BY rank), 1, 512) AS answer FROM k WHERE used < 512 GROUP BY query_id),
@@ -587,12 +580,7 @@ pt AS (SELECT query_id, flatten(list({sql_tokens('alnum', 'text')}) FILTER (hybr
 ro AS (SELECT query_id, best, ids, top1, len(list_filter(q.q, lambda x: list_contains(t, x))) AS overlap, len(q.q) AS n FROM q JOIN pt USING (query_id)),
 rf AS (SELECT *, CASE WHEN overlap < 1 THEN 'LOW_TOKEN_OVERLAP' WHEN overlap / greatest(n, 1) < 0.3 AND best < 0.22 THEN 'LOW_EVIDENCE_COVERAGE' ELSE '' END AS reason FROM ro)
 SELECT query_id AS question_id, method, CASE WHEN reason <> '' THEN '{defaults.OFFLINE_REFUSAL_MESSAGE}' ELSE answer END AS answer, top1 AS top1_notice_id, ids AS chunk_ids, reason <> '' AS refusal, reason AS refusal_reason
-FROM rf LEFT JOIN an USING (query_id), (VALUES ('text_only'), ('ocr_plain')) m(method)""")
-def compared_answers(spark, d):
-    """The comparison of two methods, the chunks of each answer as their ids."""
-    r = QUERIES["compare_results"](spark, d)
-    return r.select("question_id", "method", "answer", "top1_notice_id", F.array_join(F.transform("retrieved_chunks", lambda c: c["chunk_id"]), ",").alias("chunk_ids"), "refusal", "refusal_reason")
-
+FROM rf LEFT JOIN an USING (query_id), (VALUES ('text_only'), ('ocr_plain')) m(method)"""
 
 #: SQL for queries of the first module that need what is defined here.
-SQL |= {"html_visible_text": VISIBLE, "rate_limit_decisions": RATE, "reindex_cooldown": COOLDOWN, "demo_answer": DEMO, "layout_documents": LAYOUT}
+SQL |= {"html_visible_text": VISIBLE, "rate_limit_decisions": RATE, "reindex_cooldown": COOLDOWN, "demo_answer": DEMO, "layout_documents": LAYOUT, "collect_notices": NOTICES, "compare_results": COMPARED, "chat_answers": CHAT + " SELECT query_id, status, answer FROM chat"}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,17 +29,37 @@ def document_hashes(sections: DataFrame) -> DataFrame:
     return sections.groupBy("document_id").agg(sha256_parts(F.concat(head, F.flatten(F.transform(parts, lambda x: x["p"])))).alias("sha"))
 
 
+def _streamed(rows: DataFrame, order: list[str], head: list[str], parts: list[str], name: str) -> DataFrame:
+    """One row: SHA-256 of the parts of all rows in order, each with a zero character behind it; where order[0] changes, the head comes first. Nulls are left out.
+
+    Rows are sorted by many tasks; one task reads them as a stream and holds a batch at a time.
+    """
+    sorted_ = rows.select(*order, *(F.col(c).cast("string").alias(f"_{k}") for k, c in enumerate([*head, *parts]))).orderBy(*order)
+
+    def run(batches):
+        sha, last = hashlib.sha256(), object()
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for k, own in enumerate(columns[0]):
+                begin = len(order) if own != last else len(order) + len(head)
+                last = own
+                for c in columns[begin:]:
+                    if c[k] is not None:
+                        sha.update(c[k].encode() + b"\0")
+        yield pa.RecordBatch.from_pydict({name: [sha.hexdigest()]})
+
+    one = sorted_.coalesce(1).mapInArrow(run, f"`{name}` string")
+    return one.agg(F.coalesce(F.first(name), F.lit(hashlib.sha256().hexdigest())).alias(name))
+
+
 def corpus_hash(sections: DataFrame, order: str = "document_id") -> DataFrame:
     """corpus_hash: SHA-256 of all parts of all documents in order, each with a zero character behind it.
 
-    This is one hash over the text of the whole corpus, as the contract of stored metadata has it, so its last step
-    runs in one task and needs the corpus to fit there. corpus_digest() is for larger corpora.
+    This is one hash over the text of the whole corpus in order, as the contract of stored metadata has it, so its last
+    step is one task's stream, whose time grows with the corpus. corpus_digest() has no such step.
     """
-    rows = sections.groupBy(order).agg(
-        F.first("title").alias("t"), F.first("path").alias("p"), F.first("content_type").alias("c"),
-        F.array_sort(F.collect_list(F.struct("section_index", F.array("section", F.coalesce(F.col("page").cast("string"), F.lit("null")), "text").alias("x")))).alias("s"))
-    one = rows.select(F.struct(F.col(order).alias("o"), F.concat(F.array("t", "p", "c"), F.flatten(F.transform("s", lambda x: x["x"]))).alias("x")).alias("d"))
-    return one.agg(sha256_parts(F.flatten(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["x"]))).alias("corpus_hash"))
+    rows = sections.withColumn("_page", F.coalesce(F.col("page").cast("string"), F.lit("null")))
+    return _streamed(rows, [order, "section_index"], ["title", "path", "content_type"], ["section", "_page", "text"], "corpus_hash")
 
 
 def corpus_digest(sections: DataFrame) -> DataFrame:
@@ -47,9 +70,8 @@ def corpus_digest(sections: DataFrame) -> DataFrame:
 
 
 def ordered_hash(rows: DataFrame, order: str, parts: list[str], name: str = "hash") -> DataFrame:
-    """SHA-256 of the parts of all rows in order. One task; for index metadata, not for corpora of any size."""
-    one = rows.select(F.struct(F.col(order).alias("o"), F.array(*[F.col(p).cast("string") for p in parts]).alias("p")).alias("x"))
-    return one.agg(sha256_parts(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["p"]))).alias(name))
+    """SHA-256 of the parts of all rows in order; its last step is one task's stream."""
+    return _streamed(rows, [order], [], parts, name)
 
 
 def latest(metadata: DataFrame, keys: list[str], by: str = "id") -> DataFrame:
