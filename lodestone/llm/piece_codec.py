@@ -335,7 +335,9 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     ids_sha256 is of the ids as little-endian unsigned 32-bit numbers, decoded_sha256 of the decoded text in UTF-8.
     round_trip: decoding gives the text (null as empty) again. The one character that doesn't survive is U+2581, which
-    decodes as a space. A null or empty text has no tokens.
+    decodes as a space. A null or empty text has no tokens. A text of any length is encoded whole, unit by unit. Each
+    row gets its row, whether its id or text is repeated or its id is null. Other columns, whatever their names, are not
+    read. An empty table gives no rows.
     """
     path = path or model_path()
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * ids

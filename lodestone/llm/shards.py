@@ -113,6 +113,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: int = KEY, id_col: str = "
 
     A null text counts as none: size 1, checksum 0. Null ids come first in the numbering. Rows that tie in id,
     checksum and size are interchangeable: which of them has which of their places isn't fixed, their places are.
+    Repeated rows each get a place. Long texts count whole. Other columns, whatever their names, are not read. An empty
+    table gives no rows. A walk of more than WALK steps in the permutation, which has odds under 2^-WALK, is an error.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     sized = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
