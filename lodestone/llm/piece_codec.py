@@ -7,8 +7,11 @@ right, all units at a time.
 
 The vocabulary's scores are merge ranks. A sequence of pieces is the merge result if and only if each two neighbours
 are that of their own joint text, and each prefix has one such sequence. So an edge relaxes its end if it and the
-piece that ends where it starts are compatible; which pairs are is computed once for each pair. Characters that no
-piece has are edges of their own and become the pieces of their bytes.
+piece that ends where it starts are compatible; which pairs are is computed once for each pair, from the merges that
+make each of the two: a pair is not if its inner neighbours merge at any moment. Characters that no piece has are edges
+of their own and become the pieces of their bytes.
+
+Texts are cut into units, and units put together to texts, as Arrow columns; Python handles distinct units alone.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +31,14 @@ from .common import table
 SPACE = "▁"
 #: Characters of units whose suffixes are sorted at once; a longer unit is taken alone.
 BLOCK = 400_000
-#: Characters of text whose units are looked up together.
+#: Bytes of text whose units are looked up together.
 GROUP = 3_000_000
 #: Pairs of pieces that a worker remembers, in a table of so many bits.
 PAIRS, SLOT_BITS = 1_000_000, 21
 #: Units whose encoding a worker remembers, and their length at most.
 MEMO, MEMO_CHARS = 300_000, 64
+#: The order of a merge that there is not.
+NONE = 1 << 40
 DEFAULT_MODEL = "piece_bpe_32k.model"
 
 
@@ -68,6 +74,8 @@ class Codec:
         order = sorted(self.rank)
         self.texts = order
         self.ids = np.array([self.rank[p][1] for p in order])
+        self.index = {p: k for k, p in enumerate(order)}
+        self.texts_of = pa.array(self.bytes_of, pa.large_binary())
         self.longest = max(map(len, order))
         self.lengths = np.array([len(p) for p in order])
         self.matrix = np.zeros((len(order), self.longest), np.uint32)
@@ -76,27 +84,73 @@ class Codec:
         self.chars = {c for p in order for c in p}
         self.alone = set(self.matrix[self.lengths == 1, 0].tolist())
         self.newline_ends = "\n" not in self.chars
-        self.unit = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if self.newline_ends else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.memo: dict[str, bytes] = {}
         self.pair_keys, self.pair_fits, self.pairs = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool), 0
+        self.prepare_pairs()
 
     # -- pairs of pieces
 
-    def merged(self, text: str) -> list[str]:
-        """The merge result of a short text, by definition: the best-ranked adjacent pair first, the leftmost on a tie."""
-        s = list(text)
+    def merges(self, text: str) -> list[tuple[int, int, int]]:
+        """The merges of a short text, by definition: the best-ranked adjacent pair first, the leftmost on a tie. For each
+        moment: the first piece, the last one, the order of the merge that follows (NONE after the last)."""
+        s, out = list(text), []
         while True:
-            best, at = None, -1
+            best, at = NONE, -1
             for i in range(len(s) - 1):
-                r = self.rank.get(s[i] + s[i + 1])
-                if r is not None and (best is None or r[0] > best):
-                    best, at = r[0], i
-            if best is None:
-                return s
+                r = self.order.get(s[i] + s[i + 1], NONE)
+                if r < best:
+                    best, at = r, i
+            out.append((self.number(s[0]), self.number(s[-1]), best))
+            if best == NONE:
+                return out
             s[at : at + 2] = [s[at] + s[at + 1]]
 
-    def name(self, k: int) -> str:
-        return self.texts[k] if k < len(self.texts) else chr(k - len(self.texts))
+    def number(self, piece: str) -> int:
+        k = self.index.get(piece)
+        return len(self.texts) + ord(piece) if k is None else k
+
+    def prepare_pairs(self) -> None:
+        """What told() needs: the merges of each piece one after another, and the order of each pair that merges."""
+        score = np.array([self.rank[p][0] for p in self.texts])
+        self.order = dict(zip(self.texts, np.unique(-score, return_inverse=True)[1].tolist(), strict=True))
+        moments, self.first_moment, self.whole = [], [], []
+        for k, p in enumerate(self.texts):
+            self.first_moment.append(len(moments))
+            moments += self.merges(p)
+            self.whole.append(moments[-1][:2] == (k, k))
+        self.first_moment.append(len(moments))  # the one moment of a character that is no piece
+        moments.append((-1, -1, NONE))
+        self.first_moment, self.whole = np.array(self.first_moment), np.array([*self.whole, True])
+        self.first_piece, self.last_piece, self.next_merge = np.array(moments, np.int64).T.copy()
+        joins = {}
+        for p in self.texts:
+            for i in range(1, len(p)):
+                if (i == 1 or p[:i] in self.index) and (i == len(p) - 1 or p[i:] in self.index):
+                    joins[self.number(p[:i]) << 24 | self.number(p[i:])] = self.order[p]
+        self.join_keys = np.array(sorted(joins), np.int64)
+        self.join_order = np.array([joins[k] for k in self.join_keys.tolist()], np.int64)
+
+    def told(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """fits() for pairs not met before. Both pieces are made by their own merges, in the order in which the joint
+        text would have them, and the two pieces at the border are looked up at each moment."""
+        v = len(self.texts)
+        a, b = np.minimum(left, v), np.minimum(right, v)
+        out = self.whole[b] & ((left < 0) | self.whole[a])
+        rows = np.flatnonzero(out & (left >= 0))
+        i, j = self.first_moment[a[rows]], self.first_moment[b[rows]]
+        while len(rows):
+            inner = self.last_piece[i], self.first_piece[j]
+            inner = [np.where(x < 0, whole[rows], x) for x, whole in zip(inner, (left, right), strict=True)]
+            key = inner[0] << 24 | inner[1]
+            at = np.minimum(np.searchsorted(self.join_keys, key), len(self.join_keys) - 1)
+            across = np.where(self.join_keys[at] == key, self.join_order[at], NONE)
+            before, behind = self.next_merge[i], self.next_merge[j]
+            lost = (across < before) & (across <= behind)  # on a tie the leftmost comes first
+            out[rows[lost]] = False
+            go = ~lost & (np.minimum(before, behind) < NONE)
+            step = (before <= behind)[go]
+            rows, i, j = rows[go], i[go] + step, j[go] + ~step
+        return out
 
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether pieces left and right are the merge result of their joint text; left -1: the start of a unit."""
@@ -110,12 +164,7 @@ class Codec:
                 if len(new) > PAIRS:  # more than the table takes
                     half = len(keys) // 2
                     return np.concatenate([self.fits(left[:half], right[:half]), self.fits(left[half:], right[half:])])
-            told = []
-            for key in new.tolist():
-                a, b = (key >> 24) - 1, key & 0xFFFFFF
-                want = ([self.name(a)] if a >= 0 else []) + [self.name(b)]
-                told.append(self.merged("".join(want)) == want)
-            self._put(new, np.array(told, bool))
+            self._put(new, self.told((new >> 24) - 1, new & 0xFFFFFF))
             at, known = self._find(keys)
         return self.pair_fits[at]
 
@@ -136,11 +185,13 @@ class Codec:
         return at, known
 
     def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
-        table, fits, last = self.pair_keys, self.pair_fits, (1 << SLOT_BITS) - 1
-        for k, v, at in zip(keys.tolist(), values.tolist(), self._slot(keys).tolist(), strict=True):
-            while table[at] >= 0:
-                at = (at + 1) & last
-            table[at], fits[at] = k, v
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.pair_keys[at[todo]] < 0]
+            self.pair_keys[at[free]] = keys[free]  # of several with one slot the last has it
+            todo = todo[self.pair_keys[at[todo]] != keys[todo]]
+            at[todo] = (at[todo] + 1) & ((1 << SLOT_BITS) - 1)
+        self.pair_fits[at] = values
         self.pairs += len(keys)
 
     # -- the suffix array of a block of units
@@ -158,7 +209,7 @@ class Codec:
             key <<= bits
             key[: max(0, n - k)] |= rank[k:]
         done = first
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         keys = key[order]
         ranked = keys
         while done < self.longest:
@@ -173,7 +224,7 @@ class Codec:
             tied = np.concatenate([ranked[1:] == ranked[:-1], [False]])
             tied[1:] |= tied[:-1].copy()
             at = np.flatnonzero(tied)
-            order[at] = order[at][np.argsort(key[order[at]], kind="stable")]
+            order[at] = order[at][np.argsort(key[order[at]])]
             ranked = key[order]
             done *= 2
         return order, keys, values, first, bits
@@ -247,7 +298,7 @@ class Codec:
         inside = stop <= ends[owner[start]] - 1
         piece, start, stop = piece[inside], start[inside], stop[inside]
         place = stop - starts[owner[start]]  # sorted by where they end, counted from their unit's start
-        order = np.argsort(place, kind="stable")
+        order = np.argsort(place.astype(np.uint16) if len(place) and place.max() < 1 << 16 else place, kind="stable")
         piece, start, stop, place = piece[order], start[order], stop[order], place[order]
         last = np.full(n + 1, -2, np.int64)
         last[starts] = -1
@@ -270,7 +321,7 @@ class Codec:
             return [b""] * len(units)
         owner = np.concatenate([u for u, _ in reversed(steps)])
         piece = np.concatenate([p for _, p in reversed(steps)])
-        order = np.argsort(owner, kind="stable")
+        order = np.argsort(owner * np.int64(len(owner)) + np.arange(len(owner)))
         owner, piece = owner[order], piece[order]
         odd = piece >= len(self.texts)
         if odd.any():
@@ -288,41 +339,75 @@ class Codec:
 
     # -- texts
 
-    def units(self, text: str | None) -> list[str]:
-        return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+    def units(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The units of all texts in turn, with spaces as spaces, and where each text's begin (one more: their end)."""
+        none, lead = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), none), SPACE, " ")
+        texts = pc.if_else(pc.equal(texts, none), none, pc.binary_join_element_wise(lead, texts, none))
+        _, places, data = texts.buffers()
+        places = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        c = np.frombuffer(data or b"", np.uint8)[: places[-1]]
+        begins = np.zeros(len(c) + 1, bool)
+        begins[places] = True  # that of an empty text is the next one's, or the end
+        space = c == 32
+        begins[1:-1] |= space[1:] & ~space[:-1]
+        if self.newline_ends:
+            newline = c == 10
+            begins[:-1] |= newline
+            begins[1:] |= newline
+        begins[0] = begins[-1] = True
+        begins = np.flatnonzero(begins)
+        whole = pa.Array.from_buffers(pa.large_string(), len(begins) - 1, [None, pa.py_buffer(begins), pa.py_buffer(c)])
+        return whole.dictionary_encode(), np.searchsorted(begins, places)
+
+    def encode_batch(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text, as little-endian uint32; null and empty texts have none."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
         out: list[bytes] = []
-        group, size = [], 0
-        for t in texts:
-            group.append(t)
-            size += len(t or "")
-            if size >= GROUP:
-                out += self._encode_group(group)
-                group, size = [], 0
-        return out + (self._encode_group(group) if group else [])
-
-    def _encode_group(self, texts: list[str | None]) -> list[bytes]:
-        parts = [self.units(t) for t in texts]
+        since, size = 0, 0
+        for k, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 1):
+            size += n
+            if size >= GROUP or k == len(texts):
+                out += self._encode_group(texts.slice(since, k - since))
+                since, size = k, 0
+        return out
+
+    def _encode_group(self, texts: pa.Array) -> list[bytes]:
+        units, places = self.units(texts)
+        if not len(units):
+            return [b""] * len(texts)
+        names = pc.replace_substring(units.dictionary, " ", SPACE).to_numpy(zero_copy_only=False).tolist()
         memo = self.memo
-        new = sorted(set().union(*parts) - memo.keys())
-        for u, ids in zip(new, self.encode_units(new), strict=True):
-            memo[u] = ids
-        get = memo.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
+        held = list(map(memo.get, names))
+        at = [k for k, x in enumerate(held) if x is None]
+        new = [names[k] for k in at]
+        for k, u, x in zip(at, new, self.encode_units(new), strict=True):
+            held[k] = memo[u] = x
+        coded = pa.array(held, pa.large_binary()).take(units.indices)
         if len(memo) > MEMO:  # what this text has is kept, the rest is encoded again if it comes back
-            self.memo = {u: memo[u] for p in parts for u in p if len(u) <= MEMO_CHARS}
+            self.memo = {u: memo[u] for u in names if len(u) <= MEMO_CHARS}
         else:
             for u in new:
                 if len(u) > MEMO_CHARS:
                     del memo[u]
-        return out
+        return cut(coded, places)
+
+    def decode_batch(self, coded: list[bytes]) -> list[str]:
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        places = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded], dtype=np.int64)])
+        texts = (raw.decode("utf-8", "replace") for raw in cut(self.texts_of.take(pa.array(ids)), places))
+        return [t[1:] if t[:1] == " " else t for t in texts]
+
 
-    def decode(self, ids: bytes) -> str:
-        raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        text = raw.decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+def cut(column: pa.Array, places: np.ndarray) -> list[bytes]:
+    """The bytes of a binary column from each place to the next, joined."""
+    if not len(column):
+        return [b""] * (len(places) - 1)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1][places].tolist()
+    data = memoryview(data or b"")
+    return [bytes(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -354,8 +439,8 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def encoded(c: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
         part = batch.column("text").to_pylist()
-        coded = c.encode_batch(part)
-        back = [c.decode(x) for x in coded]
+        coded = c.encode_batch(batch.column("text"))
+        back = c.decode_batch(coded)
         cols = {
             "doc_id": batch.column("doc_id"),
             "n_tokens": pa.array([len(x) // 4 for x in coded], pa.int64()),
@@ -377,7 +462,9 @@ def decode(coded: DataFrame, path: str | None = None, id_col: str = "doc_id", id
     def run(batches):
         c = codec(path)
         for batch in batches:
-            texts = [None if x is None else c.decode(np.array(x, "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
+            ids = batch.column("ids").to_pylist()
+            texts = c.decode_batch([np.array(x or [], "<u4").tobytes() for x in ids])
+            texts = [None if x is None else t for x, t in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())})
 
     return coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")

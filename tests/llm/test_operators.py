@@ -56,6 +56,44 @@ def test_a_block_smaller_than_a_unit(monkeypatch):
     assert whole == piece_codec.Codec(piece_codec.model_path()).encode_batch(["the quick brown fox " + "abcdefgh" * 20, "the"])
 
 
+def test_pairs_of_pieces_by_merging_their_joint_text():
+    c, rnd = piece_codec.Codec(piece_codec.model_path()), random.Random(2)
+
+    def merged(text):
+        parts = list(text)
+        while True:
+            scores = [c.rank.get(a + b, (float("-inf"),))[0] for a, b in zip(parts, parts[1:], strict=False)]
+            if not scores or max(scores) == float("-inf"):
+                return parts
+            at = scores.index(max(scores))
+            parts[at : at + 2] = ["".join(parts[at : at + 2])]
+
+    n = len(c.texts)
+    pairs = [(rnd.randrange(-1, n), rnd.randrange(n)) for _ in range(3000)] + [(n + ord("\u0378"), rnd.randrange(n)) for _ in range(20)]
+    for k in rnd.sample(range(n), 3000):  # pairs that merge somewhere
+        p = c.texts[k]
+        pairs += [(c.index[p[:i]], c.index[q]) for i in range(1, len(p)) for q in (p[i:], p[i:] + p[i:], p[i:] + "s") if p[:i] in c.index and q in c.index]
+    names = [[c.texts[k] if k < n else chr(k - n) for k in pair if k >= 0] for pair in pairs]
+    want = [merged("".join(x)) == x for x in names]
+    left, right = np.array(pairs).T
+    assert c.told(left, right).tolist() == want
+    assert 0 < sum(want) < len(want)
+    assert c.fits(left, right).tolist() == want == c.fits(left, right).tolist()
+
+
+def test_a_memo_that_is_dropped_and_texts_taken_one_by_one(monkeypatch):
+    rnd = random.Random(3)
+    texts = [None, "", " ", "\n", "\n \n", "a\0b \0"] + ["".join(rnd.choice("abc  \n\té漢😀▁") for _ in range(rnd.randrange(90))) for _ in range(200)]
+    want = piece_codec.Codec(piece_codec.model_path()).encode_batch(texts)
+    monkeypatch.setattr(piece_codec, "MEMO", 20)
+    monkeypatch.setattr(piece_codec, "MEMO_CHARS", 4)
+    monkeypatch.setattr(piece_codec, "GROUP", 30)
+    c = piece_codec.Codec(piece_codec.model_path())
+    assert c.encode_batch(texts) == want
+    assert [c.encode_batch([t])[0] for t in texts] == want
+    assert c.decode_batch(want) == [(t or "").replace("▁", " ") for t in texts]
+
+
 # -- op2
 
 
