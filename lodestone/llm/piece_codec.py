@@ -449,7 +449,8 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             "round_trip": pa.array([x == (t or "") for x, t in zip(back, part, strict=True)], pa.bool_()),
         }
         if ids:
-            cols["ids"] = pa.array([np.frombuffer(x, "<i4") for x in coded], pa.list_(pa.int32()))
+            places = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
+            cols["ids"] = pa.ListArray.from_arrays(pa.array(places), pa.array(np.frombuffer(b"".join(coded), "<i4")))
         return pa.RecordBatch.from_pydict(cols)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kind)
