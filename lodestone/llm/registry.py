@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchors, decontam, exact, jaccard, langid, pii, piece_codec, shards, suffixes, urls
+from . import anchors, decontam, exact, jaccard, langid, pii, piece_codec, quality, shards, suffixes, urls
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         langid.op8_language_id,
         shards.op9_feistel_shards,
         decontam.op10_decontaminate,
+        quality.op13_adaptive_quality,
     )
 }
-ORACLE_SQL = {"op2_jaccard_join": jaccard.SQL, "op4_exact_dedup": exact.SQL, "op5_block_anchors": anchors.SQL, "op6_suffix_sort": suffixes.SQL, "op7_link_graph_filter": urls.SQL, "op9_feistel_shards": shards.SQL, "op10_decontaminate": decontam.SQL}
+ORACLE_SQL = {"op2_jaccard_join": jaccard.SQL, "op4_exact_dedup": exact.SQL, "op5_block_anchors": anchors.SQL, "op6_suffix_sort": suffixes.SQL, "op7_link_graph_filter": urls.SQL, "op9_feistel_shards": shards.SQL, "op10_decontaminate": decontam.SQL, "op13_adaptive_quality": quality.SQL}
