@@ -22,8 +22,9 @@ WORDS, WINDOW, REPEATED = 10, 5, 20
 LEAST = 50
 #: A fence lies SPREAD times the way from the median to the outer decile beyond that decile, or the measure's slack if that is more.
 SPREAD = 3
-#: (measure, slack, whether small values are fenced too). Word length in hundredths of a character, the others for 1000 words or lines.
-MEASURES = [("length", 150, True), ("symbols", 150, False), ("dup_lines", 300, False), ("repeated", 100, False)]
+#: (measure, slack, whether small values are fenced too). Word length in hundredths of a character, the others for 1000 words or lines; a sentence
+#: that a short text has twice is within the slack.
+MEASURES = [("length", 150, True), ("symbols", 150, False), ("dup_lines", 300, False), ("repeated", 180, False)]
 WHITE = r"\x20\x09-\x0D"
 
 
