@@ -52,12 +52,15 @@ def shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: lineage ends there, and a lost executor costs nothing written before."""
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a table in the shared folder, read back: lineage ends there, and a lost executor costs nothing written before.
+
+    options: of the writer.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with shuffle_files_dropped(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path  # type: ignore[attr-defined]
     return out
