@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import defaults
 from .functions import numbers, text, tokenizers, vectors
-from .operators import admission, answers, chunks, containment, dense, evidence, fusion, layout, lexical, metrics, provenance, web
+from .operators import admission, answers, chunks, containment, dense, evidence, fusion, layout, lexical, metrics, postings, provenance, web
 from .plans import search
 from .session import spread
 from .streaming import events
@@ -183,6 +183,13 @@ def bm25_topk_online(spark, d):
     return lexical.search(ix, _questions(spark, d), 50).withColumn("bm25_score", F.round("bm25_score", 6))
 
 
+@query(SQL["bm25_topk_offline"])
+def bm25_topk_postings(spark, d):
+    """The same from posting lists in blocks, most of which are skipped."""
+    ix = postings.build(_chunks(spark, d), profile="offline")
+    return postings.search(ix, _questions(spark, d), 50).withColumn("bm25_score", F.round("bm25_score", 6))
+
+
 # -- vectors
 
 

@@ -25,11 +25,25 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once: what is read back starts from files, so a lost executor repeats nothing before them."""
+def stored(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df, computed once: what is read back starts from files, so a lost executor repeats nothing before them.
+
+    by: columns that the files are dealt by, so that a filter on them reads those files only.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    w = df.write.partitionBy(*by) if by else df.write
+    w.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote and that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_lodestone_path", None):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def in_turn(blocks: Iterable, search: Callable[[Any], tuple[DataFrame, Any]], name: str) -> DataFrame | None:
