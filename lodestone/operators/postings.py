@@ -16,9 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..defaults import BM25_B, BM25_K1
 from ..functions.numbers import round_half_up
@@ -29,8 +31,8 @@ from . import lexical
 BLOCK, SLAB, MERGED = 128, 2_000_000, 1024
 #: Blocks are stored by bands of this width below the largest impact there is.
 BAND = 0.25
-#: Texts of a question, times k, that are scored to learn which score k texts reach.
-SEEDS = 4
+#: Texts of a question, times k, that are scored to learn which score k texts reach; postings of the weightiest terms that show which texts these are.
+SEEDS, SEED_POSTINGS = 4, 20_000
 #: Scores are equal within this.
 EPSILON = 1e-6
 
@@ -119,19 +121,60 @@ def build(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", profi
     return PostingIndex(texts, blocks, bm25, k1, b)
 
 
-def exact(index: PostingIndex, found: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, id, score) of (query_id, number), from the texts' own terms."""
-    own = found.join(index.texts.select("number", "id", "dl", "terms", "tfs"), "number")
-    own = own.select("query_id", "id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("query_id", "id", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
-    part = F.col("w") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"), index.k1, index.b)
-    return own.join(asked, ["query_id", "term"]).groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+def exact(index: PostingIndex, found: DataFrame, asked: DataFrame, few: list | None) -> DataFrame:
+    """(query_id, id, score) of (query_id, number), from the texts' own terms; few: asked's rows, if they are few.
+
+    Each text is read once for all questions that it may answer.
+    """
+    if few is None:
+        own = found.join(index.texts.select("number", "id", "dl", "terms", "tfs"), "number")
+        own = own.select("query_id", "id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("query_id", "id", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+        part = F.col("w") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"), index.k1, index.b)
+        return own.join(asked, ["query_id", "term"]).groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    own = found.groupBy("number").agg(F.collect_list("query_id").alias("asked")).join(index.texts.select("number", "id", "dl", "terms", "tfs"), "number")  # as many as are sent
+    kinds = [found.schema["query_id"].dataType, index.texts.schema["id"].dataType]
+    q_arrow, id_arrow = (to_arrow_type(t) for t in kinds)
+    terms = {t: n for n, t in enumerate(sorted({r["term"] for r in few}))}
+    by: dict = {}
+    for r in few:
+        by.setdefault(r["query_id"], ([], []))[0].append(terms[r["term"]])
+        by[r["query_id"]][1].append(r["w"])
+    k1, b = index.k1, index.b
+    sent = found.sparkSession.sparkContext.broadcast((list(terms), list(by), [(np.array(t), np.array(w)) for t, w in by.values()], few[0]["avgdl"] if few else 1.0))
+
+    def run(batches):
+        known, names, queries, avgdl = sent.value
+        known, names = pa.array(known, pa.string()), pa.array(names, q_arrow)
+        step = max(64, min(4096, lexical.CELLS // max(1, len(known))))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                own = batch.column(3)
+                number = pc.index_in(own.flatten(), value_set=known)
+                ok = number.is_valid().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(batch.num_rows), own.value_lengths().to_numpy())[ok]
+                tf, dl = batch.column(4).flatten().to_numpy()[ok].astype(np.float64), batch.column(2).to_numpy()[row]
+                worth = np.zeros((batch.num_rows, len(known)))
+                worth[row, number.drop_null().to_numpy()] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+                lists = batch.column(0)
+                q = pc.index_in(lists.flatten(), value_set=names).to_numpy()
+                text = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+                order = np.argsort(q, kind="stable")
+                q, text, score = q[order], text[order], np.zeros(len(q))
+                edge = np.searchsorted(q, np.arange(len(queries) + 1))
+                for k in np.unique(q).tolist():
+                    own_terms, w = queries[k]
+                    score[edge[k] : edge[k + 1]] = worth[np.ix_(text[edge[k] : edge[k + 1]], own_terms)] @ w
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(1).take(pa.array(text)).cast(id_arrow), pa.array(score)], ["query_id", "id", "score"])
+
+    return own.select("asked", "id", "dl", "terms", "tfs").mapInArrow(run, f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double")
 
 
 def ordered_terms(index: PostingIndex, asked: DataFrame) -> DataFrame:
-    """asked (query_id, term, w, avgdl) with most (what the term adds at most), rest (what the terms behind it in falling order of `most` add at most)."""
-    top = index.heads.groupBy("term").agg(F.max(F.struct("bound", "block", "band")).alias("top"))
+    """asked (query_id, term, w, avgdl) with n (its postings), most (what it adds at most), rest (what the terms behind it in falling order of `most` add at most)."""
+    top = index.heads.groupBy("term").agg(F.max("bound").alias("top"), F.sum("n").alias("n"))
     behind = Window.partitionBy("query_id").orderBy(F.desc("most"), "term").rowsBetween(1, Window.unboundedFollowing)  # a question's terms
-    known = asked.join(top, "term").withColumn("most", F.col("w") * F.col("top.bound"))
+    known = asked.join(top, "term").withColumn("most", F.col("w") * F.col("top"))
     return known.withColumn("rest", F.coalesce(F.sum("most").over(behind), F.lit(0.0)))
 
 
@@ -142,16 +185,22 @@ def shown(index: PostingIndex, picked: DataFrame) -> DataFrame:
     return rows.select("query_id", "term", "w", "left", F.explode("posts").alias("p")).select("query_id", "term", F.col("p.number").alias("number"), (F.col("w") * F.col("p.impact")).alias("gain"), "left")
 
 
-def reached(index: PostingIndex, terms: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, floor): a score that k texts of a question reach; none for a question whose best blocks hold fewer texts."""
-    seeds = shown(index, terms.select("query_id", "term", "w", F.lit(0.0).alias("left"), F.col("top.block").alias("block"), F.col("top.band").alias("band")))
-    seeds = seeds.groupBy("query_id", "number").agg(F.sum("gain").alias("score"))
-    by = lambda: Window.partitionBy("query_id").orderBy(F.desc("score"))
-    seeds = seeds.withColumn("r", F.row_number().over(by())).filter(F.col("r") <= SEEDS * k).select("query_id", "number")
-    ranked = exact(index, seeds, asked).withColumn("r", F.row_number().over(by())).filter(F.col("r") <= k)
+def reached(index: PostingIndex, partly: DataFrame, asked: DataFrame, few: list | None, k: int) -> DataFrame:
+    """(query_id, floor): a score that k texts of a question reach, by scoring the best of partly (query_id, number, gain); no row where fewer are known."""
+    by = lambda c: Window.partitionBy("query_id").orderBy(F.desc(c))
+    best = partly.withColumn("r", F.row_number().over(by("gain"))).filter(F.col("r") <= SEEDS * k).select("query_id", "number")
+    ranked = exact(index, best, asked, few).withColumn("r", F.row_number().over(by("score"))).filter(F.col("r") <= k)
     return ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).filter(F.col("n") == k).select("query_id", (F.col("floor") - EPSILON).alias("floor"))
 
 
+def seeds(index: PostingIndex, terms: DataFrame) -> DataFrame:
+    """(query_id, number, gain): what a question's weightiest terms give, those with SEED_POSTINGS together and the one behind them."""
+    upto = Window.partitionBy("query_id").orderBy(F.desc("w"), "term").rowsBetween(Window.unboundedPreceding, -1)
+    first = terms.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).filter(F.col("before") < SEED_POSTINGS).select("query_id", "term", "w", F.lit(0.0).alias("left"))
+    picked = first.join(index.heads.select("term", "block", "band"), "term")
+    return shown(index, picked).groupBy("query_id", "number").agg(F.sum("gain").alias("gain"))
+
+
 def blocks_to_read(index: PostingIndex, terms: DataFrame, floors: DataFrame) -> DataFrame:
     """Each block of each question's terms: (query_id, term, w, block, band, n, bound, read)."""
     own = terms.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
@@ -174,15 +223,19 @@ def search(index: PostingIndex, queries: DataFrame, k: int = 50, id_col: str = "
 def candidates(index: PostingIndex, queries: DataFrame, k: int, id_col: str = "query_id", text_col: str = "question") -> tuple[DataFrame, DataFrame]:
     """((query_id, id, score) of all texts that may be among the k best, blocks_to_read() as a stored table)."""
     asked = stored(lexical.weighted(index.bm25, queries, id_col, text_col), "asked")
+    few = asked.limit(lexical.SENT_TERMS + 1).collect()  # questions' terms are sent to the tasks if they are few
+    few = few if len(few) <= lexical.SENT_TERMS else None
     terms = stored(ordered_terms(index, asked), "asked-terms")
-    floors = stored(reached(index, terms, asked, k), "floors")
+    floors = stored(reached(index, seeds(index, terms), asked, few, k), "floors")
     heads = stored(blocks_to_read(index, terms, floors), "heads")
     #: What a term may still add, for texts that its read blocks don't have.
     left = heads.groupBy("query_id", "term").agg(F.coalesce(F.max(F.when(~F.col("read"), F.col("w") * F.col("bound"))), F.lit(0.0)).alias("left"))
     picked = heads.filter("read").select("query_id", "term", "w", "block", "band").join(left, ["query_id", "term"])
     seen = shown(index, picked).groupBy("query_id", "number").agg(F.sum("gain").alias("gain"), F.sum("left").alias("left"))
     rest = left.groupBy("query_id").agg(F.sum("left").alias("all")).join(floors, "query_id", "left")
-    may = seen.join(rest, "query_id").filter(F.col("gain") + F.col("all") - F.col("left") >= F.coalesce("floor", F.lit(0.0)) - EPSILON)
-    found = stored(may.select("query_id", "number"), "candidates")
-    dropped(terms, floors)
-    return exact(index, found, asked), heads
+    reach = lambda t, floor: t.filter(F.col("gain") + F.col("all") - F.col("left") >= F.coalesce(floor, F.lit(0.0)) - EPSILON)
+    seen = stored(reach(seen.join(rest, "query_id"), F.col("floor")), "seen")
+    now = reached(index, seen, asked, few, k).withColumnRenamed("floor", "higher")  # more is known of the best by now
+    found = stored(reach(seen.join(now, "query_id", "left"), F.greatest("floor", "higher")).select("query_id", "number"), "candidates")
+    dropped(terms, floors, seen)
+    return exact(index, found, asked, few), heads
