@@ -29,6 +29,7 @@ from . import lexical
 
 #: Postings of a block; postings that a task sorts at once; slabs whose leftovers meet.
 BLOCK, SLAB, MERGED = 128, 2_000_000, 1024
+POSTS = "array<struct<number:long,tf:int,dl:int>>"
 #: Blocks are stored by bands of this width below the largest impact there is.
 BAND = 0.25
 #: Texts of a question, times k, that are scored to learn which score k texts reach; postings of the weightiest terms that show which texts these are.
@@ -59,7 +60,7 @@ def impact(tf: Column, dl: Column, avgdl: Column, k1: float = BM25_K1, b: float
 
 
 def slab_blocks(texts: DataFrame, avgdl: float, k1: float, b: float, block: int = BLOCK, slab: int = SLAB) -> DataFrame:
-    """(term, slab, n, posts): each slab's postings, by term and falling impact, in blocks; the last of a term may be short."""
+    """(term, slab, n, bound, posts): each slab's postings, by term and falling impact, in blocks; the last of a term may be short."""
 
     def run(batches):
         at = TaskContext.get().partitionId() << 32
@@ -79,13 +80,13 @@ def slab_blocks(texts: DataFrame, avgdl: float, k1: float, b: float, block: int
             first = np.flatnonzero(np.diff(code, prepend=-1))
             place = np.arange(len(code)) - np.repeat(first, np.diff(first, append=len(code)))
             begin = np.flatnonzero(place % block == 0)
-            posts = pa.StructArray.from_arrays([pa.array(worth), pa.array(number), pa.array(tf.astype(np.int32)), pa.array(dl.astype(np.int32))], ["impact", "number", "tf", "dl"])
+            posts = pa.StructArray.from_arrays([pa.array(number), pa.array(tf.astype(np.int32)), pa.array(dl.astype(np.int32))], ["number", "tf", "dl"])
             edges = np.append(begin, len(code))
             for k in range(0, len(begin), 20_000):
                 own = edges[k : k + 20_001]
                 part = pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), posts.slice(own[0], own[-1] - own[0]))
-                columns = [term.dictionary.take(pa.array(code[own[:-1]])), pa.array(np.full(len(own) - 1, at)), pa.array(np.diff(own)), part]
-                yield pa.RecordBatch.from_arrays(columns, ["term", "slab", "n", "posts"])
+                columns = [term.dictionary.take(pa.array(code[own[:-1]])), pa.array(np.full(len(own) - 1, at)), pa.array(np.diff(own)), pa.array(worth[own[:-1]]), part]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "slab", "n", "bound", "posts"])
 
         for batch in batches:
             held.append(batch)
@@ -96,28 +97,29 @@ def slab_blocks(texts: DataFrame, avgdl: float, k1: float, b: float, block: int
         if held:
             yield from flush(held, at)
 
-    return texts.select("number", "dl", "terms", "tfs").mapInArrow(run, "term string, slab long, n long, posts array<struct<impact:double,number:long,tf:int,dl:int>>")
+    return texts.select("number", "dl", "terms", "tfs").mapInArrow(run, f"term string, slab long, n long, bound double, posts {POSTS}")
 
 
-def merged(short: DataFrame, block: int = BLOCK, slabs: int = MERGED) -> DataFrame:
-    """(term, n, posts): short blocks of a term, as many slabs' together as stated, cut anew by falling impact."""
+def merged(short: DataFrame, avgdl: float, k1: float, b: float, block: int = BLOCK, slabs: int = MERGED) -> DataFrame:
+    """(term, n, bound, posts): short blocks of a term, as many slabs' together as stated, cut anew by falling impact."""
     group = short.groupBy("term", F.call_function("div", F.col("slab"), F.lit(slabs)).alias("g"))
     whole = group.agg(F.flatten(F.collect_list("posts")).alias("posts"))  # under BLOCK postings for each of so many slabs
-    ordered = F.when(F.size("posts") > 1, F.sort_array("posts", asc=False)).otherwise(F.col("posts"))
-    pieces = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size("posts") - 1, F.lit(block))), lambda k: F.slice("posts", (k * block + 1).cast("int"), F.lit(block)))
-    return whole.select("term", ordered.alias("posts")).select("term", F.explode(pieces).alias("posts")).select("term", F.size("posts").cast("long").alias("n"), "posts")
+    worth = F.transform("posts", lambda p: F.struct(impact(p["tf"], p["dl"], F.lit(avgdl), k1, b).alias("impact"), p.alias("post")))
+    pieces = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size("sorted") - 1, F.lit(block))), lambda k: F.slice("sorted", (k * block + 1).cast("int"), F.lit(block)))
+    cut = whole.select("term", F.sort_array(worth, asc=False).alias("sorted")).select("term", F.explode(pieces).alias("own"))
+    return cut.select("term", F.size("own").cast("long").alias("n"), F.col("own")[0]["impact"].alias("bound"), F.transform("own", lambda x: x["post"]).alias("posts"))
 
 
 def build(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", profile: str = "offline", document_col: str | None = None, k1: float = BM25_K1, b: float = BM25_B, block: int = BLOCK, slab: int = SLAB) -> PostingIndex:
     """The index of df's texts. Null and empty texts count in the totals and have no postings; an empty table has no blocks."""
-    texts = stored(lexical.counted(df, id_col, text_col, profile, document_col).withColumn("number", F.monotonically_increasing_id()), "posting-texts")
+    texts = stored(lexical.counted(df, id_col, text_col, profile, document_col).withColumn("number", F.monotonically_increasing_id()), "posting-texts", compression="zstd")
     bm25 = lexical.Bm25Index.of(texts, profile)
     avgdl = bm25.stats.first()["avgdl"] or 1.0  # one row
-    made = stored(slab_blocks(texts, avgdl, k1, b, block, slab), "slab-blocks")
-    whole = made.filter(F.col("n") == block).select("term", "n", "posts").unionByName(merged(made.filter(F.col("n") < block), block))
-    whole = whole.withColumn("bound", F.col("posts")[0]["impact"]).withColumn("band", F.floor((k1 + 1 - F.col("bound")) / BAND).cast("int")).withColumn("block", F.monotonically_increasing_id())
-    blocks = stored(whole, "postings", ("band",))
-    dropped(made)
+    banded = lambda t: t.withColumn("band", F.floor((k1 + 1 - F.col("bound")) / BAND).cast("int")).withColumn("block", F.monotonically_increasing_id())
+    made = stored(banded(slab_blocks(texts, avgdl, k1, b, block, slab)).withColumn("short", F.col("n") < block), "slab-blocks", ("short", "band"), compression="zstd")
+    rest = stored(banded(merged(made.filter("short"), avgdl, k1, b, block)), "merged-blocks", ("band",), compression="zstd")
+    own = ["band", "term", "n", "bound", "posts"]
+    blocks = made.filter("not short").select((F.col("block") * 2).alias("block"), *own).unionByName(rest.select((F.col("block") * 2 + 1).alias("block"), *own))
     return PostingIndex(texts, blocks, bm25, k1, b)
 
 
@@ -181,8 +183,9 @@ def ordered_terms(index: PostingIndex, asked: DataFrame) -> DataFrame:
 def shown(index: PostingIndex, picked: DataFrame) -> DataFrame:
     """(query_id, number, term, gain, left) of picked (query_id, term, block, band, w, left)'s postings; only the bands asked for are read."""
     bands = [r["band"] for r in picked.select("band").distinct().collect()]  # (k1 + 1) / BAND at most
-    rows = index.blocks.filter(F.col("band").isin(bands or [-1])).select("block", "posts").join(picked, "block")
-    return rows.select("query_id", "term", "w", "left", F.explode("posts").alias("p")).select("query_id", "term", F.col("p.number").alias("number"), (F.col("w") * F.col("p.impact")).alias("gain"), "left")
+    rows = index.blocks.filter(F.col("band").isin(bands or [-1])).select("block", "posts").join(picked, "block").crossJoin(F.broadcast(index.bm25.stats.select(F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")).alias("avgdl"))))  # one row
+    rows = rows.select("query_id", "term", "w", "left", "avgdl", F.explode("posts").alias("p"))
+    return rows.select("query_id", "term", F.col("p.number").alias("number"), (F.col("w") * impact(F.col("p.tf"), F.col("p.dl"), F.col("avgdl"), index.k1, index.b)).alias("gain"), "left")
 
 
 def reached(index: PostingIndex, partly: DataFrame, asked: DataFrame, few: list | None, k: int) -> DataFrame:

@@ -25,14 +25,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+def stored(df: DataFrame, name: str, by: tuple[str, ...] = (), **options: str) -> DataFrame:
     """df, computed once: what is read back starts from files, so a lost executor repeats nothing before them.
 
-    by: columns that the files are dealt by, so that a filter on them reads those files only.
+    by: columns that the files are dealt by, so that a filter on them reads those files only. options: of the writer.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     w = df.write.partitionBy(*by) if by else df.write
-    w.parquet(path)
+    w.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lodestone_path = path  # type: ignore[attr-defined]
     return out
