@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import defaults
 from .functions import numbers, text, tokenizers, vectors
-from .operators import admission, answers, chunks, containment, dense, evidence, fusion, layout, lexical, metrics, postings, provenance, web
+from .operators import admission, answers, cells, chunks, containment, dense, evidence, fusion, layout, lexical, metrics, postings, provenance, web
 from .plans import search
 from .session import spread
 from .streaming import events
@@ -207,6 +207,13 @@ def dense_topk(spark, d):
     return dense.search(v, q, 10).withColumn("dense_score", F.round("dense_score", 5))
 
 
+@query(SQL["dense_topk"])
+def dense_topk_cells(spark, d):
+    """The same from cells, as far as bounds on angles don't rule them out."""
+    v, q = _vectors(spark, d)
+    return cells.search(cells.build(v), q, 10)[0].withColumn("dense_score", F.round("dense_score", 5))
+
+
 @query(f"SELECT query_id, id, round(s, 4) AS dense_score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id)::INT AS dense_rank FROM ({_COS}) QUALIFY dense_rank <= 10")
 def dense_topk_expression(spark, d):
     v, q = _vectors(spark, d)
