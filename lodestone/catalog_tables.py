@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from . import defaults
-from .catalog import _BLOCK, _CLEAN, _CUES, _DATES, _GUARDED, _MAILS, _PHONES, _RERANKED, _RETRIEVED, _SEARCHABLE, _SNIPPETS, HYBRID, QUERIES, SQL, _chat, _ocr, _questions, _retrieved, norm, query, sql_tokens, table
+from .catalog import _BLOCK, _CLEAN, _CUES, _DATES, _GUARDED, _MAILS, _PHONES, _RERANKED, _RETRIEVED, _SEARCHABLE, _SNIPPETS, HYBRID, QUERIES, SQL, _chat, _ocr, _questions, _requests, _retrieved, norm, query, sql_tokens, table
 from .functions import numbers, text, vectors
 from .operators import answers, chunks, evidence, layout, provenance, store, web
 from .plans import search
 from .sources import readers, sinks
+from .streaming import jobs
 from .tables import shared_folder
 
 
@@ -119,6 +121,63 @@ def numbered_rows(spark, d):
     return sinks.with_ids(table(spark, d, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"], 10).select("id", "o_orderkey")
 
 
+# -- streams that run: files arrive in the order of time, and each run takes what is new
+
+
+def _arrived(spark, rows, src: str, parts: int = 3):
+    """Writes rows to src in parts by time, and yields after each."""
+    at = rows.agg(F.percentile_approx(F.unix_micros("ts"), [k / parts for k in range(1, parts)], 100).alias("at")).first()["at"] or []  # a few numbers
+    part = F.lit(0)
+    for x in at:
+        part = part + (F.unix_micros("ts") > x).cast("int")
+    for k in range(parts):
+        rows.filter(part == k).write.mode("append").parquet(src)
+        yield spark.readStream.schema(rows.schema).parquet(src)
+
+
+@query()
+def stream_admissions(spark, d):
+    """The rate limiter as a stream of three runs: addresses, then sessions, with state between the runs."""
+    src, out, held = folder(spark, "requests"), folder(spark, "admitted"), folder(spark, "admission-checkpoint")
+    s = defaults.Settings.of(ip_minute_limit=2, ip_daily_limit=30, session_minute_limit=1, session_daily_limit=4, rate_window_seconds=600)
+    requests = _requests(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    for arrived in _arrived(spark, requests, src):
+        told = jobs.admissions(arrived, s)
+        jobs.run_available(told, jobs.batch_folder(out), held)
+    return spark.read.schema(told.schema).parquet(out).select(*told.columns).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("SELECT event_id, event_type, ts FROM events")
+def stream_appended_log(spark, d):
+    """A log that a stream appends to; the second run breaks off after it has written, and is run again."""
+    src, out, held = folder(spark, "events"), folder(spark, "stream-log"), folder(spark, "log-checkpoint")
+    rows = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    put = jobs.batch_folder(out)
+
+    def breaks_off(batch, number):
+        put(batch, number)
+        raise RuntimeError("broken off")
+
+    for k, arrived in enumerate(_arrived(spark, rows, src)):
+        if k == 1:
+            try:
+                jobs.run_available(arrived, breaks_off, held)
+            except StreamingQueryException:
+                pass
+        jobs.run_available(arrived, put, held)
+    return spark.read.schema(rows.schema).parquet(out).select("event_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(SQL["stream_first_wins"])
+def stream_first_of_hash(spark, d):
+    """The first row of each hash, of a stream of three runs."""
+    src, out, held = folder(spark, "hashes"), folder(spark, "firsts"), folder(spark, "firsts-checkpoint")
+    rows = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", F.concat(F.col("user_id").cast("string"), "event_type").alias("source_hash"))
+    for arrived in _arrived(spark, rows, src):
+        jobs.run_available(jobs.first_rows(arrived), jobs.batch_folder(out), held)
+    return spark.read.schema(rows.schema).parquet(out).select("source_hash", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 # -- stored tables
 
 _NAMED = "doc_id AS id, coalesce(lang, 'xx') AS index_name, 'v1' AS index_version"
@@ -583,4 +642,4 @@ SELECT query_id AS question_id, method, CASE WHEN reason <> '' THEN '{defaults.O
 FROM rf LEFT JOIN an USING (query_id), (VALUES ('text_only'), ('ocr_plain')) m(method)"""
 
 #: SQL for queries of the first module that need what is defined here.
-SQL |= {"html_visible_text": VISIBLE, "rate_limit_decisions": RATE, "reindex_cooldown": COOLDOWN, "demo_answer": DEMO, "layout_documents": LAYOUT, "collect_notices": NOTICES, "compare_results": COMPARED, "chat_answers": CHAT + " SELECT query_id, status, answer FROM chat"}
+SQL |= {"html_visible_text": VISIBLE, "rate_limit_decisions": RATE, "stream_admissions": RATE, "reindex_cooldown": COOLDOWN, "demo_answer": DEMO, "layout_documents": LAYOUT, "collect_notices": NOTICES, "compare_results": COMPARED, "chat_answers": CHAT + " SELECT query_id, status, answer FROM chat"}
