@@ -8,10 +8,10 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from . import defaults
-from .catalog import _BLOCK, _CLEAN, _CUES, _DATES, _GUARDED, _MAILS, _PHONES, _RERANKED, _RETRIEVED, _SEARCHABLE, _SNIPPETS, HYBRID, QUERIES, SQL, _chat, _ocr, _questions, _requests, _retrieved, norm, query, sql_tokens, table
+from .catalog import CHUNKS, _BLOCK, _CLEAN, _CUES, _DATES, _GUARDED, _MAILS, _PHONES, _RERANKED, _RETRIEVED, _SEARCHABLE, _SNIPPETS, HYBRID, QUERIES, SQL, _chat, _ocr, _questions, _requests, _retrieved, norm, query, sql_tokens, table
 from .functions import numbers, text, vectors
-from .operators import answers, chunks, evidence, layout, provenance, store, web
-from .plans import search
+from .operators import answers, chunks, evidence, layout, lexical, provenance, store, web
+from .plans import search, versions
 from .sources import readers, sinks
 from .streaming import jobs
 from .tables import shared_folder
@@ -584,6 +584,85 @@ def retrieval_log(spark, d):
     return log.select("question", "chunk_id", "hybrid_rank", "top_k", "rrf_k", "fusion_method")
 
 
+# -- an index in versions
+
+#: As CHUNKS, of the table d2.
+CHUNKS2 = CHUNKS.replace("FROM documents", "FROM d2")
+
+
+def _as_documents(docs):
+    empty = F.lit("")
+    return docs.select(F.col("doc_id").alias("document_id"), F.col("source").alias("title"), empty.alias("path"), empty.alias("url"), F.lit(None).cast("string").alias("posted_at"), F.lit("text").alias("content_type"), F.create_map().cast("map<string,string>").alias("metadata"), "text")
+
+
+def _earlier(docs):
+    """The corpus as it was: without a fifth of its documents, with other texts in another fifth, and with some that have gone since."""
+    k = F.pmod(F.xxhash64("doc_id"), F.lit(5))
+    there = docs.filter(k != 0).withColumn("text", F.when(k == 1, F.concat(F.lit("an earlier text of "), "text")).otherwise(F.col("text")))
+    return there.unionByName(docs.filter(k == 2).withColumn("doc_id", -F.col("doc_id") - 1))
+
+
+def _updated(spark, d, profile="offline"):
+    """The index of all documents, brought there from that of an earlier corpus."""
+    docs = table(spark, d, "documents")
+    index = versions.VersionedIndex(spark, folder(spark, "versions"), profile=profile)
+    index.update(_as_documents(_earlier(docs)))
+    return index, index.update(_as_documents(docs))
+
+
+@query(SQL["bm25_topk_offline"])
+def incremental_bm25(spark, d):
+    """The same as from an index built at once: only what changed was cut and counted."""
+    index, _ = _updated(spark, d)
+    return lexical.search(index.read().bm25, _questions(spark, d), 50).withColumn("bm25_score", F.round("bm25_score", 6))
+
+
+@query(SQL["hybrid_rrf_topk"])
+def incremental_hybrid(spark, d):
+    index, _ = _updated(spark, d)
+    h = search.hybrid(index.read(), _questions(spark, d))
+    return h.select("query_id", "id", F.round("bm25_score", 6).alias("bm25_score"), F.round("dense_score", 6).alias("dense_score"), "bm25_rank", "dense_rank", F.round("hybrid_score", 9).alias("hybrid_score"), "hybrid_rank")
+
+
+@query(f"WITH {CHUNKS} SELECT 'reader of the first' AS reader, 1 AS version, count(*)::BIGINT AS chunks FROM chunk UNION ALL SELECT * FROM (WITH d2 AS (SELECT doc_id, text || ' ' || text AS text FROM documents), {CHUNKS2} SELECT 'after publication', 2, count(*)::BIGINT FROM chunk)")
+def published_versions(spark, d):
+    """Readers while an update breaks off half-way, and after it has been run again."""
+    docs = table(spark, d, "documents")
+    index = versions.VersionedIndex(spark, folder(spark, "versions"))
+    index.update(_as_documents(docs))
+
+    def breaks_off(step):
+        raise RuntimeError(f"broken off after {step}")
+
+    twice = _as_documents(docs.withColumn("text", F.concat("text", F.lit(" "), "text")))
+    try:
+        index.update(twice, broken=breaks_off)
+    except RuntimeError:
+        pass
+    seen = lambda name, v: index.read(v).chunks.agg(F.count("*").alias("chunks")).select(F.lit(name).alias("reader"), F.lit(v.number).alias("version"), "chunks")
+    before = index.current()
+    index.update(twice)
+    return seen("reader of the first", before).unionByName(seen("after publication", index.current()))
+
+
+@query("SELECT 'BUILT' AS outcome, count(*)::BIGINT AS documents FROM documents UNION ALL SELECT 'REFUSED', NULL")
+def exclusive_update(spark, d):
+    """Two updates at once: the second one comes while the first has the index."""
+    docs, path = _as_documents(table(spark, d, "documents")), folder(spark, "versions")
+    told = []
+
+    def second(step):
+        try:
+            versions.VersionedIndex(spark, path).update(docs)
+        except versions.Refused:
+            told.append(("REFUSED", None))
+
+    index = versions.VersionedIndex(spark, path)
+    index.update(docs, broken=second)
+    built = index.digests(index.current()).agg(F.lit("BUILT").alias("outcome"), F.count("*").alias("documents"))
+    return built.unionByName(spark.createDataFrame(told, "outcome string, documents long"))
+
+
 # -- databases, limits, settings, reports
 
 
