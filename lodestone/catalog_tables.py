@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import defaults
 from .catalog import CHUNKS, _BLOCK, _CLEAN, _CUES, _DATES, _GUARDED, _MAILS, _PHONES, _RERANKED, _RETRIEVED, _SEARCHABLE, _SNIPPETS, HYBRID, QUERIES, SQL, _chat, _ocr, _questions, _requests, _retrieved, norm, query, sql_tokens, table
 from .functions import numbers, text, vectors
-from .operators import answers, chunks, evidence, layout, lexical, provenance, store, web
+from .operators import answers, chunks, evidence, hashtree, layout, lexical, provenance, store, web
 from .plans import search, versions
 from .sources import readers, sinks
 from .streaming import jobs
@@ -584,6 +584,65 @@ def retrieval_log(spark, d):
     return log.select("question", "chunk_id", "hybrid_rank", "top_k", "rrf_k", "fusion_method")
 
 
+# -- what changed, by a tree of hashes
+
+_DIGEST = "sha256(CASE WHEN lang IS NULL THEN chr(0) ELSE length(lang) || ':' || lang END || CASE WHEN text IS NULL THEN chr(0) ELSE length(text) || ':' || text END)"
+_LEAVES = f"SELECT (doc_id // {hashtree.LEAF})::BIGINT AS node, count(*)::BIGINT AS n, sha256(string_agg(doc_id || ':' || {_DIGEST} || chr(10), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1"
+
+
+@query(f"""
+WITH RECURSIVE top AS (SELECT max(doc_id) // {hashtree.LEAF} AS m FROM documents),
+t AS (
+  SELECT 0 AS level, * FROM ({_LEAVES})
+  UNION ALL SELECT level + 1, node // {hashtree.FAN}, sum(n)::BIGINT, sha256(string_agg(node || ':' || digest || chr(10), '' ORDER BY node)) FROM t, top WHERE m // ({hashtree.FAN} ** level)::BIGINT > 0 GROUP BY level, node // {hashtree.FAN})
+SELECT level::INT AS level, node::BIGINT AS node, n, digest FROM t""")
+def hash_tree(spark, d):
+    return hashtree.tree(hashtree.digests(table(spark, d, "documents"), ["lang", "text"]))
+
+
+@query("SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'added' ELSE 'changed' END AS kind FROM documents WHERE doc_id % 5 = 0 OR doc_id % 5 = 1 AND text IS NOT NULL UNION ALL SELECT -doc_id - 1, 'deleted' FROM documents WHERE doc_id % 5 = 2")
+def hash_tree_changes(spark, d):
+    """All documents against the corpus as it was: some were not there, some had another text, some have gone."""
+    docs, k = table(spark, d, "documents"), F.col("doc_id") % 5
+    old = docs.filter(k != 0).withColumn("text", F.when(k == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).unionByName(docs.filter(k == 2).withColumn("doc_id", -F.col("doc_id") - 1))
+    of = lambda t: hashtree.digests(t, ["lang", "text"])
+    return hashtree.changes(of(old), of(docs))
+
+
+# -- tables in buckets
+
+
+def _bucketed(spark, d):
+    """(chunks, documents, vectors) of all namespaces, as tables of eight buckets."""
+    run, docs = uuid.uuid4().hex, table(spark, d, "documents")
+    named = lambda t: t.withColumn("index_name", F.coalesce("lang", F.lit("xx"))).withColumn("index_version", F.lit("v1"))
+    c = named(chunks.chunk_table(docs.withColumn("lang_", F.col("lang")), keep=["lang"])).select(F.col("chunk_id").alias("id"), "document_id", "chunk_index", F.md5("text").alias("text_md5"), "index_name", "index_version")
+    o = named(docs).select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.lit("").alias("notice_id"), F.lit("").alias("url"), F.lit(None).cast("timestamp").alias("posted_at"), "index_name", "index_version")
+    v = named(chunks.chunk_table(docs, keep=["lang"])).select("chunk_id", F.lit("hashed").alias("embedding_model"), F.lit(2).alias("embedding_dim"), F.array(F.length("text").cast("double"), F.lit(1.0)).alias("embedding"), "index_name", "index_version")
+    return c, o, v, run
+
+
+_LANG = f"WITH {CHUNKS}, k AS (SELECT chunk.*, source AS title, coalesce(lang, 'xx') AS index_name FROM chunk JOIN documents ON doc_id = document_id)"
+
+
+@query(f"{_LANG} SELECT id, document_id, chunk_index::INT AS chunk_index, md5(text) AS text_md5, title FROM k WHERE index_name = 'en'")
+def bucketed_documented_chunks(spark, d):
+    """Chunks of one namespace with their documents: no row moves between tasks."""
+    c, o, _, run = _bucketed(spark, d)
+    c, o = store.bucketed(c, f"chunks_{run}", "document_id", 8), store.bucketed(o, f"documents_{run}", "id", 8)
+    return store.documented_chunks(c, o, "en", "v1").select("id", "document_id", "chunk_index", "text_md5", "title")
+
+
+@query(f"{_LANG} SELECT id, text_chars, md5(text) AS text_md5 FROM (SELECT *, length(text)::DOUBLE AS text_chars FROM k) WHERE index_name = 'fr'")
+def bucketed_chunk_vectors(spark, d):
+    """Chunks of one namespace with their vectors: no row moves between tasks."""
+    c, _, v, run = _bucketed(spark, d)
+    c, v = store.bucketed(c, f"chunks_{run}", "id", 8), store.bucketed(v, f"vectors_{run}", "chunk_id", 8)
+    own = {"index_name": "fr", "index_version": "v1"}
+    e = store.namespace(v, **own, embedding_model="hashed", embedding_dim=2).select("chunk_id", "embedding")
+    return store.namespace(c, **own).join(e, F.col("id") == F.col("chunk_id")).select("id", F.col("embedding")[0].alias("text_chars"), "text_md5")
+
+
 # -- an index in versions
 
 #: As CHUNKS, of the table d2.

@@ -16,6 +16,17 @@ def namespace(df: DataFrame, **keys) -> DataFrame:
     return df
 
 
+def bucketed(df: DataFrame, name: str, by: str, buckets: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """df as a table of the warehouse, dealt to buckets by a column and to folders by keys, and sorted within buckets.
+
+    Tables of as many buckets are joined on that column without moving rows, and a namespace is read from its own
+    folders. name must be new.
+    """
+    dealt = df.repartition(buckets, by)
+    (dealt.write.partitionBy(*keys) if keys else dealt.write).bucketBy(buckets, by).sortBy(by).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def documented_chunks(chunks: DataFrame, documents: DataFrame, index_name: str | None = None, index_version: str | None = None) -> DataFrame:
     """chunks with their documents' title, notice_id, url and posted_at, of one namespace."""
     ns = {"index_name": index_name, "index_version": index_version}
