@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from contextlib import suppress
 from collections.abc import Callable, Iterator
 from pathlib import Path
 from urllib.parse import unquote, urlsplit
@@ -127,47 +128,76 @@ def jdbc_scan(spark: SparkSession, url: str, table: str, partition: tuple[str, i
 
 
 def parse_setting(value: str) -> bool | int | float | str:
-    v = value.strip().strip('"').strip("'")
-    if v.lower() in ("true", "false"):
-        return v.lower() == "true"
-    for kind, pattern in ((int, r"[+-]?\d[\d_]*"), (float, r"[+-]?\d*\.\d*(?:[eE][+-]?\d+)?")):
-        if re.fullmatch(pattern, v) and any(c.isdigit() for c in v):
-            return kind(v)
-    return v
+    """A scalar by what it looks like: true or false, a number, else text without its quotes."""
+    bare = value.strip().strip("\"'")
+    known = {"true": True, "false": False}.get(bare.lower())
+    if known is not None:
+        return known
+    if any(c.isdigit() for c in bare):
+        for kind in (int, float):
+            with suppress(ValueError):
+                return kind(bare)
+    return bare
+
+
+#: A line `key: value`, with its indent; lists, comments and other lines don't fit.
+SETTING = re.compile(r"^(?P<indent> *)(?P<key>[^\s:#-][^:\n]*?) *:(?P<value>.*)$", re.M)
+
+
+def setting_paths(text: str) -> dict[tuple[str, ...], str]:
+    """What a file of nested `key: value` lines sets, by the path of keys; sections themselves have an empty value."""
+    found: dict[tuple[str, ...], str] = {}
+    above: list[tuple[int, str]] = []  # the indents and keys that a line stands below
+    for m in SETTING.finditer(text):
+        depth = len(m["indent"])
+        above = [x for x in above if x[0] < depth] + [(depth, m["key"])]
+        found[tuple(k for _, k in above)] = m["value"].strip()
+    return found
 
 
 def settings_file(text: str) -> dict:
-    """A file of `key: value` lines and of sections one level deep; lists are passed over."""
+    """setting_paths() as nested values; a section without any has none."""
     out: dict = {}
-    section: dict | None = None
-    for line in text.splitlines():
-        if not line.strip() or line.lstrip()[0] == "#" or ":" not in line:
-            continue
-        key, _, value = (x.strip() for x in line.partition(":"))
-        if line[0] != " ":
-            section = None
-            out[key] = parse_setting(value) if value else {}
-            if not value:
-                section = out[key]
-        elif section is not None and line.startswith("  "):
-            section[key] = parse_setting(value)
+    paths = setting_paths(text)
+    for path, value in paths.items():
+        at = out
+        for key in path[:-1]:
+            at = at.setdefault(key, {})
+        if isinstance(at, dict):
+            at[path[-1]] = parse_setting(value) if value else {}
     return out
 
 
+# A method's settings, as (name, type, default, where it is looked for: the first place counts).
+METHOD_SETTINGS = [
+    ("dataset_path", str, "", ["dataset_path"]),
+    ("index_namespace", str, "", ["index_namespace"]),
+    ("generation_provider", str, "mock", ["generation.provider", "generation_provider"]),
+    ("generation_model", str, "demo-extractive", ["generation.model", "generation_model"]),
+    ("generation_important_model", str, "", ["generation.important_model", "generation_important_model"]),
+    ("prompt_version", str, "grounded_qa_v1", ["generation.prompt_version", "prompt_version"]),
+    ("temperature", float, 0.0, ["generation.temperature", "temperature"]),
+    ("max_output_tokens", int, 512, ["generation.max_output_tokens", "max_tokens"]),
+    ("chunk_size", int, 700, ["chunk_size"]),
+    ("chunk_overlap", int, 0, ["chunk_overlap"]),
+    ("embedding_model", str, "hashed-256", ["embedding_model"]),
+    ("embedding_dim", int, 256, ["embedding_dim"]),
+    ("bm25_top_k", int, 50, ["retrieval.bm25_top_k"]),
+    ("dense_top_k", int, 50, ["retrieval.dense_top_k"]),
+    ("final_top_k", int, 5, ["retrieval.final_top_k"]),
+    ("fusion_method", str, "rrf", ["retrieval.fusion_method"]),
+    ("rrf_k", int, 60, ["retrieval.rrf_k"]),
+    ("refusal_min_dense_score", float, 0.22, ["refusal_threshold.min_dense_score"]),
+    ("refusal_min_token_overlap", int, 1, ["refusal_threshold.min_token_overlap"]),
+    ("refusal_min_token_coverage", float, 0.3, ["refusal_threshold.min_token_coverage"]),
+]
+
+
 def method_config(path: str) -> dict:
-    """A method's settings with defaults; sections retrieval, refusal_threshold and generation come before top-level keys."""
-    raw = settings_file(Path(path).read_text("utf-8"))
-    part = lambda s: raw.get(s) if isinstance(raw.get(s), dict) else {}
-    r, f, g = part("retrieval"), part("refusal_threshold"), part("generation")
-    return {
-        "method": str(raw.get("condition", Path(path).stem)), "dataset_path": str(raw.get("dataset_path", "")), "index_namespace": str(raw.get("index_namespace", "")),
-        "generation_provider": str(g.get("provider", raw.get("generation_provider", "mock"))), "generation_model": str(g.get("model", raw.get("generation_model", "demo-extractive"))),
-        "generation_important_model": str(g.get("important_model", raw.get("generation_important_model", ""))), "prompt_version": str(g.get("prompt_version", raw.get("prompt_version", "grounded_qa_v1"))),
-        "temperature": float(g.get("temperature", raw.get("temperature", 0.0))), "max_output_tokens": int(g.get("max_output_tokens", raw.get("max_tokens", 512))),
-        "chunk_size": int(raw.get("chunk_size", 700)), "chunk_overlap": int(raw.get("chunk_overlap", 0)), "embedding_model": str(raw.get("embedding_model", "hashed-256")), "embedding_dim": int(raw.get("embedding_dim", 256)),
-        "bm25_top_k": int(r.get("bm25_top_k", 50)), "dense_top_k": int(r.get("dense_top_k", 50)), "final_top_k": int(r.get("final_top_k", 5)), "fusion_method": str(r.get("fusion_method", "rrf")), "rrf_k": int(r.get("rrf_k", 60)),
-        "refusal_min_dense_score": float(f.get("min_dense_score", 0.22)), "refusal_min_token_overlap": int(f.get("min_token_overlap", 1)), "refusal_min_token_coverage": float(f.get("min_token_coverage", 0.30)),
-    }
+    """A method's settings by METHOD_SETTINGS; the method's name is the file's unless the file gives a condition."""
+    known = {".".join(p): parse_setting(v) for p, v in setting_paths(Path(path).read_text("utf-8")).items() if v}
+    wanted = [("method", str, Path(path).stem, ["condition"]), *METHOD_SETTINGS]
+    return {name: kind(next((known[x] for x in places if x in known), default)) for name, kind, default, places in wanted}
 
 
 def valid_questions(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
