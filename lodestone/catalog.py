@@ -525,13 +525,11 @@ def collect_notices(spark, d):
     return web.collect_notices(p).withColumn("attachment_urls", F.array_join("attachment_urls", " "))
 
 
-@query(f"""
-SELECT page_id, CASE WHEN page_id % 4 = 3 THEN 'text' WHEN length(t) >= 120 OR page_id % 4 = 2 THEN 'mixed' WHEN page_id % 4 = 0 THEN 'image' ELSE 'pdf' END AS content_type
-FROM (SELECT page_id, {_CLEAN} AS t FROM pages)""")
+@query()
 def content_types(spark, d):
     k = F.col("page_id") % 4
     files = F.when(k == 0, F.array(F.lit("http://a/x.PNG?y=1"))).when(k == 1, F.array(F.lit("http://a/x.pdf"))).when(k == 2, F.array(F.lit("http://a/b.jpeg"), F.lit("http://a/c.pdf#p"))).otherwise(F.array(F.lit("http://a/x.hwp")))
-    return table(spark, d, "pages").select("page_id", web.content_type(web.page_title(F.col("html")), files).alias("content_type"))
+    return table(spark, d, "pages").select("page_id", web.content_type(web.content_text(F.col("html")), files).alias("content_type"))
 
 
 @query("SELECT doc_id, first AS original, doc_id <> first AS is_duplicate FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents)")

@@ -539,21 +539,24 @@ def polygon_boxes(spark, d):
     return table(spark, d, "orders").select("o_orderkey", layout.polygon_bbox(pts).alias("box"))
 
 
-@query("SELECT v AS wanted, greatest(1, least(20, v)) AS dense, greatest(1, least(20, v)) AS bm25, greatest(1, least(50, v)) AS top_k, greatest(1, least(500, v)) AS candidates, greatest(1, least(1000, v)) AS rrf_k FROM (VALUES (-5), (0), (1), (20), (21), (50), (51), (500), (999), (5000)) t(v)")
+@query("SELECT o_orderkey, greatest(1, least(20, v))::BIGINT AS dense, greatest(1, least(20, v))::BIGINT AS bm25, greatest(1, least(50, v))::BIGINT AS top_k, greatest(1, least(500, v))::BIGINT AS candidates, greatest(1, least(1000, v))::BIGINT AS rrf_k FROM (SELECT o_orderkey, o_custkey - 100 AS v FROM orders)")
 def clamped_limits(spark, d):
-    rows = []
-    for v in (-5, 0, 1, 20, 21, 50, 51, 500, 999, 5000):
-        h = defaults.clamp_limits("hybrid", top_k=v, bm25_top_k=v, rrf_k=v)
-        rows.append((v, defaults.clamp_limits("dense", limit=v)["limit"], defaults.clamp_limits("bm25", limit=v)["limit"], h["top_k"], h["bm25_top_k"], h["rrf_k"]))
-    return spark.createDataFrame(rows, "wanted int, dense int, bm25 int, top_k int, candidates int, rrf_k int")
+    """Limits that requests ask for, as the bounds of each kind of search allow."""
+    v = (F.col("o_custkey") - 100).cast("long")
+    of = lambda kind, name: numbers.clamped(v, *defaults.LIMITS[kind][name])
+    return table(spark, d, "orders").select("o_orderkey", of("dense", "limit").alias("dense"), of("bm25", "limit").alias("bm25"), of("hybrid", "top_k").alias("top_k"), of("hybrid", "bm25_top_k").alias("candidates"), of("hybrid", "rrf_k").alias("rrf_k"))
 
 
 _CONFIG = ["retrievalTopK=4", "hybridTopK=5", "bm25TopK=50", "denseTopK=50", "rrfK=60", "fusionMethod=rrf", "minSimilarity=0.18", "responseSourceLimit=3", "refusalMinDenseScore=0.22", "refusalMinTokenOverlap=1", "refusalMinTokenCoverage=0.3", "refusalEvidenceTopK=40", "refusalOutOfDomainCues="]
 
 
-@query("SELECT sha256(" + " || ".join(f"'{c}' || chr(0)" for c in _CONFIG) + ") AS config_hash, sha256('a' || chr(0) || 'b' || chr(0)) AS parts_hash")
+_CONFIG_SQL = " || ".join(f"'{c.split('=')[0]}=' || {'(o_custkey % 9)' if c.startswith('hybridTopK') else repr(c.split('=')[1])} || chr(0)" for c in _CONFIG)
+
+
+@query(f"SELECT o_orderkey, sha256({_CONFIG_SQL}) AS config_hash FROM orders")
 def settings_hash(spark, d):
-    return spark.createDataFrame([(provenance.retrieval_config_hash(defaults.Settings()), vectors.sha256_of(["a", "b"]))], "config_hash string, parts_hash string")
+    """The hash of the settings of each request, which set one of them."""
+    return table(spark, d, "orders").select("o_orderkey", provenance.config_hash(hybridTopK=(F.col("o_custkey") % 9).cast("string")).alias("config_hash"))
 
 
 @query(f"SELECT conv_id, turn, ({_CUES} OR contains(lower(question), 'the')) AS cue FROM (SELECT conv_id, turn, text AS question FROM conversations)")
@@ -722,6 +725,34 @@ def exclusive_update(spark, d):
     return built.unionByName(spark.createDataFrame(told, "outcome string, documents long"))
 
 
+# -- site structure
+
+_CARD = """concat('<div class="card"><h5 class="x card-title">In ', page_id % 5, '</h5><ul class="list-group list-group-flush"><li><a class="y" href=" /d/', page_id, '">Dep <b>', page_id % 7, '</b></a></li><li><a href="/e/', page_id % 3, '">Other</a></li></ul></div>')"""
+_MENU = """concat('<a role="menuitem" href="/content/', page_id % 4, '">About</a><a href="#top" role="menuitem">Top</a><a href="/x/', page_id, '" role="menuitem">Careers and <i>jobs</i></a><a href="/y">Plain</a>')"""
+
+
+@query("SELECT page_id, 'In ' || page_id % 5 AS category, x.n AS name, x.h AS href FROM (SELECT page_id, unnest([{'n': 'Dep ' || page_id % 7, 'h': '/d/' || page_id}, {'n': 'Other', 'h': '/e/' || page_id % 3}]) AS x FROM pages)")
+def site_cards(spark, d):
+    """The cards of pages, before the pages' own html."""
+    p = table(spark, d, "pages").select("page_id", F.explode(web.department_cards(F.concat(F.expr(_CARD), "html"))).alias("c"))
+    return p.select("page_id", "c.category", "c.name", "c.href")
+
+
+@query("SELECT page_id, 'About' AS label, 'http://h.example/content/' || page_id % 4 AS url, 1 AS place FROM pages UNION ALL SELECT page_id, 'Careers and jobs', 'http://h.example/x/' || page_id, 2 FROM pages")
+def site_menu(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.posexplode(web.menu_items(F.concat(F.expr(_MENU), "html"), F.lit("http://h.example/a/b"))).alias("k", "m"))
+    return p.select("page_id", "m.label", "m.url", (F.col("k") + 1).alias("place"))
+
+
+@query("SELECT page_id, x.l AS label, x.u AS url FROM (SELECT page_id, unnest([{'l': 'Careers and jobs', 'u': 'http://h.example/x/' || page_id}, {'l': 'About', 'u': 'http://h.example/content/' || page_id % 4}]) AS x FROM pages)")
+def site_sections(spark, d):
+    """The sections that are wanted of a site, in order, from its menu."""
+    items = web.menu_items(F.concat(F.expr(_MENU), "html"), F.lit("http://h.example/a/b"))
+    p = table(spark, d, "pages").select("page_id", items.alias("items"))
+    own = web.choose_sections(F.col("items"), [("work", ["Careers"]), ("about", ["About", "Intro"]), ("again", ["About"])], F.lit("http://h.example/start"))
+    return p.select("page_id", F.explode(own).alias("s")).select("page_id", "s.label", "s.url")
+
+
 # -- databases, limits, settings, reports
 
 
@@ -753,20 +784,23 @@ def sample_file(spark, d):
     return s.withColumn("features", F.array_join("expected_features", "|")).drop("expected_features")
 
 
-@query("SELECT * FROM (VALUES ('condition', 'str', 'text_only'), ('rrf_k', 'int', '60'), ('retrieval.bm25_top_k', 'int', '7'), ('retrieval.on', 'bool', 'True'), ('generation.temperature', 'float', '0.5')) t(name, kind, value)")
+@query("""
+SELECT conv_id, turn, x.name AS name, x.kind AS kind, x.value AS value FROM (SELECT conv_id, turn, unnest([
+  {'name': 'condition', 'kind': 'str', 'value': 'm' || role}, {'name': 'rrf_k', 'kind': 'int', 'value': turn::VARCHAR}, {'name': 'retrieval.bm25_top_k', 'kind': 'int', 'value': (conv_id % 50)::VARCHAR},
+  {'name': 'retrieval.deep.on', 'kind': 'bool', 'value': 'True'}, {'name': 'generation.temperature', 'kind': 'float', 'value': '0.' || (turn % 9 + 1)}]) AS x FROM conversations)""")
 def settings_values(spark, d):
-    raw = readers.settings_file("# c\ncondition: text_only\nrrf_k: 60\nretrieval:\n  bm25_top_k: 7\n  on: true\nlist:\n  - a\ngeneration:\n  temperature: 0.5\n")
-    flat = {k: v for k, v in raw.items() if not isinstance(v, dict)} | {f"{s}.{k}": v for s, own in raw.items() if isinstance(own, dict) for k, v in own.items()}
-    return spark.createDataFrame([(k, type(v).__name__, str(v)) for k, v in flat.items()], "name string, kind string, value string")
+    """What settings files say, one of each turn."""
+    t = lambda c: F.col(c).cast("string")
+    text = F.concat(
+        F.lit("# c\ncondition: 'm"), "role", F.lit("'\nrrf_k: "), t("turn"), F.lit("\nretrieval:\n  bm25_top_k: "), (F.col("conv_id") % 50).cast("string"), F.lit("\n  deep:\n    on: true\n  list:\n    - a\ngeneration:\n  temperature: 0."), (F.col("turn") % 9 + 1).cast("string"), F.lit("\n"))
+    return readers.setting_rows(table(spark, d, "conversations").select("conv_id", "turn", text.alias("settings")), "settings")
 
 
 @query(f"SELECT DISTINCT unnest({_DATES}) AS found, 'date' AS kind FROM documents UNION SELECT DISTINCT unnest(list_concat({_PHONES}, {_MAILS})), 'contact' FROM documents")
 def corpus_dates_and_contacts(spark, d):
     """What a corpus's metadata names, over all documents."""
     t = table(spark, d, "documents")
-    docs = t.select(F.col("doc_id").alias("document_id"), F.lit("text").alias("content_type"), F.lit(1).alias("chunk_count"))
-    m = layout.index_metadata(docs, t.select(layout.dates(F.col("text")).alias("extracted_dates"), layout.contacts(F.col("text")).alias("extracted_contacts"), F.lit(1.0).alias("confidence")))
-    return m.select(F.explode("extracted_dates").alias("found"), F.lit("date").alias("kind")).unionByName(m.select(F.explode("extracted_contacts").alias("found"), F.lit("contact").alias("kind")))
+    return layout.found_values(t.select(layout.dates(F.col("text")).alias("extracted_dates"), layout.contacts(F.col("text")).alias("extracted_contacts")))
 
 
 COMPARED = f"""
@@ -781,3 +815,6 @@ FROM rf LEFT JOIN an USING (query_id), (VALUES ('text_only'), ('ocr_plain')) m(m
 
 #: SQL for queries of the first module that need what is defined here.
 SQL |= {"html_visible_text": VISIBLE, "rate_limit_decisions": RATE, "stream_admissions": RATE, "reindex_cooldown": COOLDOWN, "demo_answer": DEMO, "layout_documents": LAYOUT, "collect_notices": NOTICES, "compare_results": COMPARED, "chat_answers": CHAT + " SELECT query_id, status, answer FROM chat"}
+SQL["content_types"] = f"""
+WITH v AS ({VISIBLE})
+SELECT page_id, CASE WHEN page_id % 4 = 3 THEN 'text' WHEN length(trim(replace(text, chr(10), ' '))) >= 120 OR page_id % 4 = 2 THEN 'mixed' WHEN page_id % 4 = 0 THEN 'image' ELSE 'pdf' END AS content_type FROM v"""

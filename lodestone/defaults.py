@@ -64,7 +64,10 @@ def clamp(value: int, low: int, high: int) -> int:
     return max(low, min(high, value))
 
 
+#: Bounds of limits, for each kind of search.
+LIMITS = {"dense": {"limit": (1, 20)}, "bm25": {"limit": (1, 20)}, "hybrid": {"top_k": (1, 50), "bm25_top_k": (1, 500), "dense_top_k": (1, 500), "rrf_k": (1, 1000)}}
+
+
 def clamp_limits(kind: str, **limits: int) -> dict[str, int]:
     """Limits of a search as its bounds allow: kind dense, bm25 or hybrid."""
-    bounds = {"dense": {"limit": (1, 20)}, "bm25": {"limit": (1, 20)}, "hybrid": {"top_k": (1, 50), "bm25_top_k": (1, 500), "dense_top_k": (1, 500), "rrf_k": (1, 1000)}}[kind]
-    return {k: clamp(v, *bounds[k]) for k, v in limits.items()}
+    return {k: clamp(v, *LIMITS[kind][k]) for k, v in limits.items()}

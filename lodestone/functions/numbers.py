@@ -79,3 +79,8 @@ def client_ip(remote: Column, forwarded_for: Column, real_ip: Column, trusted: l
     is_trusted = own.isNotNull() & (F.lit("*" in trusted) | F.coalesce(F.array_contains(known, own), F.lit(False)))
     first = F.trim(F.element_at(F.split(forwarded_for, ","), 1))
     return F.when(~is_trusted | is_trusted.isNull(), own).otherwise(F.coalesce(normal_address(first), normal_address(real_ip), own))
+
+
+def clamped(c: Column, low: int, high: int) -> Column:
+    """c, or the bound that it lies beyond; a null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))

@@ -185,6 +185,12 @@ def index_metadata(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return d.crossJoin(k)  # one row each
 
 
+def found_values(chunks: DataFrame) -> DataFrame:
+    """(found, kind): the distinct dates and contacts of chunks (extracted_dates, extracted_contacts), a row for each, whatever their number."""
+    of = lambda c, kind: chunks.select(F.explode(c).alias("found"), F.lit(kind).alias("kind"))
+    return of("extracted_dates", "date").unionByName(of("extracted_contacts", "contact")).distinct()
+
+
 def corpus(text_docs: DataFrame, *others: DataFrame) -> DataFrame:
     """The union of document tables by name; columns that one lacks are null there."""
     out = text_docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..defaults import Settings
@@ -22,6 +22,18 @@ def retrieval_config_hash(s: Settings, profile: str = "online") -> str:
     return sha256_of(["|".join(parts)], "")
 
 
+def config_hash(settings: Settings | None = None, **own: Column) -> Column:
+    """retrieval_config_hash() of the online profile where columns give some of the settings, by their names in the hash."""
+    s = settings or Settings()
+    # Names and order.
+    parts = {
+        "retrievalTopK": s.retrieval_top_k, "hybridTopK": s.hybrid_top_k, "bm25TopK": s.bm25_top_k, "denseTopK": s.dense_top_k, "rrfK": s.rrf_k, "fusionMethod": s.fusion_method, "minSimilarity": s.min_similarity, "responseSourceLimit": s.response_source_limit,
+        "refusalMinDenseScore": s.refusal_min_dense_score, "refusalMinTokenOverlap": s.refusal_min_token_overlap, "refusalMinTokenCoverage": s.refusal_min_token_coverage, "refusalEvidenceTopK": s.refusal_evidence_top_k, "refusalOutOfDomainCues": ",".join(s.refusal_cues)}
+    if unknown := set(own) - set(parts):
+        raise ValueError(f"no such settings: {sorted(unknown)}")
+    return sha256_parts(F.array(*[F.concat(F.lit(f"{k}="), own.get(k, F.lit(str(v)))) for k, v in parts.items()]))
+
+
 def document_hashes(sections: DataFrame) -> DataFrame:
     """(document_id, sha) of (document_id, title, path, content_type, section_index, section, page, text)."""
     parts = F.array_sort(F.collect_list(F.struct("section_index", F.array("section", F.coalesce(F.col("page").cast("string"), F.lit("null")), "text").alias("p"))))
@@ -32,7 +44,8 @@ def document_hashes(sections: DataFrame) -> DataFrame:
 def _streamed(rows: DataFrame, order: list[str], head: list[str], parts: list[str], name: str) -> DataFrame:
     """One row: SHA-256 of the parts of all rows in order, each with a zero character behind it; where order[0] changes, the head comes first. Nulls are left out.
 
-    Rows are sorted by many tasks; one task reads them as a stream and holds a batch at a time.
+    Rows are dealt by range; one task sorts the ranges one after the other and reads them as a stream, in time that grows
+    with the rows. hashtree.tree() has no such step.
     """
     sorted_ = rows.select(*order, *(F.col(c).cast("string").alias(f"_{k}") for k, c in enumerate([*head, *parts]))).orderBy(*order)
 

@@ -155,6 +155,19 @@ def setting_paths(text: str) -> dict[tuple[str, ...], str]:
     return found
 
 
+def setting_rows(df: DataFrame, text_col: str) -> DataFrame:
+    """A row for each setting of each row's text: df's other columns, name (keys with points between), kind and value as text."""
+    kind = "array<struct<name:string,kind:string,value:string>>"
+
+    @F.pandas_udf(kind)
+    def told(texts: pd.Series) -> pd.Series:
+        each = lambda t: [{"name": ".".join(p), "kind": type(x := parse_setting(v)).__name__, "value": str(x)} for p, v in setting_paths(t or "").items() if v]
+        return texts.map(each)
+
+    rest = [c for c in df.columns if c != text_col]
+    return df.select(*rest, F.explode(told(F.col(text_col))).alias("_s")).select(*rest, "_s.name", "_s.kind", "_s.value")
+
+
 def settings_file(text: str) -> dict:
     """setting_paths() as nested values; a section without any has none."""
     out: dict = {}
