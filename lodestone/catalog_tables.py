@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import defaults
 from .catalog import CHUNKS, _BLOCK, _CLEAN, _CUES, _DATES, _GUARDED, _MAILS, _PHONES, _RERANKED, _RETRIEVED, _SEARCHABLE, _SNIPPETS, HYBRID, QUERIES, SQL, _chat, _ocr, _questions, _requests, _retrieved, norm, query, sql_tokens, table
 from .functions import numbers, text, vectors
-from .operators import answers, chunks, evidence, hashtree, layout, lexical, provenance, store, web
+from .operators import answers, chunks, evidence, hashtree, layout, lexical, provenance, robots, store, web
 from .plans import search, versions
 from .sources import readers, sinks
 from .streaming import jobs
@@ -753,6 +753,35 @@ def site_sections(spark, d):
     return p.select("page_id", F.explode(own).alias("s")).select("page_id", "s.label", "s.url")
 
 
+# -- what a fetcher may ask for
+
+_HOST = "lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
+_AFTER = "regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1)"
+_JUDGED = f"""
+j AS (
+  SELECT *, CASE WHEN length(host) % 3 = 0 THEN NULL WHEN starts_with(path, '/en/1') THEN '/en/1' WHEN starts_with(path, '/en/') THEN '/en/' WHEN starts_with(path, '/de/') THEN '/de/' END AS rule
+  FROM (SELECT page_id, url, {_HOST} AS host, CASE WHEN starts_with({_AFTER}, '/') THEN {_AFTER} ELSE '/' || {_AFTER} END AS path FROM pages)
+), r AS (SELECT page_id, url, host, rule, host <> '' AND coalesce(rule NOT IN ('/en/', '/de/'), true) AS allowed, CASE WHEN length(host) % 3 = 0 THEN 1.0::DOUBLE ELSE (length(host) % 5 + 0.5)::DOUBLE END AS delay FROM j)"""
+
+
+def _judged(spark, d):
+    """Pages by the rules of two thirds of their hosts."""
+    p = table(spark, d, "pages").select("page_id", "url")
+    hosts = p.select(robots.host_of(F.col("url")).alias("host")).distinct().filter("host <> '' and length(host) % 3 <> 0")
+    text = F.concat(F.lit("# rules\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nUser-agent: third\nDisallow: /en/ # but\nAllow: /en/1\nDisallow: /de/\nDisallow:\nCrawl-delay: "), (F.length("host") % 5).cast("string"), F.lit(".5\n"))
+    return robots.judged(p, hosts.withColumn("robots", text), "lodestone")
+
+
+@query(f"WITH {_JUDGED} SELECT page_id, host, rule, allowed, delay FROM r")
+def robots_rules(spark, d):
+    return _judged(spark, d).select("page_id", "host", "rule", "allowed", "delay")
+
+
+@query(f"WITH {_JUDGED} SELECT page_id, host, k AS place, k * delay AS at FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY url, page_id) - 1 AS k FROM r WHERE allowed)")
+def fetch_schedule(spark, d):
+    return robots.schedule(_judged(spark, d), ["url", "page_id"]).select("page_id", "host", "place", "at")
+
+
 # -- databases, limits, settings, reports
 
 
