@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import defaults
 from .catalog import CHUNKS, _BLOCK, _CLEAN, _CUES, _DATES, _GUARDED, _MAILS, _PHONES, _RERANKED, _RETRIEVED, _SEARCHABLE, _SNIPPETS, HYBRID, QUERIES, SQL, _chat, _ocr, _questions, _requests, _retrieved, norm, query, sql_tokens, table
 from .functions import numbers, text, vectors
-from .operators import answers, chunks, evidence, hashtree, layout, lexical, provenance, robots, store, web
+from .operators import answers, chunks, evidence, hashtree, layout, lexical, provenance, robots, store, vendors, web
 from .plans import search, versions
 from .sources import readers, sinks
 from .streaming import jobs
@@ -782,6 +782,37 @@ def fetch_schedule(spark, d):
     return robots.schedule(_judged(spark, d), ["url", "page_id"]).select("page_id", "host", "place", "at")
 
 
+# -- answers of recognition engines
+
+
+@query(r"""
+SELECT conv_id, turn, shape, CASE WHEN broken THEN 'NOT_JSON' WHEN shape = 'other' THEN 'UNKNOWN_SHAPE' END AS error, (CASE WHEN broken OR shape = 'other' THEN 0 ELSE 2 END)::INT AS n_blocks,
+  CASE WHEN broken OR shape = 'other' THEN '' ELSE array_to_string(list_filter([role, regexp_replace(text, '^\s+|\s+$', '', 'g')], lambda x: x <> ''), chr(10)) END AS plain_text,
+  CASE WHEN NOT broken AND shape <> 'other' THEN '1.0,' || turn || '.5,9.0,' || (turn + 2) || '.0' END AS box, CASE WHEN NOT broken AND shape <> 'other' THEN CASE shape WHEN 'regions' THEN 'unknown' ELSE 'text' END END AS kind
+FROM (SELECT *, ['fields', 'pages', 'lines', 'regions', 'other'][1 + (conv_id + turn) % 5] AS shape, conv_id % 7 = 3 AS broken FROM conversations)""")
+def vendor_answers(spark, d):
+    """Each turn as an answer of some engine: its role and text as two blocks; some answers are cut off."""
+    c, turn = table(spark, d, "conversations"), F.col("turn").cast("string")
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    poly = put("[[1,", turn, ".5],[9,", turn, ".5],[9,", (F.col("turn") + 2).cast("string"), "],[1,", (F.col("turn") + 2).cast("string"), "]]")
+    points = F.regexp_replace(poly, r"\[([0-9.]+),([0-9.]+)\]", '{"x":$1,"y":$2}')
+    field = lambda t: put('{"inferText":', quoted(t), ',"inferConfidence":0.5,"boundingPoly":{"vertices":', points, "}}")
+    box = put("[1.0,", turn, ".5,9,", (F.col("turn") + 2).cast("string"), "]")
+    shapes = {
+        "fields": put('{"images":[{"fields":[', field("role"), ']},{"fields":[', field("text"), "]}]}"),
+        "pages": put("[[[", poly, ",[", quoted("role"), ",0.5]]],null,[[", poly, ",[", quoted("text"), ",0.25]]]]"),
+        "lines": put("[[", poly, ",", quoted("role"), ",0.5],[", poly, ",", quoted("text"), ",1]]"),
+        "regions": put('[{"bbox":', box, ',"type":"title","res":', quoted("role"), '},{"bbox":', box, ',"type":"figure","res":[{"text":', quoted("text"), "},7]}]"),
+        "other": put("{}"),
+    }
+    shape = F.array(*map(F.lit, shapes))[((F.col("conv_id") + F.col("turn")) % 5).cast("int")]
+    answer = F.element_at(F.create_map(*[x for k, v in shapes.items() for x in (F.lit(k), v)]), F.col("shape"))
+    a = c.withColumn("shape", shape).withColumn("answer", F.when(F.col("conv_id") % 7 == 3, F.concat(F.lit("["), answer)).otherwise(answer))
+    last = F.get("blocks", 1)
+    return vendors.decoded(a).select("conv_id", "turn", "shape", "error", F.size("blocks").alias("n_blocks"), "plain_text", F.array_join(last["bbox"].cast("array<string>"), ",").alias("box"), last["block_type"].alias("kind"))
+
+
 # -- databases, limits, settings, reports
 
 
