@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import defaults
 from .catalog import CHUNKS, _BLOCK, _CLEAN, _CUES, _DATES, _GUARDED, _MAILS, _PHONES, _RERANKED, _RETRIEVED, _SEARCHABLE, _SNIPPETS, HYBRID, QUERIES, SQL, _chat, _ocr, _questions, _requests, _retrieved, norm, query, sql_tokens, table
-from .functions import numbers, text, vectors
+from .functions import numbers, tables, text, vectors
 from .operators import answers, chunks, evidence, hashtree, layout, lexical, provenance, robots, store, vendors, web
 from .plans import search, versions
 from .sources import readers, sinks
@@ -316,6 +316,33 @@ def headed_sections(spark, d):
     return chunks.section_table(table(spark, d, "documents").select("doc_id", headed.alias("text"))).select("document_id", "section", F.sha2("text", 256).alias("text_sha256"))
 
 
+# -- the same by SQL table functions
+
+
+def _by_sql(spark, rows, sql: str):
+    """sql over rows, which it calls {rows}; the functions of functions.tables are known to it."""
+    tables.register(spark)
+    name = f"rows_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(name)
+    return spark.sql(sql.format(rows=name))
+
+
+def _headed(spark, d, mark: str):
+    t = F.regexp_replace(F.regexp_replace(text.normalize(F.col("text")), r"\. ", ".\n\n"), r"\n{3,}", "\n\n")
+    head, rest = F.element_at(F.split(t, "\n\n"), 1), F.when(F.size(F.split(t, "\n\n")) > 1, F.regexp_replace(t, r"(?s)^.*?\n\n", ""))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.concat_ws("\n\n", head, F.concat(F.lit(f"{mark} Part "), F.col("doc_id").cast("string")), rest).alias("text"))
+
+
+@query(SQL["packed_chunks"])
+def sql_packed_chunks(spark, d):
+    return _by_sql(spark, _headed(spark, d, "#"), "SELECT CAST(document_id AS BIGINT) AS document_id, chunk_index, section, text FROM packed_chunks(TABLE(SELECT document_id, text FROM {rows}))")
+
+
+@query(SQL["headed_sections"])
+def sql_headed_sections(spark, d):
+    return _by_sql(spark, _headed(spark, d, "###"), "SELECT CAST(document_id AS BIGINT) AS document_id, section, sha2(text, 256) AS text_sha256 FROM headed_sections(TABLE(SELECT document_id, text FROM {rows}))")
+
+
 # -- web pages
 
 
