@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import defaults
 from .catalog import CHUNKS, _BLOCK, _CLEAN, _CUES, _DATES, _GUARDED, _MAILS, _PHONES, _RERANKED, _RETRIEVED, _SEARCHABLE, _SNIPPETS, HYBRID, QUERIES, SQL, _chat, _ocr, _questions, _requests, _retrieved, norm, query, sql_tokens, table
 from .functions import numbers, tables, text, vectors
-from .operators import answers, chunks, evidence, hashtree, layout, lexical, provenance, robots, store, vendors, web
+from .operators import answers, chunks, evidence, hashtree, layout, lexical, metrics, provenance, robots, store, vendors, web
 from .plans import search, versions
 from .sources import readers, sinks
 from .streaming import jobs
@@ -840,6 +840,54 @@ def vendor_answers(spark, d):
     return vendors.decoded(a).select("conv_id", "turn", "shape", "error", F.size("blocks").alias("n_blocks"), "plain_text", F.array_join(last["bbox"].cast("array<string>"), ",").alias("box"), last["block_type"].alias("kind"))
 
 
+# -- reports and small files
+
+
+@query("SELECT count(*)::BIGINT AS documents, sum(length(text))::BIGINT AS chars, min(lang) AS first_lang FROM documents")
+def document_file(spark, d):
+    """One row as a JSON file, read back."""
+    path = f"{folder(spark, 'document')}/corpus.json"
+    one = table(spark, d, "documents").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"), F.min("lang").alias("first_lang"))
+    sinks.write_document(one, path)
+    return spark.read.schema(one.schema).option("multiLine", True).json(path)
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def reset_folders(spark, d):
+    """A folder that held customers, emptied and filled with nations."""
+    workspace = folder(spark, "workspace")
+    sinks.write_jsonl(table(spark, d, "customer").select("c_custkey"), f"{workspace}/own/rows")
+    sinks.reset_folder(spark, f"{workspace}/own", workspace)
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    sinks.write_jsonl(n, f"{workspace}/own/nations")
+    return spark.read.schema(n.schema).option("recursiveFileLookup", True).json(f"{workspace}/own")
+
+
+_KEPT = {"method", "subset", "recall_at_1", "recall_at_3", "recall_at_5", "mrr", "ndcg_at_5", "refusal_accuracy", "avg_latency_ms"}
+
+
+@query(f"WITH ir AS ({SQL['ir_metrics']}) SELECT {', '.join(c if c in _KEPT else repr(metrics.NOTE) + ' AS note' if c == 'note' else f'NULL::VARCHAR AS {c}' for c in metrics.COLUMNS)} FROM ir")
+def metric_report(spark, d):
+    """All columns of a report; what people would have to judge is null."""
+    return metrics.metric_table(QUERIES["ir_metrics"](spark, d))
+
+
+@query(rf"""
+SELECT conv_id, turn, coalesce(title, 'OCR plain text - n' || conv_id) AS title, coalesce(url, '') AS url, {norm("text")} AS text
+FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN ' ' || chr(10) ELSE text END AS text FROM conversations) LEFT JOIN (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN 'page ' || page_id END AS title FROM pages) ON page_id = conv_id
+WHERE regexp_replace(text, '\s+', '', 'g') <> ''""")
+def plain_documents(spark, d):
+    """Recognised texts as documents; blank ones are left out."""
+    c = table(spark, d, "conversations")
+    r = c.select(
+        F.concat(F.lit("n"), F.col("conv_id").cast("string")).alias("notice_id"), F.col("turn").cast("string").alias("file_path"), F.lit("e").alias("ocr_engine"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("posted_at"),
+        F.create_map().cast("map<string,string>").alias("metadata"), F.when(F.col("turn") % 3 == 1, " \n").otherwise(F.col("text")).alias("plain_text"))
+    k = F.col("page_id")
+    m = table(spark, d, "pages").select(F.concat(F.lit("n"), k.cast("string")).alias("notice_id"), F.when(k % 2 == 0, F.concat(F.lit("page "), k.cast("string"))).alias("title"), "url", F.lit(None).cast("string").alias("posted_at"))
+    out = layout.plain_documents(r, m)
+    return out.select(F.substring("notice_id", 2, 20).cast("long").alias("conv_id"), F.col("file_path").cast("int").alias("turn"), "title", F.coalesce("url", F.lit("")).alias("url"), "text")
+
+
 # -- databases, limits, settings, reports
 
 

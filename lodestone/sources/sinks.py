@@ -46,12 +46,21 @@ def write_csv_file(df: DataFrame, path: str, columns: list[str] | None = None) -
             w.writerow(["" if d.get(c) is None else d[c] for c in cols])
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path), for any store that Spark reaches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def write_document(df: DataFrame, path: str) -> None:
     """The only row of df as a JSON file."""
     rows = df.limit(2).collect()
     if len(rows) != 1:
         raise ValueError(f"one row expected, found {'more' if rows else 'none'}")
-    Path(path).write_text(json.dumps(rows[0].asDict(True), ensure_ascii=False, indent=2, default=str) + "\n", "utf-8")
+    fs, p = _hadoop(df.sparkSession, path)
+    out = fs.create(p, True)
+    out.write((json.dumps(rows[0].asDict(True), ensure_ascii=False, indent=2, default=str) + "\n").encode())
+    out.close()
 
 
 def replace_index(df: DataFrame, path: str, keys: tuple[str, ...] = ("index_name", "index_version")) -> None:
@@ -109,11 +118,10 @@ def write_files(df: DataFrame, folder: str, name_col: str = "path", text_col: st
 
 
 def reset_folder(spark: SparkSession, folder: str, workspace: str) -> None:
-    """Empties a folder; refuses one that isn't inside the workspace."""
-    import shutil
-
-    root, target = Path(workspace).resolve(), Path(folder).resolve()
-    if root not in target.parents:
-        raise ValueError(f"{target} lies outside {root}")
-    shutil.rmtree(target, ignore_errors=True)
-    target.mkdir(parents=True)
+    """Empties a folder; refuses one that isn't inside the workspace. `..` is resolved, links are not followed."""
+    fs, target = _hadoop(spark, folder)
+    inside, root = str(fs.makeQualified(target).toString()), str(fs.makeQualified(_hadoop(spark, workspace)[1]).toString())
+    if not inside.startswith(root.rstrip("/") + "/"):
+        raise ValueError(f"{folder} lies outside {workspace}")
+    fs.delete(target, True)
+    fs.mkdirs(target)
