@@ -10,7 +10,7 @@ from .numbers import round_half_up
 
 def strip(c: Column) -> Column:
     """Without white space at both ends (F.trim takes spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def blank(c: Column) -> Column:
@@ -24,7 +24,7 @@ def or_else(*columns: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Carriage returns go, runs of spaces and tabs become a space, three line feeds or more become two, ends are stripped."""
-    c = F.regexp_replace(F.regexp_replace(c, "\r", ""), r"[ \t]+", " ")
+    c = F.regexp_replace(F.regexp_replace(c, "\r", ""), r"[ \t]{2,}|\t", " ")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
