@@ -885,7 +885,7 @@ def plain_documents(spark, d):
     k = F.col("page_id")
     m = table(spark, d, "pages").select(F.concat(F.lit("n"), k.cast("string")).alias("notice_id"), F.when(k % 2 == 0, F.concat(F.lit("page "), k.cast("string"))).alias("title"), "url", F.lit(None).cast("string").alias("posted_at"))
     out = layout.plain_documents(r, m)
-    return out.select(F.substring("notice_id", 2, 20).cast("long").alias("conv_id"), F.col("file_path").cast("int").alias("turn"), "title", F.coalesce("url", F.lit("")).alias("url"), "text")
+    return out.select(F.substring("notice_id", 2, 20).cast("long").alias("conv_id"), F.col("file_path").cast("long").alias("turn"), "title", F.coalesce("url", F.lit("")).alias("url"), "text")
 
 
 # -- databases, limits, settings, reports
