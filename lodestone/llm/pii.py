@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Generator, Iterator
+from collections.abc import Generator, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +135,10 @@ def features(span: str, tokens: int, before: str, beside: str) -> list[int]:
     return sorted({_F[f] for f in out})
 
 
+#: Tokens whose segments are made at once; steps of the table that are held before what is certain is settled.
+PIECE, KEPT = 128, 20_000
+
+
 class Window:
     """Adjacent tokens of a text, and the segments that may be entities: (first, end, start, stop, features)."""
 
@@ -239,30 +243,55 @@ class Field:
 
     def best(self, w: Window) -> list[tuple[int, int, int]]:
         """The entities (kind, start, stop) of the best sequence."""
-        n, sc = len(w.tokens), self.scores(w)
-        top = np.full((n + 1, 5), -np.inf)
-        top[0, 4] = 0
-        back: dict[tuple[int, int], tuple[int, int, int]] = {}
-        by_end: dict[int, list[int]] = {}
-        for k, s in enumerate(w.segments):
-            by_end.setdefault(s[1], []).append(k)
-        for j in range(1, n + 1):
-            v = top[j - 1] + self.t[:, 4]
-            top[j, 4], back[j, 4] = v.max(), (j - 1, int(v.argmax()), -1)
-            for k in by_end.get(j, ()):
-                i = w.segments[k][0]
-                v = top[i][:, None] + self.t[:, :4]
-                y = v.max(0) + sc[k]
-                for kind in range(4):
-                    if y[kind] > top[j, kind]:
-                        top[j, kind], back[j, kind] = y[kind], (i, int(v[:, kind].argmax()), k)
-        out, j, y = [], n, int(top[n].argmax())
-        while j > 0:
-            i, before, k = back[j, y]
-            if k >= 0:
-                out.append((y, w.segments[k][2], w.segments[k][3]))
-            j, y = i, before
-        return out[::-1]
+        return self.joint([(0, 0, w)])
+
+    def decode(self, text: str, run: list[tuple[int, int]], piece: int = PIECE, kept: int = KEPT) -> list[tuple[int, int, int]]:
+        """The entities of the best sequence of a whole run, whose segments are made piece by piece."""
+        starts = ((max(0, s - LENGTH - 2), s) for s in range(0, len(run), piece))  # two tokens before a segment are its context
+        return self.joint(((lo, s, Window(text, run[lo : s + piece])) for lo, s in starts), kept)
+
+    def joint(self, pieces: Iterable[tuple[int, int, Window]], kept: int = KEPT) -> list[tuple[int, int, int]]:
+        """The best sequence over pieces (first token, first new token, window), which overlap by a segment.
+
+        The table's last LENGTH columns go on from piece to piece. What all of their ways have in common is settled when
+        more than `kept` steps are held, so memory doesn't grow with the run.
+        """
+        start = np.full(5, -np.inf)
+        start[4] = 0
+        top, back, settled, root, n = {0: start}, {}, [], (0, 4), 0
+
+        def way(node: tuple[int, int]) -> list[tuple[int, int]]:
+            out = [node]
+            while out[-1] != root:
+                out.append(back[out[-1]][:2])
+            return out
+
+        def entities(node: tuple[int, int]) -> list[tuple[int, int, int]]:
+            return [(y, *back[j, y][2]) for j, y in reversed(way(node)) if (j, y) != root and back[j, y][2]]
+
+        for lo, s, w in pieces:
+            sc, by_end, n = self.scores(w), {}, lo + len(w.tokens)
+            for k, x in enumerate(w.segments):
+                by_end.setdefault(lo + x[1], []).append(k)
+            for j in range(s + 1, n + 1):
+                row = np.full(5, -np.inf)
+                v = top[j - 1] + self.t[:, 4]
+                row[4], back[j, 4] = v.max(), (j - 1, int(v.argmax()), None)
+                for k in by_end.get(j, ()):
+                    i = lo + w.segments[k][0]
+                    v = top[i][:, None] + self.t[:, :4]
+                    y = v.max(0) + sc[k]
+                    for kind in range(4):
+                        if y[kind] > row[kind]:
+                            row[kind], back[j, kind] = y[kind], (i, int(v[:, kind].argmax()), w.segments[k][2:4])
+                top[j] = row
+                top.pop(j - LENGTH - 1, None)
+            if len(back) > kept:
+                ways = [way((j, y)) for j, row in top.items() for y in range(5) if row[y] > -np.inf]
+                common = max(set(ways[0]).intersection(*ways[1:]))
+                settled += entities(common)
+                back, root = {x: v for x, v in back.items() if x[0] > common[0]}, common
+        return settled + entities((n, int(top[n].argmax())))
 
     def gradient(self, w: Window, gold: dict[tuple[int, int], int], gw: np.ndarray, gt: np.ndarray) -> None:
         """Adds the gradient of the log-likelihood of gold, {(first, end): kind}."""
@@ -377,12 +406,11 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list
     added: list[tuple[int, int, int]] = []
     last = 0
     for run in windows(text):
-        for s in range(0, len(run), 64):  # a longer run is read in stretches that overlap by an entity
-            for kind, a, b in field.best(Window(text, run[max(0, s - LENGTH) : s + 64])):
-                k = int(np.searchsorted(starts, b))
-                if a >= last and not (k and reach[k - 1] > a):
-                    added.append((kind, a, b))
-                    last = b
+        for kind, a, b in field.decode(text, run):
+            k = int(np.searchsorted(starts, b))
+            if a >= last and not (k and reach[k - 1] > a):
+                added.append((kind, a, b))
+                last = b
     return base, sorted(base + added)
 
 

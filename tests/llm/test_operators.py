@@ -678,3 +678,27 @@ def test_pieces_of_a_text_change_nothing(monkeypatch):
     whole = decontam.find(text, found)
     monkeypatch.setattr(decontam.pieces, "__defaults__", (50,))
     assert decontam.find(text, found) == whole
+
+
+# -- op3, long runs
+
+
+def test_a_run_of_tokens_is_decoded_as_one_sequence():
+    rnd, f = np.random.default_rng(3), pii.Field()
+    f.w, f.t = rnd.normal(size=f.w.shape), rnd.normal(size=f.t.shape)
+    words = ["x1", "12", "a@b", "555-01", "at", "dot", "3.4", "co", "77777", "7"]
+    for n in (1, 9, 40, 300):
+        text = " ".join(rnd.choice(words, n))
+        for run in pii.windows(text):
+            want = f.best(pii.Window(text, run))
+            assert all(f.decode(text, run, piece, kept) == want for piece, kept in ((1, 5), (7, 10**6), (64, 100), (128, 40)))
+
+
+def test_an_entity_is_found_wherever_it_stands():
+    text = lambda k: " ".join(["x1"] * k + ["bob at example dot co dot uk", "and then"])
+    plain = ["write to amy@example.org or call +1 555 010 9999 now 5"] * 30
+    field, found = pii.fit(plain), []
+    for k in range(0, 201):
+        spans = pii.all_spans(text(k), field)[1]
+        found.append([(kind, a - 3 * k, b - 3 * k) for kind, a, b in spans if a >= 3 * k])
+    assert all(x == found[20] for x in found[20:])
