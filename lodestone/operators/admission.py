@@ -10,6 +10,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,22 +79,26 @@ def decide(requests: DataFrame, settings: Settings | None = None, zone: str = "U
 
 
 def cooldown(requests: DataFrame, seconds: int = 300, key: str = "index_name") -> DataFrame:
-    """requests (request_id, ts, key) with accepted: one that comes within the cooldown of the last accepted isn't."""
-    r = requests.select("request_id", "ts", F.col(key).cast("string").alias("key"), F.lit(None).cast("date").alias("day"))
+    """requests (request_id, ts, key) with accepted: one that comes within the cooldown of the last accepted isn't.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A request without a time isn't accepted and holds none back; of those without a key the first is. Columns pass as they are, whatever the session's zone;
+    a task reads its keys as a stream.
+    """
+    r = requests.select("request_id", "ts", F.col(key).cast("string").alias("key"))
+    kind = r.withColumn("accepted", F.lit(True)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, at = None, None
-        for f in frames:
+        for b in batches:
             told = []
-            for k, ms in zip(f["key"], f["_ms"], strict=True):
+            for k, us in zip(b.column(2).to_pylist(), b.column(1).cast(pa.int64()).to_pylist(), strict=True):
                 if k != last:
                     last, at = k, None
-                ok = at is None or ms - at >= 1000 * seconds
-                at = ms if ok else at
+                ok = us is not None and (at is None or (k is not None and us // 1000 - at >= 1000 * seconds))
+                at = us // 1000 if ok else at
                 told.append(ok)
-            yield f[["request_id", "ts", "key"]].assign(accepted=told)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(told, pa.bool_())], kind.names)
 
     n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = r.withColumn("_ms", F.unix_millis(F.col("ts").cast("timestamp"))).repartition(n, "key").sortWithinPartitions("key", "ts", "request_id")
-    kind = r.schema["request_id"].dataType.simpleString()
-    return dealt.mapInPandas(run, f"request_id {kind}, ts timestamp, key string, accepted boolean").withColumnRenamed("key", key)
+    dealt = r.repartition(n, "key").sortWithinPartitions("key", "ts", "request_id")
+    return dealt.mapInArrow(run, kind).withColumnRenamed("key", key)
