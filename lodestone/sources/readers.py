@@ -9,6 +9,7 @@ from pathlib import Path
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +39,33 @@ def markdown_documents(spark: SparkSession, path: str) -> DataFrame:
     return t.select(stem(F.col("path")).alias("document_id"), document_title(F.col("f.metadata"), F.col("f.body"), F.col("path")).alias("title"), "path", meta("url").alias("url"), meta("posted_at").alias("posted_at"), F.coalesce(meta("content_type"), infer_content_type(F.col("path"))).alias("content_type"), F.col("f.metadata").alias("metadata"), F.col("f.body").alias("text"))
 
 
-def pdf_sections(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
-    """(path, section_index, section, page, text) of files (path, content): a section for each page with text. extract gives a file's pages."""
+#: Pages, and bytes of files, after which a task passes on what it has extracted.
+PAGES, PAGE_BYTES = 2048, 4 << 20
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(p, k, f"Page {k + 1}", k + 1, t) for p, c in zip(f["path"], f["content"], strict=True) for k, t in enumerate(extract(bytes(c))) if t and t.strip()]
-            yield pd.DataFrame(rows, columns=["path", "section_index", "section", "page", "text"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, section_index int, section string, page int, text string")
+def pdf_sections(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
+    """(path, section_index, section, page, text) of files (path, content): a section for each page with text. extract gives a file's pages.
+
+    A task holds one file's pages and PAGES or PAGE_BYTES of those before it.
+    """
+    names = ["path", "section_index", "section", "page", "text"]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        rows, size = [], 0
+        for b in batches:
+            for path, content in zip(b.column(0), b.column(1), strict=True):
+                path, data = path.as_py(), content.as_py()
+                rows += [(path, k, f"Page {k + 1}", k + 1, t) for k, t in enumerate(extract(data)) if t and t.strip()]
+                size += len(data)
+                if rows and (len(rows) >= PAGES or size >= PAGE_BYTES):
+                    yield out(rows)
+                    rows, size = [], 0
+        if rows:
+            yield out(rows)
+
+    return files.select("path", "content").mapInArrow(run, "path string, section_index int, section string, page int, text string")
 
 
 def recognise(files: DataFrame, engine: Callable[[str, str, str], dict], profiles: list[str]) -> DataFrame:
