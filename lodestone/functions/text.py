@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,10 +24,15 @@ def or_else(*columns: Column) -> Column:
     return F.coalesce(*[F.when(c != "", c) for c in columns])
 
 
+def replaced(c: Column, signs: list[str], pattern: str, by: str) -> Column:
+    """regexp_replace() for a pattern that fits nothing in a text without any of the signs: such texts, mostly all, are only searched for these. c is computed once."""
+    return F.transform(F.array(c), lambda v: F.when(reduce(Column.__or__, [v.contains(x) for x in signs]), F.regexp_replace(v, pattern, by)).otherwise(v))[0]
+
+
 def normalize(c: Column) -> Column:
     """Carriage returns go, runs of spaces and tabs become a space, three line feeds or more become two, ends are stripped."""
-    c = F.regexp_replace(F.regexp_replace(c, "\r", ""), r"[ \t]{2,}|\t", " ")
-    return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    c = replaced(replaced(c, ["\r"], "\r", ""), ["  ", "\t"], r"[ \t]{2,}|\t", " ")
+    return strip(replaced(c, ["\n\n\n"], r"\n{3,}", "\n\n"))
 
 
 def collapse(c: Column) -> Column:

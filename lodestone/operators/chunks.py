@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..defaults import CHUNK_MIN, CHUNK_TARGET
-from ..functions.text import normalize, strip
+from ..functions.text import normalize, replaced, strip
 
 _MARK, _END = "\u0001", "\u0002"
 
 
 def sections(text: Column, first_name: Column | str = "Document") -> Column:
     """array of struct(section, text): lines of one to six `#`, white space and words begin a section; blank sections go."""
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), f"[\r{_MARK}{_END}]", "")
-    marked = F.regexp_replace(clean, r"(?md)^(#{1,6}[^\S\n]+.+)$", f"{_MARK}$1{_END}")
+    clean = replaced(F.coalesce(text, F.lit("")), ["\r", _MARK, _END], f"[\r{_MARK}{_END}]", "")
+    marked = replaced(clean, ["#"], r"(?md)^(#{1,6}[^\S\n]+.+)$", f"{_MARK}$1{_END}")
     pieces = F.split(marked, _MARK)
     name = F.lit(first_name) if isinstance(first_name, str) else first_name
 
