@@ -94,9 +94,14 @@ def source_label(title: Column, page: Column, section: Column) -> Column:
     return F.concat(title, F.when(page.isNotNull(), F.concat(F.lit(" / "), page.cast("string"), F.lit("p"))).otherwise(""), F.when(~blank(section), F.concat(F.lit(" / "), section)).otherwise(""))
 
 
+#: Characters of a text in which its snippet is mostly found.
+AHEAD = 1000
+
+
 def snippet(content: Column) -> Column:
-    flat = collapse(content)
-    return F.when(F.length(flat) > 180, F.concat(F.substring(flat, 1, 180), F.lit("..."))).otherwise(flat)
+    """The first 180 characters, white space collapsed. The whole text is read only if its first AHEAD characters have no 180 of their own."""
+    ahead = F.transform(F.array(collapse(F.substring(content, 1, AHEAD))), lambda v: F.when((F.length(v) > 180) | (F.length(content) <= AHEAD), v).otherwise(collapse(content)))
+    return F.transform(ahead, lambda v: F.when(F.length(v) > 180, F.concat(F.substring(v, 1, 180), F.lit("..."))).otherwise(v))[0]
 
 
 def source_reference(title: Column, page: Column, section: Column, content: Column, similarity: Column, url: Column, posted_at: Column) -> Column:
@@ -145,8 +150,8 @@ def ordered_unique(items: Column) -> Column:
 
 
 def safe_filename(c: Column) -> Column:
-    clean = F.regexp_replace(F.regexp_replace(c, r"[^0-9A-Za-z가-힣_.-]+", "_"), r"^_+|_+$", "")
-    return F.coalesce(F.when(clean != "", clean), F.lit("unknown"))
+    clean = F.btrim(F.regexp_replace(c, r"[^0-9A-Za-z가-힣_.-]+", "_"), F.lit("_"))
+    return F.transform(F.array(clean), lambda v: F.when(v != "", v).otherwise("unknown"))[0]
 
 
 def sentences(c: Column, profile: str = "offline") -> Column:
