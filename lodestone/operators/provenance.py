@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..defaults import Settings
+from ..functions import sha
 from ..functions.vectors import sha256_of, sha256_parts
+from ..tables import dropped, stored
 
 
 def retrieval_config_hash(s: Settings, profile: str = "online") -> str:
@@ -41,35 +45,54 @@ def document_hashes(sections: DataFrame) -> DataFrame:
     return sections.groupBy("document_id").agg(sha256_parts(F.concat(head, F.flatten(F.transform(parts, lambda x: x["p"])))).alias("sha"))
 
 
+#: Bytes of text that one task hashes at most, as far as keys let ranges be cut evenly.
+RANGE_BYTES = 128 << 20
+
+
 def _streamed(rows: DataFrame, order: list[str], head: list[str], parts: list[str], name: str) -> DataFrame:
     """One row: SHA-256 of the parts of all rows in order, each with a zero character behind it; where order[0] changes, the head comes first. Nulls are left out.
 
-    Rows are dealt by range; one task sorts the ranges one after the other and reads them as a stream, in time that grows
-    with the rows. hashtree.tree() has no such step.
+    Rows are dealt by range and stored. One task after the other takes the next range, goes on from the hash's state and
+    hands it on (some 100 bytes), so a task reads its range only; the time grows with the rows. Without OpenSSL's functions
+    there is one range. hashtree.tree() has no such chain.
     """
-    sorted_ = rows.select(*order, *(F.col(c).cast("string").alias(f"_{k}") for k, c in enumerate([*head, *parts]))).orderBy(*order)
-
-    def run(batches):
-        sha, last = hashlib.sha256(), object()
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for k, own in enumerate(columns[0]):
-                begin = len(order) if own != last else len(order) + len(head)
-                last = own
-                for c in columns[begin:]:
-                    if c[k] is not None:
-                        sha.update(c[k].encode() + b"\0")
-        yield pa.RecordBatch.from_pydict({name: [sha.hexdigest()]})
-
-    one = sorted_.coalesce(1).mapInArrow(run, f"`{name}` string")
-    return one.agg(F.coalesce(F.first(name), F.lit(hashlib.sha256().hexdigest())).alias(name))
+    named = [*order, *(f"_{k}" for k in range(len(head) + len(parts)))]
+    texts = rows.select(*order, *(F.col(c).cast("string").alias(f"_{k}") for k, c in enumerate([*head, *parts])))
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in named[len(order) :]]
+    n = (texts.agg(F.sum(reduce(Column.__add__, sizes))).first()[0] or 0) // RANGE_BYTES + 1 if sha.can_hand_on() else 1
+    kept = stored(texts.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "hashed", ("_range",)) if n > 1 else None
+
+    def step(state: bytes | None, last):
+        def run(batches):
+            hashed, before = sha.Sha256(state), last
+            for batch in batches:
+                columns = [c.to_pylist() for c in batch.columns]
+                found = []
+                for k, own in enumerate(columns[0]):
+                    begin = len(order) if (own,) != before else len(order) + len(head)
+                    before = (own,)
+                    found += [c[k] for c in columns[begin:] if c[k] is not None]
+                hashed.update("".join(f"{t}\0" for t in found).encode())
+            yield pa.RecordBatch.from_pydict({"state": [hashed.state()], "last": [pickle.dumps(before)], "digest": [hashed.hexdigest()]})
+
+        return run
+
+    state, last, digest = None, None, hashlib.sha256().hexdigest()
+    for k in range(n):
+        own = texts.repartition(1) if kept is None else kept.filter(F.col("_range") == k).select(*named).coalesce(1)
+        told = own.sortWithinPartitions(*order).mapInArrow(step(state, last), "state binary, last binary, digest string").first()
+        if told is not None:
+            state, last, digest = bytes(told["state"]), pickle.loads(told["last"]), told["digest"]
+    if kept is not None:
+        dropped(kept)
+    return rows.sparkSession.createDataFrame([(digest,)], f"`{name}` string")
 
 
 def corpus_hash(sections: DataFrame, order: str = "document_id") -> DataFrame:
     """corpus_hash: SHA-256 of all parts of all documents in order, each with a zero character behind it.
 
-    This is one hash over the text of the whole corpus in order, as the contract of stored metadata has it, so its last
-    step is one task's stream, whose time grows with the corpus. corpus_digest() has no such step.
+    This is one hash over the text of the whole corpus in order, as the contract of stored metadata has it, so its ranges
+    are hashed one after the other, in a time that grows with the corpus. corpus_digest() has no such chain.
     """
     rows = sections.withColumn("_page", F.coalesce(F.col("page").cast("string"), F.lit("null")))
     return _streamed(rows, [order, "section_index"], ["title", "path", "content_type"], ["section", "_page", "text"], "corpus_hash")
@@ -83,7 +106,7 @@ def corpus_digest(sections: DataFrame) -> DataFrame:
 
 
 def ordered_hash(rows: DataFrame, order: str, parts: list[str], name: str = "hash") -> DataFrame:
-    """SHA-256 of the parts of all rows in order; its last step is one task's stream."""
+    """SHA-256 of the parts of all rows in order; its ranges are hashed one after the other."""
     return _streamed(rows, [order], [], parts, name)
 
 
