@@ -33,3 +33,14 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() >= n or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
         return df
     return df.repartition(n)
+
+
+#: Of a scan's partitions, how many a task takes at most, and the bytes from which it takes no more.
+GATHERED, GATHERED_BYTES = 64, 128 << 20
+
+
+def gathered(scan: DataFrame) -> DataFrame:
+    """A scan of files in fewer tasks: Spark plans one for each 32 small files, however small they are."""
+    parts, size = scan.rdd.getNumPartitions(), int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(4 * scan.sparkSession.sparkContext.defaultParallelism, parts // GATHERED, size // GATHERED_BYTES)
+    return scan.coalesce(n) if n < parts else scan

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank, document_title, extension, front_matter, infer_content_type, stem
 from ..schemas import schema
+from ..session import gathered
 
 SUFFIXES = ("md", "txt", "pdf")
 
@@ -23,7 +24,7 @@ def glob_scan(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIX
     """(path, content, length) of files below path with a known ending, of max_bytes at most if that is given (larger ones are not opened)."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     r = r.option("pathGlobFilter", pattern) if pattern else r
-    found = r.load(path).filter(extension(F.col("path")).isin(*suffixes))
+    found = gathered(r.load(path)).filter(extension(F.col("path")).isin(*suffixes))
     return (found if max_bytes is None else found.filter(F.col("length") <= max_bytes)).select("path", "content", "length")
 
 
@@ -33,8 +34,12 @@ def text_scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def markdown_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(document_id, title, path, url, posted_at, content_type, metadata, text) of Markdown and text files with front matter."""
-    t = text_scan(spark, path).filter(extension(F.col("path")).isin("md", "txt")).withColumn("f", front_matter(F.col("text")))
+    """(document_id, title, path, url, posted_at, content_type, metadata, text) of Markdown and text files with front matter.
+
+    Read as bytes: the reader of whole texts makes Hadoop's settings anew for each file.
+    """
+    texts = glob_scan(spark, path, ("md", "txt")).select(F.input_file_name().alias("path"), F.col("content").cast("string").alias("text"))
+    t = texts.withColumn("f", front_matter(F.col("text")))
     meta = lambda k: F.nullif(F.try_element_at("f.metadata", F.lit(k)), F.lit(""))
     return t.select(stem(F.col("path")).alias("document_id"), document_title(F.col("f.metadata"), F.col("f.body"), F.col("path")).alias("title"), "path", meta("url").alias("url"), meta("posted_at").alias("posted_at"), F.coalesce(meta("content_type"), infer_content_type(F.col("path"))).alias("content_type"), F.col("f.metadata").alias("metadata"), F.col("f.body").alias("text"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,13 +107,24 @@ def write_files(df: DataFrame, folder: str, name_col: str = "path", text_col: st
     """A text file for each row, below a folder that all tasks share."""
     root = Path(folder).resolve()
 
+    def inside(p: Path) -> Path:
+        if root not in (p := p.resolve()).parents:
+            raise ValueError(f"{p} lies outside {root}")
+        p.parent.mkdir(parents=True, exist_ok=True)
+        return p
+
     def put(rows) -> None:
-        for r in rows:
-            p = (root / r[name_col]).resolve()
-            if root not in p.parents:
-                raise ValueError(f"{p} lies outside {root}")
-            p.parent.mkdir(parents=True, exist_ok=True)
-            p.write_text(r[text_col], "utf-8")
+        known: dict[str, str] = {}  # folders, looked up once
+        for name, text in rows:
+            last = name.rpartition("/")[2]
+            at = name.removesuffix(last)
+            if at not in known:
+                known[at] = str(inside(root / at / "_").parent)
+            p = f"{known[at]}/{last}"
+            if last in ("", ".", "..") or os.path.islink(p):
+                p = inside(root / name)
+            with open(p, "wb") as f:
+                f.write(text.encode())
 
     df.select(name_col, text_col).foreachPartition(put)
 
