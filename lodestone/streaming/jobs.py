@@ -18,6 +18,8 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Keys that requests without an address or session are dealt to.
 FREE, DEALT = "\0", 64
+#: Groups that keys of a stream are dealt to; a call of Python costs as much for one key as for many.
+BUCKETS = 4096
 
 
 @contextmanager
@@ -115,32 +117,48 @@ def admissions(requests: DataFrame, settings: Settings | None = None, zone: str
 
 
 class Firsts(StatefulProcessor):
-    """The first row of each key; a key is forgotten when its window has passed."""
+    """The first row of each hash, for the hashes of a bucket together: state and tables are handled once for a bucket, not for each hash. A hash is forgotten when its window has passed."""
 
     def __init__(self, window_ms: int, names: list[str]):
         self.window_ms, self.names = window_ms, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "ms long")
+        self.seen = handle.getValueState("seen", "hashes array<string>, ms array<long>, due long")
+
+    def _known(self, timerValues) -> tuple[dict[str, int], int | None]:
+        """What is not forgotten yet, and when the timer is due."""
+        if not self.seen.exists():
+            return {}, None
+        hashes, times, due = self.seen.get()
+        now = timerValues.getCurrentWatermarkInMs()
+        return {h: ms for h, ms in zip(hashes, times, strict=True) if ms + self.window_ms > now}, due
+
+    def _keep(self, known: dict[str, int], due: int | None) -> None:
+        first = min(known.values()) + self.window_ms if known else None
+        if first != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if known:
+            self.seen.update((list(known), list(known.values()), first))
+        else:
+            self.seen.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            for _ in rows:
-                pass
-            return
-        best = None
+        known, due = self._known(timerValues)
+        order, best = ["ts", *[c for c in self.names if c != "ts"]], None
         for f in rows:
-            own = f.sort_values(["ts", *[c for c in self.names if c != "ts"]]).iloc[:1]
-            best = own if best is None else pd.concat([best, own]).sort_values(["ts", *[c for c in self.names if c != "ts"]]).iloc[:1]
-        if best is not None:
-            ms = int(best["ts"].iloc[0].value // 1_000_000)
-            self.seen.update((ms,))
-            self.handle.registerTimer(ms + self.window_ms)
-            yield best
+            own = f[~f["own_hash"].isin(list(known))]
+            best = (own if best is None else pd.concat([best, own])).sort_values(order).drop_duplicates("own_hash")
+        if best is not None and len(best):
+            known.update(zip(best["own_hash"], map(int, best["own_ms"]), strict=True))
+            self._keep(known, due)
+            yield best[self.names]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
+        self._keep(self._known(timerValues)[0], None)  # the timer that has run out is taken away by Spark
         return iter([])
 
     def close(self) -> None:
@@ -150,4 +168,6 @@ class Firsts(StatefulProcessor):
 def first_rows(rows: DataFrame, hash_col: str = "source_hash", window_hours: int = 24 * 365, late_hours: int = 24) -> DataFrame:
     """Of a stream with ts, the earliest row of each hash, by batches in the order of time; a hash counts as new again when window_hours have passed."""
     names = rows.columns
-    return rows.withWatermark("ts", f"{late_hours} hours").groupBy(hash_col).transformWithStateInPandas(Firsts(window_hours * 3_600_000, names), rows.schema, "append", "eventTime", eventTimeColumnName="ts")
+    dealt = rows.withWatermark("ts", f"{late_hours} hours").select(
+        *names, F.to_json(F.struct(hash_col)).alias("own_hash"), F.coalesce(F.unix_millis(F.col("ts").cast("timestamp")), F.lit(0)).alias("own_ms"), F.pmod(F.xxhash64(hash_col), F.lit(BUCKETS)).alias("own_bucket"))
+    return dealt.groupBy("own_bucket").transformWithStateInPandas(Firsts(window_hours * 3_600_000, names), rows.schema, "append", "eventTime", eventTimeColumnName="ts")
