@@ -36,15 +36,42 @@ def bucket_and_sign(token: Column, profile: str, dim: int) -> tuple[Column, Colu
     return F.pmod(number, F.lit(dim)), F.when(odd == 0, 1.0).otherwise(-1.0)
 
 
+def _place(token: str, profile: str, dim: int) -> tuple[int, float]:
+    """bucket_and_sign() of one token."""
+    if profile == "online":
+        h = 0
+        for c in token:
+            h = (h * 31 + ord(c)) & 0xFFFFFFFF
+        return (h - (h >> 31 << 32)) % dim, 1.0
+    d = hashlib.sha256(token.encode()).digest()
+    return int.from_bytes(d[:4], "big") % dim, 1.0 if d[4] % 2 == 0 else -1.0
+
+
 def sparse_embedding(df: DataFrame, id_col: str, text_col: str, profile: str = "offline", dim: int = 256) -> DataFrame:
     """(id, bucket, weight): unit vectors of hashed tokens, without zeros. Texts without tokens have no rows.
 
-    Online: distinct tokens, each adds 1. Offline: all tokens, each adds 1 or -1.
+    Online: distinct tokens, each adds 1. Offline: all tokens, each adds 1 or -1. A worker hashes each distinct token of a
+    batch once and adds up each row; rows are dealt by id, once, for ids that several rows have.
     """
     tokens = evidence_tokens if profile == "online" else alnum_tokens
-    t = df.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("t"))
-    bucket, sign = bucket_and_sign(F.col("t"), profile, dim)
-    w = t.groupBy("id", bucket.alias("bucket")).agg(F.sum(sign).alias("w")).filter("w <> 0")
+    t = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten().dictionary_encode()
+            placed = [_place(w, profile, dim) for w in flat.dictionary.to_pylist()]
+            if not placed:
+                continue
+            b, s = np.array([p[0] for p in placed], np.int64), np.array([p[1] for p in placed])
+            at = flat.indices.to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy())
+            v = np.bincount(row * dim + b[at], weights=s[at])
+            cells = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cells // dim)), pa.array(cells % dim), pa.array(v[cells])], ["id", "bucket", "w"])
+
+    kind = t.select("id", F.lit(0).cast("long").alias("bucket"), F.lit(0.0).alias("w")).schema
+    w = t.mapInArrow(run, kind).repartition("id").groupBy("id", "bucket").agg(F.sum("w").alias("w")).filter("w <> 0")
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return w.select("id", "bucket", (F.col("w") / norm).alias("weight"))
 
@@ -58,15 +85,6 @@ def with_embedding(df: DataFrame, text_col: str = "text", profile: str = "offlin
     src = df.withColumn("_tokens", tokens(F.col(text_col)))
     kind = df.withColumn(name, F.lit(None).cast("array<double>")).schema
 
-    def place(token: str) -> tuple[int, float]:
-        if profile == "online":
-            h = 0
-            for c in token:
-                h = (h * 31 + ord(c)) & 0xFFFFFFFF
-            return (h - (h >> 31 << 32)) % dim, 1.0
-        d = hashlib.sha256(token.encode()).digest()
-        return int.from_bytes(d[:4], "big") % dim, 1.0 if d[4] % 2 == 0 else -1.0
-
     def run(batches):
         known: dict[str, tuple[int, float]] = {}
         for batch in batches:
@@ -75,7 +93,7 @@ def with_embedding(df: DataFrame, text_col: str = "text", profile: str = "offlin
             words = flat.dictionary.to_pylist()
             for w in words:
                 if w not in known:
-                    known[w] = place(w)
+                    known[w] = _place(w, profile, dim)
             b = np.array([known[w][0] for w in words], np.int64) if words else np.empty(0, np.int64)
             s = np.array([known[w][1] for w in words]) if words else np.empty(0)
             at = flat.indices.to_numpy()
