@@ -12,7 +12,7 @@ from .catalog import CHUNKS, _BLOCK, _CLEAN, _CUES, _DATES, _GUARDED, _MAILS, _P
 from .functions import numbers, tables, text, vectors
 from .operators import answers, chunks, evidence, hashtree, layout, lexical, metrics, provenance, robots, store, vendors, web
 from .plans import search, versions
-from .sources import readers, sinks
+from .sources import readers, sinks, sqlite
 from .streaming import jobs
 from .tables import shared_folder
 
@@ -893,12 +893,16 @@ def plain_documents(spark, d):
 
 @query("SELECT c_custkey, c_nationkey, round(c_acctbal, 2) AS c_acctbal FROM customer")
 def jdbc_table(spark, d):
-    """A table written to a database (Spark's own embedded one, in the driver's memory) and read back by several connections."""
-    url = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true"
+    """A table written to a database and read back by several connections.
+
+    The database is a file that tasks of all processes open, by Python's own driver. Spark brings JDBC drivers of none
+    like it: its embedded one is of one process, and the driver's own connection keeps it from the tasks.
+    """
+    path = local(f"{folder(spark, 'database')}/db")
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("int").alias("c_nationkey"), F.col("c_acctbal").cast("double").alias("c_acctbal"))
-    sinks.write_jdbc(c, url, "customer")
-    sinks.write_jdbc(c.limit(0), url, "customer")
-    back = readers.jdbc_scan(spark, url, "customer", ("c_custkey", 1, 1000, 3))
+    sqlite.write_sqlite(c, path, "customer")
+    sqlite.write_sqlite(c.limit(0), path, "customer")
+    back = sqlite.sqlite_scan(spark, path, "customer", c.schema, 3)
     return back.select(F.col("c_custkey").cast("long").alias("c_custkey"), F.col("c_nationkey").cast("long").alias("c_nationkey"), F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
