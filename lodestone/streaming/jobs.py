@@ -5,19 +5,23 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..defaults import Settings
-from ..operators.admission import Counter
+from ..operators.admission import REASONS, Counter
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Keys that requests without an address or session are dealt to.
-FREE, DEALT = "\0", 64
+#: Keys that requests without an address or session are dealt to, and what other keys begin with.
+FREE, DEALT, KEYED = "\0", 1024, "="
+#: Columns that only an operator of admissions() needs.
+OWN = ["ms", "day", "day_ends", "key"]
 #: Groups that keys of a stream are dealt to; a call of Python costs as much for one key as for many.
 BUCKETS = 4096
 
@@ -49,7 +53,7 @@ def run_available(rows: DataFrame, put: Callable[[DataFrame, int], None], checkp
 
 
 class Admissions(StatefulProcessor):
-    """Admission of one kind of key. State of a key: its day, the day's count, the times of the last window; it goes when the day is over and no row of it can come any more."""
+    """Admission of one kind of key. State of a key: its day, the day's count, the times of the last window; it goes when the day is over and no row of it can come any more. Rows of free keys pass with the reason that they have."""
 
     def __init__(self, name: str, minute: int, daily: int, seconds: int, late_ms: int):
         self.name, self.minute, self.daily, self.seconds, self.late_ms = name, minute, daily, seconds, late_ms
@@ -61,23 +65,26 @@ class Admissions(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if key[0].startswith(FREE):
             for f in rows:
-                yield f.assign(reason=None)
+                yield self._told(f, f.get("reason"))
             return
         c, ends, old = Counter(), 0, None
         if self.state.exists():
             c.day, c.count, ends, times = self.state.get()
             c.times, old = deque(times), ends
         batch = pd.concat(list(rows)).sort_values(["ms", "request_id"])
-        told = []
-        for ms, day, end in zip(batch["ms"], batch["day"], batch["day_ends"], strict=True):
-            told.append(c.admit(int(ms), day, self.minute, self.daily, self.seconds))
-            ends = max(ends, int(end))
+        ms, day = batch["ms"].to_numpy(), batch["day"].to_numpy()
+        starts = [0, *(np.flatnonzero(day[1:] != day[:-1]) + 1), len(ms)]
+        told = np.concatenate([c.admit_all(ms[i:j], str(day[i]), self.minute, self.daily, self.seconds) for i, j in pairwise(starts)])
+        ends = max(ends, int(batch["day_ends"].max()))
         self.state.update((c.day, c.count, ends, list(c.times)))
         if ends != old:
             if old is not None:
                 self.handle.deleteTimer(old + self.late_ms)
             self.handle.registerTimer(ends + self.late_ms)
-        yield batch.assign(reason=[None if t is None else f"{self.name}_{t}" for t in told])
+        yield self._told(batch, np.array([r and f"{self.name}_{r}" for r in REASONS], object)[told])
+
+    def _told(self, rows: pd.DataFrame, reason) -> pd.DataFrame:
+        return rows.drop(columns=OWN, errors="ignore").assign(reason=reason)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
@@ -87,32 +94,34 @@ class Admissions(StatefulProcessor):
         pass
 
 
-def _key(c: str) -> Column:
-    name = F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    return F.when(name == "", F.concat(F.lit(FREE), F.pmod(F.xxhash64("request_id"), F.lit(DEALT)).cast("string"))).otherwise(name)
+def _key(c: str, limited: Column) -> Column:
+    """A key's day, as limits start anew each day; rows that aren't limited are dealt to keys of their own."""
+    name = F.trim(F.coalesce(F.col(c), F.lit("")))
+    return F.when(limited & (name != ""), F.concat(F.lit(KEYED), name, F.lit(FREE), "day")).otherwise(F.concat(F.lit(FREE), F.pmod(F.xxhash64("request_id"), F.lit(DEALT)).cast("string")))
 
 
 def admissions(requests: DataFrame, settings: Settings | None = None, zone: str = "UTC", late_hours: int = 24) -> DataFrame:
     """A stream's requests (request_id, ts, ip, session_id) with admitted and reason, as admission.decide() has them.
 
-    The address's operator comes first and passes what it admits to the session's. Requests have to arrive in the order
-    of their times from batch to batch; within a batch any order will do. Rows older than the newest by late_hours are
-    dropped, as with any watermark. Requests without an address or session aren't limited by it. A task holds one key's
-    rows of one batch.
+    The address's operator comes first; the session's decides on what that admits, and hands on what it turns away.
+    Requests have to arrive in the order of their times from batch to batch; within a batch any order will do. Rows older
+    than the newest by late_hours are dropped, as with any watermark. Requests without an address or session aren't
+    limited by it. A task holds one key's rows of one day of one batch.
     """
     s = settings or Settings()
     late = late_hours * 3_600_000
     kind = requests.schema["request_id"].dataType.simpleString()
     day = F.to_date(F.from_utc_timestamp("ts", zone))
-    columns = ["request_id", "ts", "ip", "session_id", "ms", "day", "day_ends"]
-    r = requests.withWatermark("ts", f"{late_hours} hours").select(
-        "request_id", "ts", F.col("ip").cast("string").alias("ip"), F.col("session_id").cast("string").alias("session_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), day.cast("string").alias("day"),
-        F.unix_millis(F.to_utc_timestamp(F.date_add(day, 1).cast("timestamp"), zone)).alias("day_ends"))
-    out = f"request_id {kind}, ts timestamp, ip string, session_id string, ms long, day string, day_ends long, key string, reason string"
-    step = lambda rows, by, name, minute, daily: rows.select(*columns, _key(by).alias("key")).groupBy("key").transformWithStateInPandas(Admissions(name, minute, daily, s.rate_window_seconds, late), out, "append", "eventTime", eventTimeColumnName="ts")
-    by_ip = step(r, "ip", "IP", s.ip_minute_limit, s.ip_daily_limit)
-    passed = step(by_ip.filter("reason is null"), "session_id", "SESSION", s.session_minute_limit, s.session_daily_limit)
-    told = by_ip.filter("reason is not null").select("request_id", "ts", "ip", "session_id", "reason").unionByName(passed.select("request_id", "ts", "ip", "session_id", "reason"))
+    own = [F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), day.cast("string").alias("day"), F.unix_millis(F.to_utc_timestamp(F.date_add(day, 1).cast("timestamp"), zone)).alias("day_ends")]
+    out = f"request_id {kind}, ts timestamp, ip string, session_id string, reason string"
+
+    def step(rows: DataFrame, by: str, limited: Column, name: str, minute: int, daily: int) -> DataFrame:
+        dealt = rows.select("*", *own).withColumn("key", _key(by, limited)).groupBy("key")
+        return dealt.transformWithStateInPandas(Admissions(name, minute, daily, s.rate_window_seconds, late), out, "append", "eventTime", eventTimeColumnName="ts")
+
+    r = requests.withWatermark("ts", f"{late_hours} hours").select("request_id", "ts", F.col("ip").cast("string").alias("ip"), F.col("session_id").cast("string").alias("session_id"))
+    by_ip = step(r, "ip", F.lit(True), "IP", s.ip_minute_limit, s.ip_daily_limit)
+    told = step(by_ip, "session_id", F.col("reason").isNull(), "SESSION", s.session_minute_limit, s.session_daily_limit)
     return told.select("request_id", "ts", "ip", "session_id", F.col("reason").isNull().alias("admitted"), "reason")
 
 
