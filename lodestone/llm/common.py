@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,14 +42,26 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 @contextmanager
-def shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
-    """Inside, Spark drops a query's shuffle files when that query ends, so that the disk holds one query's at a time."""
-    old = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Inside, the session has this setting; it gets back its own at the end."""
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
+@contextmanager
+def shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark drops a query's shuffle files when that query ends, so that the disk holds one query's at a time."""
+    with setting(spark, CLEANUP, "true"):
+        yield
+
+
+def handed_over(spark: SparkSession, size: int) -> AbstractContextManager[None]:
+    """Inside, a query that runs hands rows to Python in batches of about size bytes; Spark's own are of up to 64 MB, in the JVM and in Python."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:

@@ -9,12 +9,14 @@ term. All arithmetic is in whole numbers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, table
+from .common import drop, handed_over, materialize, table
 from .hashing import buffers
 from .shards import numbered
 from .tokens import coded, lowered, numbered_values, slabs, spans
@@ -23,28 +25,65 @@ from .tokens import coded, lowered, numbered_values, slabs, spans
 LEAST, ADDED, WHOLE, TOP = 30, 5, 1_000_000_000, 50
 #: Sources of a side, and terms (about), of a task of the tally.
 BLOCK, TERMS = 64, 4096
+#: Bytes of text that a task is handed and counts at once; some 25 times as much is held for it.
+COUNTED = 2 << 20
+COUNTS = ["lang", "source", "term", "n", "df"]
+
+
+def of_terms(raw: np.ndarray) -> np.ndarray:
+    """Which bytes of raw, in lower case, belong to terms."""
+    return (raw >= 0x80) | ((raw >= 0x61) & (raw <= 0x7A))
+
+
+def stretches(raw: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """raw in lower case, in pieces of about size bytes that cut no term; a longer term makes its piece longer."""
+    at = 0
+    while at < len(raw):
+        to = at + size
+        while (ahead := of_terms(lowered(raw[to : to + size]))).size and ahead.all():
+            to += size
+        to += int(np.argmin(ahead)) if ahead.size else 0
+        yield lowered(raw[at:to])
+        at = to
+
+
+def counted(part: pa.RecordBatch, size: int | None = None) -> pa.RecordBatch:
+    """(lang, source, term, n, df) of the rows of part, once for each group and term. One text of over size (COUNTED) bytes is taken in stretches."""
+    size = size or COUNTED
+    raw, bounds = buffers(part.column(2))
+    if part.num_rows == 1 and len(raw) > size:
+        known = pa.table({"term": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+        for raw in stretches(raw, size):
+            inside = of_terms(raw)
+            start, end, _ = spans(inside, np.array([0, len(raw)]))
+            code, terms = coded(raw, inside, start, end)
+            more = pa.table({"term": terms, "n": np.bincount(code, minlength=len(terms)).astype(np.int64)})
+            known = pa.concat_tables([known, more]).group_by("term", use_threads=False).aggregate([("n", "sum")]).select(["term", "n_sum"]).rename_columns(["term", "n"])
+        terms, n = (known.column(c).combine_chunks() for c in ("term", "n"))
+        lang, source = (pa.repeat(part.column(k)[0].as_py() or "", len(n)) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([lang, source, terms, n, pa.repeat(1, len(n))], COUNTS)
+    raw = lowered(raw)
+    inside = of_terms(raw)
+    start, end, doc = spans(inside, bounds)
+    code, terms = coded(raw, inside, start, end)
+    lang, langs = numbered_values(part.column(0), "")
+    source, sources = numbered_values(part.column(1), "")
+    many = max(1, len(terms))
+    once, n = np.unique(doc * many + code, return_counts=True)
+    doc, term = np.divmod(once, many)
+    key, at = np.unique((lang[doc] * len(sources) + source[doc]) * many + term, return_inverse=True)
+    group, term = np.divmod(key, many)
+    own = [pa.array(langs, pa.string()).take(pa.array(group // max(1, len(sources)))), pa.array(sources, pa.string()).take(pa.array(group % max(1, len(sources)))), terms.take(pa.array(term))]
+    total = np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([*own, pa.array(total), pa.array(np.bincount(at, minlength=len(key)).astype(np.int64))], COUNTS)
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, term, n, df): occurrences, and documents that have the term, in each group."""
 
     def run(batches):
-        for part in slabs(batches, 2):
-            raw, bounds = buffers(part.column(2))
-            raw = lowered(raw)
-            inside = (raw >= 0x80) | ((raw >= 0x61) & (raw <= 0x7A))
-            start, end, doc = spans(inside, bounds)
-            code, terms = coded(raw, inside, start, end)
-            lang, langs = numbered_values(part.column(0), "")
-            source, sources = numbered_values(part.column(1), "")
-            size = max(1, len(terms))
-            once, n = np.unique(doc * size + code, return_counts=True)
-            doc, term = np.divmod(once, size)
-            key, at = np.unique((lang[doc] * len(sources) + source[doc]) * size + term, return_inverse=True)
-            group, term = np.divmod(key, size)
-            own = [pa.array(langs, pa.string()).take(pa.array(group // max(1, len(sources)))), pa.array(sources, pa.string()).take(pa.array(group % max(1, len(sources)))), terms.take(pa.array(term))]
-            total = np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*own, pa.array(total), pa.array(np.bincount(at, minlength=len(key)).astype(np.int64))], ["lang", "source", "term", "n", "df"])
+        for part in slabs(batches, 2, COUNTED):
+            yield counted(part)
 
     found = docs.select(F.col(lang_col).cast("string"), F.col(source_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, "lang string, source string, term string, n long, df long")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
@@ -109,7 +148,8 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     and ids each count. Texts of any length are read whole. Other columns, whatever their names, are not read. An empty
     table gives no rows.
     """
-    counts = materialize(term_counts(docs, text_col, lang_col, source_col), "term-counts")
+    with handed_over(docs.sparkSession, COUNTED):
+        counts = materialize(term_counts(docs, text_col, lang_col, source_col), "term-counts")
     over = Window.partitionBy("lang", "term")  # a row for each source at most
     both = counts.select("lang", "source", "term", "n", F.sum("df").over(over).alias("df"), F.sum("n").over(over).alias("n_lang"))
     kept = materialize(both.filter(F.col("df") >= least).drop("df"), "kept-terms")

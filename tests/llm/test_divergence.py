@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -74,3 +75,43 @@ def test_slabs_hold_every_row_once():
     parts = list(tokens.slabs([batch, batch.slice(0, 0)], 1, 300))
     assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(len(texts)))
     assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(1).to_pylist()) <= 300 for p in parts)
+
+
+class Captured:
+    """Stands for a table, and keeps what its batches are sent to."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def same(self, *_):
+        return self
+
+    select = groupBy = agg = same
+
+
+@pytest.mark.parametrize("rows", [3000, 1])
+def test_counting_holds_little_at_once(spark, rows):
+    rnd = random.Random(7)
+    known = ["w" + "".join(rnd.choices(LOWER, k=4)) for _ in range(20_000)]
+    texts = [" ".join(rnd.choices(known, k=2_000_000 // rows)) for _ in range(rows)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * rows), pa.array([f"s{k % 20}" for k in range(rows)]), pa.array(texts)], ["lang", "source", "text"])
+    docs = Captured()
+    divergence.term_counts(docs)
+    tracemalloc.start()
+    try:
+        n = sum(sum(b.column(3).to_pylist()) for b in docs.run(iter([batch])))
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == rows * (2_000_000 // rows) and held < 100_000_000
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 50, 1000])
+def test_a_text_in_stretches_is_counted_once(size):
+    rnd = random.Random(8)
+    text = "".join(rnd.choice(["Alpha", " ", "beta1", "ÉTÉ", "漢字", ", ", "x" * 60, " b ", "\n"]) for _ in range(400))
+    for lang, content in (("en", text), (None, text), ("en", "x" * 99), ("en", "1" * 99), ("en", "1" * 50 + "ab")):
+        part = pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array(["s"]), pa.array([content])], ["lang", "source", "text"])
+        words = Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", content.translate(str.maketrans(UPPER, LOWER))))
+        assert sorted(map(tuple, (r.values() for r in divergence.counted(part, size).to_pylist()))) == sorted((lang or "", "s", w, n, 1) for w, n in words.items())
