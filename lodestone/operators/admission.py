@@ -102,8 +102,8 @@ def decide(requests: DataFrame, settings: Settings | None = None, zone: str = "U
 def cooldown(requests: DataFrame, seconds: int = 300, key: str = "index_name") -> DataFrame:
     """requests (request_id, ts, key) with accepted: one that comes within the cooldown of the last accepted isn't.
 
-    A request without a time isn't accepted and holds none back; of those without a key the first is. Columns pass as they are, whatever the session's zone;
-    a task reads its keys as a stream.
+    Times count in milliseconds, rounded to the nearest. A request without a time isn't accepted and holds none back; of those without a key
+    the first is. Columns pass as they are, whatever the session's zone; a task reads its keys as a stream.
     """
     r = requests.select("request_id", "ts", F.col(key).cast("string").alias("key"))
     kind = r.withColumn("accepted", F.lit(True)).schema
@@ -111,15 +111,17 @@ def cooldown(requests: DataFrame, seconds: int = 300, key: str = "index_name") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, at = None, None
         for b in batches:
-            told = []
-            for k, us in zip(b.column(2).to_pylist(), b.column(1).cast(pa.int64()).to_pylist(), strict=True):
+            us = b.column(1).cast(pa.int64())
+            x, told = us.fill_null(0).to_numpy(), []
+            millis = pa.array(np.sign(x) * ((np.abs(x) + 500) // 1000), mask=us.is_null().to_numpy(zero_copy_only=False))
+            for k, ms in zip(b.column(2).to_pylist(), millis.to_pylist(), strict=True):
                 if k != last:
                     last, at = k, None
-                ok = us is not None and (at is None or (k is not None and us // 1000 - at >= 1000 * seconds))
-                at = us // 1000 if ok else at
+                ok = ms is not None and (at is None or (k is not None and ms - at >= 1000 * seconds))
+                at = ms if ok else at
                 told.append(ok)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(told, pa.bool_())], kind.names)
 
     n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = r.repartition(n, "key").sortWithinPartitions("key", "ts", "request_id")
+    dealt = r.repartition(n, "key").sortWithinPartitions("key", "ts", F.asc_nulls_last("request_id"))
     return dealt.mapInArrow(run, kind).withColumnRenamed("key", key)
