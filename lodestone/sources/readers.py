@@ -20,12 +20,40 @@ from ..session import gathered
 SUFFIXES = ("md", "txt", "pdf")
 
 
-def glob_scan(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES, pattern: str | None = None, max_bytes: int | None = None) -> DataFrame:
-    """(path, content, length) of files below path with a known ending, of max_bytes at most if that is given (larger ones are not opened)."""
+def empty_files(scan: DataFrame) -> DataFrame | None:
+    """(path, url, content, length) of the empty files of a scan of whole files, which Spark lists but doesn't read; None if it has none."""
+    spark, listed = scan.sparkSession, scan._jdf.inputFiles()
+    scan.rdd.getNumPartitions()  # plans which files are read
+    planned = scan._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numFiles")
+    if planned.isDefined() and planned.get().value() == len(listed):
+        return None
+    jvm = spark._jvm  # the names don't pass through Python
+    names = spark._jsparkSession.createDataset(jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(listed), jvm.org.apache.spark.sql.Encoders.STRING())
+    urls = DataFrame(names.toDF(), spark).toDF("url")
+    empty = urls.join(gathered(scan).select(F.input_file_name().alias("url")), "url", "left_anti")
+    path = F.regexp_replace(F.url_decode(F.replace("url", F.lit("+"), F.lit("%2B"))), "^([^:/]+):///", "$1:/")
+    return empty.select(path.alias("path"), "url", F.lit(b"").alias("content"), F.lit(0).cast("long").alias("length"))
+
+
+def _files(spark: SparkSession, path: str, suffixes: tuple[str, ...], pattern: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """glob_scan() with url: the path as input_file_name() has it."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    r = r.option("pathGlobFilter", pattern) if pattern else r
-    found = gathered(r.load(path)).filter(extension(F.col("path")).isin(*suffixes))
-    return (found if max_bytes is None else found.filter(F.col("length") <= max_bytes)).select("path", "content", "length")
+    scan = (r.option("pathGlobFilter", pattern) if pattern else r).load(path)
+
+    def known(found: DataFrame) -> DataFrame:
+        found = found.filter(extension(F.col("path")).isin(*suffixes))
+        return found if max_bytes is None else found.filter(F.col("length") <= max_bytes)
+
+    found, empty = known(gathered(scan)).select("path", F.input_file_name().alias("url"), "content", "length"), empty_files(scan)
+    if empty is None:
+        return found
+    n = max(found.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism)
+    return found.unionByName(known(empty)).coalesce(n)
+
+
+def glob_scan(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES, pattern: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """(path, content, length) of files below path with a known ending, empty ones too, of max_bytes at most if that is given (larger ones are not opened)."""
+    return _files(spark, path, suffixes, pattern, max_bytes).select("path", "content", "length")
 
 
 def text_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +66,7 @@ def markdown_documents(spark: SparkSession, path: str) -> DataFrame:
 
     Read as bytes: the reader of whole texts makes Hadoop's settings anew for each file.
     """
-    texts = glob_scan(spark, path, ("md", "txt")).select(F.input_file_name().alias("path"), F.col("content").cast("string").alias("text"))
+    texts = _files(spark, path, ("md", "txt")).select(F.col("url").alias("path"), F.col("content").cast("string").alias("text"))
     t = texts.withColumn("f", front_matter(F.col("text")))
     meta = lambda k: F.nullif(F.try_element_at("f.metadata", F.lit(k)), F.lit(""))
     return t.select(stem(F.col("path")).alias("document_id"), document_title(F.col("f.metadata"), F.col("f.body"), F.col("path")).alias("title"), "path", meta("url").alias("url"), meta("posted_at").alias("posted_at"), F.coalesce(meta("content_type"), infer_content_type(F.col("path"))).alias("content_type"), F.col("f.metadata").alias("metadata"), F.col("f.body").alias("text"))
