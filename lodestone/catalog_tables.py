@@ -908,9 +908,9 @@ def jdbc_table(spark, d):
 
 @query("SELECT doc_id, octet_length(encode(text))::BIGINT AS length FROM documents WHERE octet_length(encode(text)) <= 2000")
 def files_within_a_limit(spark, d):
-    """Files of a size at most."""
+    """Files of a size at most; a document without a text has none."""
     out = folder(spark, "limited")
-    sinks.write_files(table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("document")), local(out))
+    sinks.write_files(table(spark, d, "documents").filter("text is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("document")), local(out))
     return readers.glob_scan(spark, out, max_bytes=2000).select(text.stem(F.col("path")).cast("long").alias("doc_id"), "length")
 
 
